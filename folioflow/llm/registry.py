@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_counts, token_files
+from . import exact_dedup, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op3_token_files, op4_exact_dedup, op5_quality_rules, op6_suffix_dedup, op7_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_token_files, op4_exact_dedup, op5_quality_rules, op6_suffix_dedup, op7_packing, op8_toxicity, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
