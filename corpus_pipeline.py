@@ -1,8 +1,59 @@
-"""Corpus pipeline; stages follow."""
+"""Corpus pipeline: quality classifier, exact dedup, near-duplicate removal, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``.  run() writes every stage's result as Parquet and rereads it as the next one's input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from folioflow.llm import exact_dedup, mixing, ngram_join, packing, quality_fm
+from folioflow.llm.common import materialize
+
+#: Shares of the mix's tokens by domain; rates stay between 0 and 1, so no clean document is repeated or thinned.
+WEIGHTS = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_fm.keep_good(docs, quality_fm.train(*_tables(spark, sf_dir)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates one document stays, that with the smallest doc_id."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are thinned so that the expected tokens of the domains meet WEIGHTS; the budget is what the corpus has."""
+    model = mixing.train(*_tables(spark, sf_dir), mixing.domain_of_labels())
+    return mixing.mixed(docs, mixing.fit_rates(docs, model, WEIGHTS, high=1.0))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
+
+#: Classifiers and tokenizers have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, token_counts, token_files, toxicity
+from . import exact_dedup, mixing, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.mixing_rates(docs, labels, mixing.domain_of_labels(), {"clean": 0.9, "low": 0.04, "toxic": 0.06})
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op3_token_files, op4_exact_dedup, op5_quality_rules, op6_suffix_dedup, op7_packing, op8_toxicity, op9_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_token_files, op4_exact_dedup, op5_quality_rules, op6_suffix_dedup, op7_packing, op8_toxicity, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
