@@ -1,23 +1,25 @@
 """Operator 2: n-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
 A document is the set of its distinct five-word shingles; two link when their sets' Jaccard similarity is
-at least 0.8.  Equal sets are one class from the start.  Routing: each class gives its ``prefix``, the
-rarest fifth of its shingles plus one, since two linked sets must share one of those; classes that share
-a prefix shingle are chained, and the chains' connected components are the blocks.  Inside a block every
+at least 0.8.  Equal sets are one class from the start.  Routing: in one global order of all shingles, two
+linked sets share one of the first n - ceil(0.8 n) + 1 of each (the ``prefix``).  The order puts shingles of
+a single class first, then shared ones by rarity: a class whose prefix is filled by shingles of its own is
+done, and the others give only the few shared shingles that their prefix reaches.  Classes that share one are
+chained, and the chains' connected components are the blocks.  Inside a block every
 class queries the block's inverted index: the lists of its shingles are divided into the longest and the
 rest, the short ones merged, and ids that occur often enough are looked up in the long ones by binary
 search, which leaves exactly the sets with the required overlap.  Blocks over ``block_shingles`` are cut
 into chunks, and every pair of chunks is searched by a task of its own, so memory stays bounded and no link is lost.
 
-Shingles are ordered by a sketch of their counts over all documents (a table of fixed size) and then by
-hash, so passages found everywhere come last and hardly ever route anything.
+Numbers of classes are exact for a fixed share of the shingles (COUNTED_SHARE, by hash); frequent ones, by a
+sketch of the counts over all documents (a table of fixed size), and the rest come last in the order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as tk
 from .common import doc_columns, map_text, materialize, slots, workers_see_package
@@ -27,6 +29,8 @@ from .graph import components
 U64 = np.uint64
 #: Counters of the frequency sketch; 8 bytes each reach the driver and every task.
 SKETCH = 1 << 16
+#: Share of the shingles, by hash, whose classes are counted. A class that shares fewer than 1 - 0.2 / 0.35 of them routes nothing.
+COUNTED_SHARE = 0.35
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U64)
 #: Weight of long lists in DivideSkip's choice of how many to set aside.
 MU = 0.0085
@@ -84,6 +88,11 @@ def keyed(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((levels[(h & U64(SKETCH - 1)).astype(np.int64)].astype(U64) << U64(58)) | (h >> U64(6)))
 
 
+def counted(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Shingles whose number of classes is counted exactly: a fixed share of all hashes, without those the sketch calls frequent."""
+    return (h < U64(int(COUNTED_SHARE * 2**64))) & (levels[(h & U64(SKETCH - 1)).astype(np.int64)] == 0)
+
+
 def _set_hash(h: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a, b = tk.mix(np.array([h.sum() + U64(len(h)), tk.mix(h ^ _STEP[1]).sum()], U64))
@@ -186,20 +195,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     spark = docs.sparkSession
     docs = doc_columns(docs, "doc_id", "text")
     levels = frequency_levels(docs, width)
+    n = slots(spark)
+    workers_see_package(spark)
 
     def sign(batch, buf, offs):
         sets = shingles(buf, offs, width)
         hashes = [_set_hash(h) for h in sets]
-        n = np.array([len(h) for h in sets], np.int64)
-        prefix = [keyed(h, levels)[: len(h) - -(-percent * len(h) // 100) + 1] if len(h) else h for h in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array([a for a, _ in hashes], pa.int64()), pa.array([b for _, b in hashes], pa.int64()), _lists(prefix)], names=["doc_id", "n", "s1", "s2", "prefix"])
+        known = [int(counted(h, levels).sum()) for h in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(h) for h in sets], [a for a, _ in hashes], [b for _, b in hashes], known))], names=["doc_id", "n", "s1", "s2", "known"])
 
-    signed = materialize(map_text(docs, "doc_id long, n long, s1 long, s2 long, prefix array<long>", sign))
+    signed = materialize(map_text(docs, "doc_id long, n long, s1 long, s2 long, known long", sign))
     linkable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.any_value("prefix").alias("prefix"))
+    classes = materialize(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("known").alias("known")))
+
+    # 1. The counted shingles of each class; those of two classes or more come back with their number.
+    def counted_keys(batch, buf, offs):
+        kept = [keyed(h[counted(h, levels)], levels) for h in shingles(buf, offs, width)]
+        rep = np.repeat(batch.column(0).to_numpy(), [len(k) for k in kept])
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(kept).view(np.int64))], names=["rep", "key"])
+
+    copies = materialize(linkable.join(classes.where("w > 1").select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select("doc_id").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
+    unequal = docs.where("doc_id IS NOT NULL").join(small(copies, broadcast_rows), "doc_id", "left_anti")
+    keys = map_text(unequal, "rep long, key long", counted_keys).repartition(n, "key").sortWithinPartitions("key")
+
+    def shared_keys(batches):
+        open_rep, open_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rep, key = np.append(open_rep, batch.column(0).to_numpy()), np.append(open_key, batch.column(1).to_numpy())
+            cut = np.searchsorted(key, key[-1])
+            yield runs(rep[:cut], key[:cut])
+            open_rep, open_key = rep[cut:], key[cut:]
+        yield runs(open_rep, open_key)
+
+    def runs(rep, key):
+        head = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        df = np.repeat(np.diff(np.append(head, len(key))), np.diff(np.append(head, len(key))))
+        k = df > 1
+        return pa.RecordBatch.from_arrays([pa.array(rep[k]), pa.array(key[k]), pa.array(df[k].astype(np.int32))], names=["rep", "key", "df"])
+
+    shared = materialize(keys.mapInArrow(shared_keys, "rep long, key long, df int"))
+
+    # 2. Prefix: unshared counted shingles first, then shared ones by rarity, then all others. A class whose
+    #    unshared ones fill its prefix links with nothing.
+    met = shared.groupBy("rep").agg(F.count("*").alias("met"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    open_classes = materialize(classes.join(met, "rep", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+        .withColumn("need", (prefix - (F.col("known") - F.col("met"))).cast("int")).where("need > 0").select("rep", "s1", "s2", "w", "n", "need", (F.col("need") - F.col("met")).cast("int").alias("others")))
+    order = Window.partitionBy("rep").orderBy("df", "key")
+    rare = shared.join(small(open_classes.select("rep", "need"), broadcast_rows), "rep").withColumn("at", F.row_number().over(order)).where("at <= need").select("key", "rep")
+
+    def full(batch, buf, offs):
+        sets = shingles(buf, offs, width)
+        hashes = [_set_hash(h) for h in sets]
+        rest = [keyed(h[~counted(h, levels)], levels)[: max(k, 0)] for h, k in zip(sets, batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in hashes], pa.int64()), pa.array([b for _, b in hashes], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), _lists(rest)], names=["rep", "s1", "s2", "members", "rest"])
+
+    wanted = docs.join(small(open_classes.select(F.col("rep").alias("doc_id"), "others"), broadcast_rows), "doc_id").select("doc_id", "text", "others")
+    full_schema = "rep long, s1 long, s2 long, members binary, rest array<long>"
+    sets = map_text(wanted, full_schema, full).join(small(open_classes.drop("others", "need"), broadcast_rows), ["rep", "s1", "s2"])
+    sets = materialize(sets)
     # Keys of a frequent shingle are dealt out by a salt, and the parts' first members chained in a second step.
     salt = F.when(F.shiftrightunsigned("key", 58) > 0, F.pmod(F.xxhash64("rep"), F.lit(64))).otherwise(F.lit(0)).cast("int")
-    keys = classes.select("rep", F.explode("prefix").alias("key")).withColumn("salt", salt)
+    routes = rare.unionByName(sets.select("rep", F.explode("rest").alias("key"))).withColumn("salt", salt)
 
     def chain(batches):
         last = None
@@ -220,25 +279,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
             yield pa.RecordBatch.from_arrays([pa.array(rep[same]), pa.array(rep[same + 1]), pa.nulls(len(same), pa.int64())], names=["a", "b", "key"])
             yield pa.RecordBatch.from_arrays([pa.array(rep[new]), none, pa.array(key[new])], names=["a", "b", "key"])
 
-    workers_see_package(spark)
-    n = slots(spark)
-    linked = keys.select("key", "salt", "rep").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(chain, "a long, b long, key long")
+    linked = routes.select("key", "salt", "rep").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(chain, "a long, b long, key long")
     linked = materialize(linked.groupBy("a", "b", "key").count().drop("count"))
     heads = linked.where("b IS NULL")
     firsts = heads.groupBy("key").agg(F.min("a").alias("b"))
     block = components(linked.where("b IS NOT NULL").select("a", "b").unionByName(heads.select("key", "a").join(firsts, "key").select("a", "b")))
     block = block.unionByName(block.select(F.col("root").alias("node"), "root").distinct()).withColumnsRenamed({"node": "rep", "root": "block"})
-    routed = materialize(classes.drop("prefix").join(block, "rep"))
-
-    def full(batch, buf, offs):
-        sets = shingles(buf, offs, width)
-        hashes = [_set_hash(h) for h in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in hashes], pa.int64()), pa.array([b for _, b in hashes], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["rep", "s1", "s2", "members"])
 
-    wanted = docs.join(small(routed.select(F.col("rep").alias("doc_id")), broadcast_rows), "doc_id", "left_semi")
-    sets = map_text(wanted, "rep long, s1 long, s2 long, members binary", full).join(small(routed, broadcast_rows), ["rep", "s1", "s2"]).dropDuplicates(["s1", "s2"])
-    sets = sets.select("rep", "w", "block", "members")
-    sizes = routed.join(signed.select("s1", "s2", "n").dropDuplicates(["s1", "s2"]), ["s1", "s2"]).groupBy("block").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks"))
+    # 3. Blocks, in chunks where they are large.
+    routed = materialize(open_classes.select("rep", "n").join(block, "rep"))
+    sets = sets.join(small(routed.select("rep", "block"), broadcast_rows), "rep").dropDuplicates(["s1", "s2"]).select("rep", "w", "block", "members")
+    sizes = routed.groupBy("block").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks"))
     cut = sizes.where("chunks > 1")
     sets = sets.join(small(materialize(cut), broadcast_rows), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
@@ -267,8 +318,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     found = materialize(tasks.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(search, "a long, b long, links long"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    named = classes.drop("prefix").join(links, "rep", "left").where("w > 1 OR links IS NOT NULL").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = classes.join(links, "rep", "left").where("w > 1 OR links IS NOT NULL").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = materialize(named.select("s1", "s2", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")))
-    out = signed.drop("prefix").join(small(named, broadcast_rows), ["s1", "s2"], "left")
+    out = signed.join(small(named, broadcast_rows), ["s1", "s2"], "left")
     alone = F.col("component_id").isNull() | F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each component stays, that of the smallest doc_id, with the columns of ``docs``.
+
+    Rows without doc_id stay.  Rows that repeat a doc_id go only where their texts have equal sets.
+    """
+    # Few enough rows stay in a component of their own to need no look-up: only those that go are joined.
+    found = near_duplicates(docs)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
