@@ -29,7 +29,7 @@ from .exact_dedup import small
 U64 = np.uint64
 GRAM = 24
 #: Suffixes a task holds before it packs and sends them.
-HELD = 2_000_000
+HELD = 400_000
 #: Documents whose suffixes choose the splitters, and suffixes taken from each.
 SAMPLE_DOCS, SAMPLE_EACH = 20_000, 16
 
