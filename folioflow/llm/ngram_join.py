@@ -120,8 +120,8 @@ class Index:
         n = len(query)
         need = -(-2 * percent * n // (100 + percent)) if after is not None else -(-percent * n // 100)
         t = np.searchsorted(self.tokens, query)
-        t = t[(t < len(self.tokens))]
-        t = t[np.isin(self.tokens[t], query, assume_unique=True)]
+        t[t == len(self.tokens)] = 0
+        t = t[self.tokens[t] == query]
         if len(t) < need:
             return np.zeros(0, np.int64)
         lens = self.edge[t + 1] - self.edge[t]
