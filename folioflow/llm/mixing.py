@@ -124,8 +124,9 @@ def add_posteriors(docs: DataFrame, model: Softmax, tokens: str, name: str) -> D
 
 
 def fit_rates(docs: DataFrame, model: Softmax, weights: dict[str, float], tokens: float | None = None, low: float = 0.0, high: float = float("inf"), max_steps: int = 60, tolerance: float = 1e-4) -> Mix:
-    """Rates whose expected domain totals meet ``weights`` (normalised) times ``tokens`` (all tokens, unless given).
+    """Rates whose expected domain totals meet ``weights`` (normalised) times ``tokens``.
 
+    Without ``tokens`` the budget is all tokens; with an upper bound on rates, the largest that no domain exceeds.
     A domain without a weight has target 0.  Stops when every residual is below ``tolerance`` of the budget,
     or when rates that touch a bound no longer lower them, or after ``max_steps`` passes.
     """
@@ -156,8 +157,11 @@ def fit_rates(docs: DataFrame, model: Softmax, weights: dict[str, float], tokens
 
     steps: list[tuple[np.ndarray, float]] = []
     total, gram = sums(steps)
-    budget = float(total.sum() if tokens is None else tokens)
     want = np.array([max(weights.get(d, 0.0), 0.0) for d in model.domains])
+    if tokens is None:
+        share = want / want.sum() if want.sum() > 0 else want
+        tokens = total.sum() if np.isinf(high) or not share.any() else np.min((total * high)[share > 0] / share[share > 0])
+    budget = float(tokens)
     targets = budget * want / want.sum() if want.sum() > 0 else np.zeros(k)
     longest = float(np.linalg.eigvalsh(gram).max()) if gram.any() else 0.0
     a, last = 1.0, np.inf
