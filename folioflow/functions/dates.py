@@ -76,3 +76,32 @@ def numeric_date(c: Column) -> Column:
     ymd = _date(F.regexp_extract(c, r, 1), F.regexp_extract(c, r, 2).try_cast("int"), F.regexp_extract(c, r, 3))
     d = F.coalesce(ymd, dmy)
     return F.when(F.year(d) >= 1000, d)
+
+
+def short_year_date(c: Column) -> Column:
+    """Numeric dates whose year may have two digits (20xx), day and month swapped if only that can be meant, as boxes
+    ("01 02 2026") or compact ("01022026"); years 1990 to 2100."""
+    def read(pattern, order):
+        found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+        def one(m):
+            y, a, b = (F.regexp_extract(m, pattern, order.index(k) + 1).try_cast("int") for k in "ymd")
+            y = F.when(y < 100, y + 2000).otherwise(y)
+            swap = (a > 12) & (b <= 12) if order == "dmy" else F.lit(False)
+            d = F.try_make_timestamp(y, F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+            return F.when(y.between(1990, 2100), d)
+
+        return F.get(F.filter(F.transform(found, one), lambda d: d.isNotNull()), F.lit(0))
+
+    gap = r"\s*[/.-]\s*"
+    return F.coalesce(
+        read(rf"\b([0-9]{{4}}){gap}([0-9]{{1,2}}){gap}([0-9]{{1,2}})\b", "ymd"),
+        read(rf"\b([0-9]{{1,2}}){gap}([0-9]{{1,2}}){gap}([0-9]{{4}}|[0-9]{{2}})\b", "dmy"),
+        read(r"\b([0-9]{2})\s+([0-9]{2})\s+([0-9]{4})\b", "dmy"),
+        read(r"\b([0-9]{2})([0-9]{2})(20[0-9]{2})\b", "dmy"),
+    )
+
+
+def plausible(d: Column, as_of: Column) -> Column:
+    """Year from ten before to one after the given day."""
+    return F.year(d).between(F.year(as_of) - 10, F.year(as_of) + 1)

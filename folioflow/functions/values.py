@@ -59,3 +59,19 @@ DATE_FORMATS = {
 }
 # The rules a report may check.
 RULES = ["firma", "beneficiario", "coincide_valor", "fecha_correcta", "endoso"]
+
+# Further number words of the tolerant parser, and words it skips.
+TOLERANT_UNITS = {
+    "veintiuna": 21, "veinti": 20, "venti": 20, "doscientas": 200, "trescientas": 300, "cuatrocientas": 400, "quinientas": 500,
+    "seiscientas": 600, "setecientas": 700, "ochocientas": 800, "novecientas": 900,
+}
+TOLERANT_FILLERS = ["y", "de", "dolares", "dolar", "usd", "us", "moneda", "americanos", "norteamericanos", "exactos", "son", "la", "suma", "los", "estados", "unidos", "america", "00", "pesos", "m"]
+TOLERANT_EXTRA = ["con", "centavo", "centavos", "ctvs", "cts", "del", "solo", "cientos", "cientas"]
+# Digits that scanners put into words.
+DIGIT_LETTERS = {"1": "i", "0": "o", "5": "s", "3": "e", "4": "a", "8": "b"}
+
+# Weights and thresholds of the deciders.
+REVIEW_BELOW = 0.80
+PRINTED_WEIGHT = 0.4
+NUMBER_MARGIN = 4.0
+REQUIRED_FLOOR = 0.6

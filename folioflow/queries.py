@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.functions import dates, numbers, text, values, words
 from folioflow.operators import aggregates as ag, candidates as ca, tables as tb, windows as wi
-from folioflow.plans import report
+from folioflow.plans import deciders, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,3 +460,99 @@ def page_rows(spark, sf):
     """Rows of synthetic pages: one page for each order."""
     l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("idx"), (F.col("l_discount") * 10).alias("cy"), F.lit(0.3).alias("h"), F.col("l_quantity").alias("x0"))  # noqa: E741
     return wi.page_rows(l, "page")
+
+
+@query("""
+WITH g AS (SELECT o_orderkey AS k, lpad((o_orderkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS a, (o_custkey * 1009 + 100000)::VARCHAR AS b, (100 + o_orderkey % 900)::VARCHAR AS c FROM orders),
+r AS (SELECT *, (3 * (a[1]::INT + a[4]::INT + a[7]::INT) + 7 * (a[2]::INT + a[5]::INT + a[8]::INT) + a[3]::INT + a[6]::INT + a[9]::INT) % 10 = 0 AS ok FROM g)
+SELECT k, CASE WHEN ok THEN a END AS routing, CASE WHEN ok OR length(b) > length(a) THEN b ELSE a END AS account,
+       CASE WHEN ok THEN c WHEN length(b) > length(a) THEN concat_ws(',', a, c) ELSE concat_ws(',', b, c) END AS serials FROM r""")
+def line_groups(spark, sf):
+    k = F.col("o_orderkey")
+    g = F.array(F.lpad((k * 7919 % 1_000_000_000).cast("string"), 9, "0"), (F.col("o_custkey") * 1009 + 100_000).cast("string"), (100 + k % 900).cast("string"))
+    return t(spark, sf, "orders").select(k.alias("k"), deciders.line_groups(g).alias("r")).select("k", "r.routing", "r.account", F.array_join("r.serials", ",").alias("serials"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS k, l_linenumber AS field, max(l_shipdate::DATE)::VARCHAR AS value, max(l_discount * 10) AS confidence FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+n AS (SELECT l_orderkey AS k, l_linenumber AS field, max(CASE WHEN l_orderkey % 2 = 0 THEN l_shipdate::DATE::VARCHAR ELSE 'Other' END) AS v FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY ALL)
+SELECT k, field, CASE WHEN v IS NOT NULL AND (value IS NULL OR (lower(v) <> value AND confidence < 0.8)) THEN v ELSE value END AS value,
+       CASE WHEN lower(v) = value THEN greatest(confidence, 0.95) WHEN v IS NOT NULL AND (value IS NULL OR confidence < 0.8) THEN 0.85 ELSE confidence END AS confidence
+FROM f FULL JOIN n USING (k, field)""")
+def refine_fields(spark, sf):
+    l = t(spark, sf, "lineitem").withColumns({"k": F.col("l_orderkey"), "field": F.col("l_linenumber"), "day": F.col("l_shipdate").cast("date").cast("string")})  # noqa: E741
+    fields = l.where("field <= 3").groupBy("k", "field").agg(F.max("day").alias("value"), F.max(F.col("l_discount") * 10).alias("confidence"))
+    second = l.where("field BETWEEN 2 AND 4").groupBy("k", "field").agg(F.max(F.when(F.col("k") % 2 == 0, F.col("day")).otherwise("Other")).alias("value"))
+    return deciders.refine(fields, second, ["k", "field"])
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS k, floor(o_totalprice)::DECIMAL(18,2) AS t FROM orders), a AS (SELECT k, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN t + 1 ELSE t END AS figures, CASE WHEN k % 7 = 0 THEN NULL ELSE t END AS words, t FROM f)
+SELECT k, words, CASE WHEN words IS NOT NULL AND (figures IS NULL OR figures = words OR k % 2 = 0) THEN words ELSE figures END AS figures,
+       CASE WHEN figures IS NULL OR words IS NULL THEN NULL ELSE figures = words OR k % 2 = 0 END AS amount_match, figures IS NULL AND words IS NOT NULL AS amount_from_words,
+       CASE WHEN figures IS NULL AND words IS NOT NULL THEN 0.6 WHEN words IS NOT NULL AND (figures = words OR k % 2 = 0) THEN 0.97 ELSE 0.7 END::DOUBLE AS figures_conf FROM a""")
+def settle_amount(spark, sf):
+    k, total = F.col("o_orderkey"), F.floor("o_totalprice").cast("decimal(18,2)")
+    rows = t(spark, sf, "orders").select(
+        k.alias("k"), F.when(k % 5 == 0, None).when(k % 3 == 0, total + 1).otherwise(total).cast("decimal(18,2)").alias("figures"), F.when(k % 7 != 0, total).alias("words"),
+        F.lit(0.7).alias("figures_conf"), F.lit(0.8).alias("words_ratio"), F.lit(0.7).alias("words_conf"), F.when(k % 2 == 0, F.array(total)).otherwise(F.array(total + 2)).cast("array<decimal(18,2)>").alias("others"))
+    return deciders.settle_amount(rows).select("k", "words", "figures", "amount_match", "amount_from_words", "figures_conf")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS k, max(CASE WHEN l_linenumber = 1 THEN l_discount * 10 END) AS a, max(CASE WHEN l_linenumber = 2 THEN l_discount * 10 END) AS b, max(CASE WHEN l_linenumber = 3 THEN l_discount * 10 END) AS c, bool_or(l_returnflag = 'R') AS s FROM lineitem GROUP BY 1)
+SELECT k, concat_ws('; ', CASE WHEN a IS NULL THEN 'missing amount' WHEN a < 0.6 THEN 'doubtful amount' END, CASE WHEN b IS NULL THEN 'missing date' WHEN b < 0.6 THEN 'doubtful date' END, CASE WHEN NOT s THEN 'no signature' END) AS observations,
+       CASE WHEN a >= 0.6 AND b >= 0.6 AND s THEN 'COMPLETO' ELSE 'REVISAR' END AS status FROM f""")
+def final_status(spark, sf):
+    name = F.get(F.array(*map(F.lit, ["amount", "date", "bank"])), F.col("l_linenumber") - 1)
+    f = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), name.alias("field"), F.lit("x").alias("value"), (F.col("l_discount") * 10).alias("confidence"), "l_returnflag")
+    out = deciders.final_status(f, "k", ["amount", "date"], ["bank"], F.col("l_returnflag") == "R")
+    return out.select("k", F.array_join("observations", "; ").alias("observations"), "status")
+
+
+@query("""
+WITH r AS (SELECT user_id AS k, event_id AS pos, (event_id % 3 + 100)::VARCHAR AS d, CASE WHEN event_id % 2 = 0 THEN 0.95 ELSE 0.9 END AS c FROM events WHERE event_id % 4 <> 3),
+n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), v AS (SELECT k, d, count(*) AS votes, min(c) AS low, min(pos) AS f FROM r GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY votes DESC, f) = 1)
+SELECT k, d AS value, NOT (votes = n AND votes / n * low >= 0.9) AS review FROM n JOIN b USING (k)""")
+def unanimous_number(spark, sf):
+    e = t(spark, sf, "events").where("event_id % 4 <> 3").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"), F.concat(F.lit("N "), F.col("event_id") % 3 + 100).alias("text"), F.when(F.col("event_id") % 2 == 0, 0.95).otherwise(0.9).alias("confidence"))
+    return deciders.unanimous_number(e, "k", 2, 10).select("k", "value", "review")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS k, (l_linenumber + 100)::VARCHAR AS candidate, sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 4 END * floor(l_quantity))::DOUBLE AS score FROM lineitem GROUP BY ALL),
+r AS (SELECT *, coalesce(score - lead(score) OVER w, 99.0) AS margin FROM s WINDOW w AS (PARTITION BY k ORDER BY score DESC, candidate) QUALIFY row_number() OVER w = 1)
+SELECT k, candidate AS value, round(margin, 6) AS margin, NOT (round(margin, 6) >= 4 OR (candidate = '101' AND round(margin, 6) >= 2)) AS review FROM r""")
+def verified_number(spark, sf):
+    l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + 100).cast("string").alias("candidate"), F.when(F.col("l_returnflag") == "R", 10).otherwise(4).alias("weight"), F.floor("l_quantity").alias("score"))  # noqa: E741
+    both = l.where("candidate = '101'").select("k", "candidate").distinct()
+    return deciders.verified_number(l, "k", both).select("k", "value", F.round("margin", 6).alias("margin"), "review")
+
+
+@query("""
+SELECT conv_id, max(CASE WHEN turn = 0 THEN role END) AS first_value, max(CASE WHEN turn = 0 THEN length(text) END) AS first_confidence, max(CASE WHEN turn = 1 THEN role END) AS second_value, max(CASE WHEN turn = 1 THEN length(text) END) AS second_confidence
+FROM conversations WHERE turn <= 1 GROUP BY conv_id""")
+def pivot_fields(spark, sf):
+    f = t(spark, sf, "conversations").where("turn <= 1").select("conv_id", F.when(F.col("turn") == 0, "first").otherwise("second").alias("field"), F.col("role").alias("value"), F.length("text").alias("confidence"))
+    return deciders.pivot_fields(f, "conv_id", ["first", "second"])
+
+
+@query("""
+SELECT o_orderkey, o_orderdate::DATE AS parsed FROM orders""")
+def short_year_dates(spark, sf):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    written = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy.MM.dd")).when(k == 2, F.date_format(d, "dd MM yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy"))
+    early = F.make_date(F.lit(1900) + F.year(d) % 100, F.month(d), F.dayofmonth(d))
+    return t(spark, sf, "orders").select("o_orderkey", F.coalesce(dates.short_year_date(written), F.when(early < "1990-01-01", d.cast("date"))).alias("parsed"))
+
+
+@query("SELECT o_orderkey, (floor(o_totalprice) + o_orderkey % 100 / 100.0)::DECIMAL(18,2) AS parsed FROM orders")
+def tolerant_words(spark, sf):
+    """Amounts in words with a letter doubled or cents in words, read by the tolerant parser."""
+    k, whole = F.col("o_orderkey"), F.floor("o_totalprice")
+    cents = (k % 100).cast("int")
+    spoken = F.concat(words.number_words(whole), F.lit(" dolares con "), words.number_words(cents), F.lit(" centavos"))
+    figures = F.concat(F.regexp_replace(words.number_words(whole), "mil", "mill"), F.lit(" dolares "), F.lpad(cents.cast("string"), 2, "0"), F.lit("/100"))
+    rows = t(spark, sf, "orders").select("o_orderkey", words.repaired_words(F.when(k % 2 == 0, spoken).otherwise(figures)).alias("w"))
+    return rows.select("o_orderkey", words.amount_words_tolerant(F.col("w")).alias("parsed"))
