@@ -132,7 +132,8 @@ def number_candidates(df: DataFrame, key: str, reads: str, length: int, limit: i
     """Candidates of a printed number (key, array of readings): combinations of the digits seen at each position, capped
     in order, with the readings themselves; a single candidate is joined by its one-digit neighbours."""
     base = F.array_distinct(F.filter(reads, lambda d: F.length(d) == length))
-    seen = F.array(*[F.array_sort(F.array_distinct(F.transform("base", lambda d, i=i: F.substring(d, i + 1, 1)))) for i in range(length)])
+    digit = lambda i: lambda d: F.substring(d, i + 1, 1)
+    seen = F.array(*[F.array_sort(F.array_distinct(F.transform("base", digit(i)))) for i in range(length)])
     rows = df.select(key, base.alias("base")).where(F.size("base") > 0)
     all_ = F.array_union(digit_product(seen, limit), F.col("base"))
     rows = rows.withColumn("c", all_).withColumn("c", F.when(F.size("c") == 1, F.array_union("c", numbers.digit_neighbours(F.get("c", F.lit(0))))).otherwise(F.col("c")))
