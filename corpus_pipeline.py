@@ -38,7 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are thinned so that the expected tokens of the domains meet WEIGHTS."""
     model = mixing.train(*_tables(spark, sf_dir), mixing.domain_of_labels())
-    return mixing.mixed(docs, mixing.fit_rates(docs, model, WEIGHTS, high=1.0))
+    return mixing.mixed(docs, mixing.fit_rates(mixing.posteriors(docs, model), model, WEIGHTS, high=1.0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

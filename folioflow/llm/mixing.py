@@ -123,17 +123,21 @@ def add_posteriors(docs: DataFrame, model: Softmax, tokens: str, name: str) -> D
     return map_text(docs, schema, run)
 
 
-def fit_rates(docs: DataFrame, model: Softmax, weights: dict[str, float], tokens: float | None = None, low: float = 0.0, high: float = float("inf"), max_steps: int = 60, tolerance: float = 1e-4) -> Mix:
-    """Rates whose expected domain totals meet ``weights`` (normalised) times ``tokens``.
+def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
+    """doc_id, words and posteriors of every row, written to the shared folder."""
+    return materialize(add_posteriors(doc_columns(docs, "doc_id", "text"), model, "n", "p").select("doc_id", "n", "p"))
+
+
+def fit_rates(narrow: DataFrame, model: Softmax, weights: dict[str, float], tokens: float | None = None, low: float = 0.0, high: float = float("inf"), max_steps: int = 60, tolerance: float = 1e-4) -> Mix:
+    """Rates of a table of ``posteriors`` whose expected domain totals meet ``weights`` (normalised) times ``tokens``.
 
     Without ``tokens`` the budget is all tokens; with an upper bound on rates, the largest that no domain exceeds.
     A domain without a weight has target 0.  Stops when every residual is below ``tolerance`` of the budget,
     or when rates that touch a bound no longer lower them, or after ``max_steps`` passes.
     """
-    spark = docs.sparkSession
-    workers_see_package(spark)
+    workers_see_package(narrow.sparkSession)
     k = len(model.domains)
-    narrow = materialize(add_posteriors(docs.select("text"), model, "n", "p").select("n", "p"))
+    narrow = narrow.select("n", "p")
 
     def sums(steps):
         """Totals at the point from which the next step starts, and the Gram matrix, over all documents."""
@@ -186,10 +190,10 @@ def domain_of_labels() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
 
 
-def _rated(docs: DataFrame, mix: Mix, prefix: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(mix)
-    rows = add_posteriors(docs, mix.model, f"{prefix}n", f"{prefix}p")
-    at = len(rows.columns) - 1
+def rated(rows: DataFrame, mix: Mix, posterior: str, prefix: str = "") -> DataFrame:
+    """The rows with rate and copies, from their posteriors."""
+    shared = rows.sparkSession.sparkContext.broadcast(mix)
+    at = rows.columns.index(posterior)
 
     def run(batches):
         m = shared.value
@@ -198,6 +202,7 @@ def _rated(docs: DataFrame, mix: Mix, prefix: str) -> DataFrame:
                 p = batch.column(at).flatten().to_numpy().reshape(-1, len(m.model.domains))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.rates(p))], names=[*batch.schema.names, f"{prefix}rate"])
 
+    workers_see_package(rows.sparkSession)
     out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(f"{prefix}rate", T.DoubleType())]))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
     return out.withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + chance).cast("long"))
@@ -210,16 +215,16 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, domain: Column, weights:
     empty texts have no tokens, so their rate moves by their posterior alone; repeated rows are rated each by
     itself; without labels all documents share one domain; an empty table gives no rows; other columns are ignored.
     """
-    docs = doc_columns(docs, "doc_id", "text")
     model = train(docs, labelled, domain)
-    rows = _rated(docs, fit_rates(docs, model, weights, **options), "__")
-    posts = [F.get("__p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
-    return rows.select("doc_id", F.col("__n").alias("n_tokens"), *posts, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    narrow = posteriors(docs, model)
+    rows = rated(narrow, fit_rates(narrow, model, weights, **options), "p")
+    posts = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rows.select("doc_id", F.col("n").alias("n_tokens"), *posts, "rate", "copies")
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """Every row as often as its copies say, with the columns of ``docs``."""
-    rows = _rated(docs, mix, "__").where("__copies > 0")
+    rows = rated(add_posteriors(docs, mix.model, "__n", "__p"), mix, "__p", "__").where("__copies > 0")
     if mix.high > 1:
         rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(*docs.columns)

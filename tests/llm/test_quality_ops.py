@@ -125,15 +125,16 @@ def test_mixing_meets_its_targets(spark, low, high, tokens):
     d, l, _ = planted(spark, 200)  # noqa: E741
     model = mixing.train(d, l, mixing.domain_of_labels())
     weights = {"clean": 0.6, "low": 0.3, "toxic": 0.1}
-    mix = mixing.fit_rates(d, model, weights, tokens, low, high, max_steps=400, tolerance=1e-6)
-    rows = mixing._rated(d.select("doc_id", "text"), mix, "__").collect()
-    p, n, r = np.array([x["__p"] for x in rows]), np.array([x["__n"] for x in rows], float), np.array([x["__rate"] for x in rows])
+    narrow = mixing.posteriors(d, model)
+    mix = mixing.fit_rates(narrow, model, weights, tokens, low, high, max_steps=400, tolerance=1e-6)
+    rows = mixing.rated(narrow, mix, "p").collect()
+    p, n, r = np.array([x.p for x in rows]), np.array([x.n for x in rows], float), np.array([x.rate for x in rows])
     assert np.allclose(p.sum(1), 1) and (r >= low).all() and (r <= high).all()
     # Many rates reach the same totals; how near they come to the targets is what is unique.
     miss = lambda x: np.linalg.norm((n * x) @ p - mix.targets) / mix.targets.sum()
     assert miss(r) <= miss(brute_mix(p, n, mix.targets, low, high)) + 1e-3
     assert high < math.inf or miss(r) < 1e-3
-    assert all(math.floor(x["__rate"]) <= x["__copies"] <= math.ceil(x["__rate"]) for x in rows)
+    assert all(math.floor(x.rate) <= x.copies <= math.ceil(x.rate) for x in rows)
 
 
 def test_mixing_odd_tables(spark):
@@ -145,5 +146,5 @@ def test_mixing_odd_tables(spark):
     odd = docs(spark)
     assert mixing.mixing_rates(odd, l, domain, {"clean": 1.0}).count() == len(texts()) + 2
     model = mixing.train(d, l, domain)
-    twice = mixing.mixed(d, mixing.fit_rates(d, model, {"clean": 1.0, "low": 1.0, "toxic": 1.0}, tokens=2 * 60 * 60.0))
+    twice = mixing.mixed(d, mixing.fit_rates(mixing.posteriors(d, model), model, {"clean": 1.0, "low": 1.0, "toxic": 1.0}, tokens=2 * 60 * 60.0))
     assert twice.columns == d.columns and twice.count() > d.count()
