@@ -16,9 +16,12 @@ from .common import doc_columns, materialize
 KEYS = ["__len", "__head", "__sha"]
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a written table of at most ``rows`` rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int, payload: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a written table of at most ``rows`` rows, whose binary column ``payload``, if it has one, holds
+    at most ``most_bytes``; a larger one is joined by a shuffle."""
+    size = F.sum(F.length(payload)) if payload else F.lit(0)
+    n, held = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most_bytes else df
 
 
 def _text(df: DataFrame, normalize: Column | None) -> Column:

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+    return {"op2_ngram_join": ngram_join.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE}

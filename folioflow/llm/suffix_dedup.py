@@ -339,7 +339,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
             if gone.any():
                 yield span_batch(n, doc[gone], start[gone], start[gone] + width)
 
-    texts = docs.join(small(wanted, broadcast_rows), "doc_id").select("doc_id", "text", "asked")
+    texts = docs.join(small(wanted, broadcast_rows, "asked"), "doc_id").select("doc_id", "text", "asked")
     more = by_bucket(map_text(texts, SENT, windows), same_windows, SENT)
     return materialize(by_bucket(spans.unionByName(more), merge, "doc_id long, runs binary"))
 
@@ -376,5 +376,18 @@ def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000
         arrays = [batch.column(0), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    rows = docs.join(small(spans, broadcast_rows), "doc_id", "left").select("doc_id", "text", "runs")
+    rows = docs.join(small(spans, broadcast_rows, "runs"), "doc_id", "left").select("doc_id", "text", "runs")
     return map_text(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text, cut)
+
+
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM h WHERE len(h) >= 100)),
+g AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS m FROM w) WHERE m < doc_id),
+b AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) > 50 AS new FROM g),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b) GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM r),
+k AS (SELECT q.doc_id, sum(z - a) AS n, count(*) AS c, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM q JOIN h USING (doc_id) GROUP BY q.doc_id)
+SELECT h.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""

@@ -91,7 +91,7 @@ def fit(y: np.ndarray, sets: list[np.ndarray], bits: int, sizes=SIZES, least_doc
     return Model(bits, sizes, float(bias), table)
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 20, per_class: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bits: int = 20, per_class: int = 1000) -> Model:
     """``labels``: doc_id and toxic (1 toxic, 0 not). Without labels of both kinds the score is constant."""
     y, sets = _sampled(features.labelled_sample(docs, labels, "toxic", per_class), SIZES, bits)
     return fit(y, sets, bits)
