@@ -33,10 +33,14 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(fold(c), r"[^a-z0-9$]", "")
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def is_negative(c: Column) -> Column:
     """The text says "absent": a listed answer, or one that opens with "no "."""
-    p = plain(c)
-    return p.isin(values.NEGATIVES) | p.startswith("no ")
+    return let(plain(c), lambda p: p.isin(values.NEGATIVES) | p.startswith("no "))
 
 
 def is_flag(c: Column) -> Column:

@@ -80,15 +80,17 @@ def _number(v: Column) -> Column:
 
 
 def with_members(df: DataFrame, payload: Column, name: str) -> DataFrame:
-    """A map of the payload's members: key to (kind, text, present). Of keys that agree after normalisation the first
+    """A map of the payload's members: key to (kind, text, denied, present). Of keys that agree after normalisation the first
     counts. An empty text counts as present, a denial does not."""
     df = df.withColumn("__e", entries(payload))
     df = df.withColumn("__n", _nested_present(F.transform("__e", lambda e: F.when(e["kind"].isin("ARRAY", "OBJECT"), e["text"]))))
     df = df.withColumn("__k", F.transform("__e", lambda e: e["key"]))
+    denied = lambda e: F.when(e["kind"] == "STRING", is_negative(e["text"])).otherwise(False)
+    df = df.withColumn("__e", F.transform("__e", lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("kind"), e["text"].alias("text"), denied(e).alias("denied"))))
 
     def read(e, i):
-        flat = F.when(e["kind"] == "BOOLEAN", e["text"] == "true").when(_number(e), e["text"].try_cast("double") != 0).when(e["kind"] == "STRING", ~is_negative(e["text"]))
-        return F.struct(e["key"].alias("key"), F.struct(e["kind"].alias("kind"), e["text"].alias("text"), F.coalesce(flat, F.get("__n", i), F.lit(False)).alias("present")).alias("value"), (F.array_position("__k", e["key"]) == i + 1).alias("first"))
+        flat = F.when(e["kind"] == "BOOLEAN", e["text"] == "true").when(_number(e), e["text"].try_cast("double") != 0).when(e["kind"] == "STRING", ~e["denied"])
+        return F.struct(e["key"].alias("key"), F.struct(e["kind"].alias("kind"), e["text"].alias("text"), e["denied"].alias("denied"), F.coalesce(flat, F.get("__n", i), F.lit(False)).alias("present")).alias("value"), (F.array_position("__k", e["key"]) == i + 1).alias("first"))
 
     kept = F.transform(F.filter(F.transform("__e", read), lambda x: x["first"]), lambda x: F.struct(x["key"], x["value"]))
     return df.withColumn(name, F.map_from_entries(kept)).drop("__e", "__n", "__k")
@@ -111,7 +113,7 @@ def first_value(m: Column, group: str) -> Column:
 def first_text(m: Column, group: str) -> Column:
     """First alias with a text that is neither blank nor a denial, or with a number; empty if none."""
     text = lambda v: F.btrim(v["text"])
-    return F.coalesce(_first(m, values.ALIASES[group], lambda v: F.when((v["kind"] == "STRING") & (text(v) != "") & ~is_negative(text(v)), text(v)).when(_number(v), text(v))), F.lit(""))
+    return F.coalesce(_first(m, values.ALIASES[group], lambda v: F.when((v["kind"] == "STRING") & (text(v) != "") & ~v["denied"], text(v)).when(_number(v), text(v))), F.lit(""))
 
 
 def any_present(m: Column, keys: list[str]) -> Column:
@@ -148,7 +150,7 @@ def report_rows(df: DataFrame, name: str, payload: str, rules: Rules, as_of: str
     df = _fence(_fence(df, "dates").withColumn("valor_numero", amount).withColumn("__words", amount_words(F.col("valor_texto"))).withColumn("__date", parse_plain_date(F.col("__plain"), rules.formats)), "values")
     own = member(m, "endoso")
     signed_off = F.when((F.col("note") != "") & ~is_negative(F.col("note")), True).when(any_present(m, ["endoso_presente", "tiene_endoso", "endosado"]), True)
-    signed_off = signed_off.when(own["kind"] == "STRING", (F.btrim(own["text"]) != "") & ~is_negative(own["text"])).otherwise(own["present"])
+    signed_off = signed_off.when(own["kind"] == "STRING", (F.btrim(own["text"]) != "") & ~own["denied"]).otherwise(own["present"])
     rows = df.select(
         "nombre_archivo", "cuenta_no", "cheque_no", "a_la_orden_de", "valor_numero",
         F.when(F.col("valor_numero").isNull() & (F.col("kind") != "BOOLEAN"), F.btrim("raw")).alias("valor_numero_texto"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioflow.functions import dates, numbers, text, values, words
 from folioflow.operators import aggregates as ag, candidates as ca, tables as tb, windows as wi
 from folioflow.plans import deciders, report
+from folioflow.session import workers_see_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    workers_see_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -36,7 +38,8 @@ def money(c):
 
 # Records rendered from orders: some keys aliased, some values missing, some amounts or dates broken.
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
-    o = t(spark, sf, "orders")
+    # The table is one row group, and rendering and reading records is work for every core.
+    o = t(spark, sf, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     k, whole = F.col("o_orderkey"), F.floor("o_totalprice").cast("int")
     spelled = words.words_of_amount(F.when(k % 7 == 0, whole + 1).otherwise(whole).cast("decimal(18,2)"))
     day, name = F.date_format("o_orderdate", "yyyy/MM/dd"), F.concat(F.lit("Cliente "), F.col("o_custkey"))
