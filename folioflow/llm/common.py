@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import textkernel as tk
+from . import textkernel as tk, tokens
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -33,8 +33,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where the session leaves Spark's own default; texts are long, so batches stay small.
+BATCH_ROWS = 2000
+
+
 def workers_see_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver did."""
+    """Python workers import this package from where the driver did, and get batches of texts that fit their memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
@@ -44,16 +50,21 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow over slices of bounded size; ``fn`` gets the rows, the bytes of column ``text`` and its offsets."""
+def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], encoder: str | None = None) -> DataFrame:
+    """mapInArrow over slices of bounded size; ``fn`` gets the rows, the bytes of column ``text`` and its offsets.
+
+    Spark reuses workers, so one that held the cache of another operator's tokenizer than ``encoder`` drops it first.
+    """
 
     def run(batches):
+        tokens.forget(encoder)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             buf, offs = tk.batch_text(batch.column(batch.schema.get_field_index("text")))
             for lo, hi in tk.slices(offs):
                 yield from fn(batch.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        pa.default_memory_pool().release_unused()
 
     workers_see_package(df.sparkSession)
     return df.mapInArrow(run, schema)

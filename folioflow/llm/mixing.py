@@ -190,22 +190,26 @@ def domain_of_labels() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
 
 
-def rated(rows: DataFrame, mix: Mix, posterior: str, prefix: str = "") -> DataFrame:
-    """The rows with rate and copies, from their posteriors."""
-    shared = rows.sparkSession.sparkContext.broadcast(mix)
-    at = rows.columns.index(posterior)
+def _copies(rate: str) -> Column:
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
+    return F.floor(F.col(rate) + chance).cast("long")
+
+
+def rated(narrow: DataFrame, mix: Mix) -> DataFrame:
+    """A table of ``posteriors`` with rate and copies."""
+    shared = narrow.sparkSession.sparkContext.broadcast(mix)
+    at = narrow.columns.index("p")
 
     def run(batches):
         m = shared.value
         for batch in batches:
             if batch.num_rows:
                 p = batch.column(at).flatten().to_numpy().reshape(-1, len(m.model.domains))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.rates(p))], names=[*batch.schema.names, f"{prefix}rate"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.rates(p))], names=[*batch.schema.names, "rate"])
 
-    workers_see_package(rows.sparkSession)
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(f"{prefix}rate", T.DoubleType())]))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / (1 << 30)
-    return out.withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + chance).cast("long"))
+    workers_see_package(narrow.sparkSession)
+    out = narrow.mapInArrow(run, T.StructType([*narrow.schema.fields, T.StructField("rate", T.DoubleType())]))
+    return out.withColumn("copies", _copies("rate"))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, domain: Column, weights: dict[str, float], **options) -> DataFrame:
@@ -217,14 +221,23 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, domain: Column, weights:
     """
     model = train(docs, labelled, domain)
     narrow = posteriors(docs, model)
-    rows = rated(narrow, fit_rates(narrow, model, weights, **options), "p")
+    rows = rated(narrow, fit_rates(narrow, model, weights, **options))
     posts = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return rows.select("doc_id", F.col("n").alias("n_tokens"), *posts, "rate", "copies")
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """Every row as often as its copies say, with the columns of ``docs``."""
-    rows = rated(add_posteriors(docs, mix.model, "__n", "__p"), mix, "__p", "__").where("__copies > 0")
+    shared = docs.sparkSession.sparkContext.broadcast(mix)
+
+    def run(batch, buf, offs):
+        m = shared.value
+        ids, first = features.word_ids(buf, offs, m.model.bits)
+        rate = m.rates(m.model.posterior(ids, first, features.structure(buf, offs)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
+
+    rows = map_text(docs, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]), run)
+    rows = rows.withColumn("__copies", _copies("__rate")).where("__copies > 0")
     if mix.high > 1:
         rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(*docs.columns)

@@ -48,5 +48,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int = 4096,
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(out, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = map_text(doc_columns(docs, "doc_id", "text"), schema, cut)
+    pieces = map_text(doc_columns(docs, "doc_id", "text"), schema, cut, encoder=tokenizer_path)
     return numbered(pieces, "sequence_id", F.col("length").desc(), F.col("doc_id"), F.col("start")).withColumn("offset", F.lit(0).cast("long"))

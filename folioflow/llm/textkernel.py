@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text worked on at once; bounds the temporaries of a Python worker.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 

@@ -18,7 +18,7 @@ from . import textkernel as tk
 
 U64 = np.uint64
 #: Pre-tokens a worker holds; beyond this the cache starts anew.
-CACHE_LIMIT = 1_500_000
+CACHE_LIMIT = 800_000
 
 
 class HashTable:
@@ -46,7 +46,7 @@ class HashTable:
 
     def add(self, h: np.ndarray) -> None:
         """New distinct keys get the next slots in order."""
-        while (self.n + len(h)) * 3 > self.mask:
+        while (self.n + len(h)) * 2 > self.mask:
             keys, slots = self.keys, self.slots
             full = keys != 0
             self.mask = self.mask * 2 + 1
@@ -169,6 +169,12 @@ class Encoder:
 _made: dict[tuple, Encoder] = {}
 
 
+def forget(but: str | None = None) -> None:
+    """Drops this worker's encoders, but for those over the file ``but``; called when a worker turns to other work."""
+    for key in [k for k in _made if k[0] != but]:
+        del _made[key]
+
+
 def bpe_encoder(path: str, split: str) -> Encoder:
     """Encoder over a ``tokenizers`` file, one for each worker. split: "spaced" (byte-level pattern, white space kept) or "dropped"."""
     if (path, split) not in _made:
