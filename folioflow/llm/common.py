@@ -79,7 +79,8 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Dense numbers from 0 in the given order: rows are range-partitioned and sorted, and each partition adds the sizes of those before it."""
     spark = df.sparkSession
     n = slots(spark)
-    rows = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # Choosing the ranges reads the rows once more, so they are written first.
+    rows = materialize(materialize(df).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
     part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     # One row for each partition: at most n rows, so its size is known.
     sizes = sorted(rows.groupBy(part.alias("part")).count().collect())
