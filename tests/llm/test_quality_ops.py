@@ -127,7 +127,7 @@ def test_mixing_meets_its_targets(spark, low, high, tokens):
     weights = {"clean": 0.6, "low": 0.3, "toxic": 0.1}
     narrow = mixing.posteriors(d, model)
     mix = mixing.fit_rates(narrow, model, weights, tokens, low, high, max_steps=400, tolerance=1e-6)
-    rows = mixing.rated(narrow, mix, "p").collect()
+    rows = mixing.rated(narrow, mix).collect()
     p, n, r = np.array([x.p for x in rows]), np.array([x.n for x in rows], float), np.array([x.rate for x in rows])
     assert np.allclose(p.sum(1), 1) and (r >= low).all() and (r <= high).all()
     # Many rates reach the same totals; how near they come to the targets is what is unique.
