@@ -3,15 +3,18 @@
 A softmax classifier, fitted on a bounded sample of a labelled table, gives every document a posterior over
 the domains.  Document rates r >= 0 are then fitted so that the expected tokens of each domain,
 sum over documents of r n p_k, come as near as possible (least squares) to the target weight times the token
-budget.  The minimisation is an accelerated projected-gradient descent from r = 1, with steps measured in
-tokens, so that the length of a document does not change its rate.  A document's gradient depends on its own
-posterior and on the K residuals alone: the residuals of all steps so far, K numbers a step, are the whole
-state, and each pass over the narrow table of posteriors replays them and sums K totals.  No rates are
-stored or moved between passes.
+budget, by rates that differ from 1 as little as they can (in squares, weighed by tokens, so that the length of
+a document does not change its rate).  Such rates are r = clip(1 - p . m) with one multiplier m_k for each domain:
+these K numbers are the whole state, found by projected Newton steps.  A pass over the narrow table of posteriors
+sums the K totals at ten step lengths and the K x K Gram matrix of the rates that touch no bound.  A small
+damping, lowered tenfold at each of its optima, keeps the steps finite where targets cannot be met; there the
+fit ends when a lower damping no longer brings the totals nearer, and what is missed is reported as a warning.
+No rates are stored or moved between passes.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,26 +90,18 @@ def train(docs: DataFrame, labelled: DataFrame, domain: Column, bits: int = 16,
     return fit_softmax(names, *features.word_rows(sample, bits), bits, prior / prior.sum())
 
 
-def replay(p: np.ndarray, steps: list[tuple[np.ndarray, float]], low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the given steps (scaled residuals, momentum), and the point from which the next step starts."""
-    r = y = np.ones(len(p))
-    for move, momentum in steps:
-        new = np.clip(y - p @ move, low, high)
-        y, r = new + momentum * (new - r), new
-    return r, y
-
-
 @dataclass
 class Mix:
     model: Softmax
-    steps: list[tuple[np.ndarray, float]]
+    multipliers: np.ndarray
     low: float
     high: float
     targets: np.ndarray
     totals: np.ndarray
+    met: bool
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return replay(p, self.steps, self.low, self.high)[0]
+        return np.clip(1 - p @ self.multipliers, self.low, self.high)
 
 
 def add_posteriors(docs: DataFrame, model: Softmax, tokens: str, name: str) -> DataFrame:
@@ -128,61 +123,87 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
     return materialize(add_posteriors(doc_columns(docs, "doc_id", "text"), model, "n", "p").select("doc_id", "n", "p"))
 
 
-def fit_rates(narrow: DataFrame, model: Softmax, weights: dict[str, float], tokens: float | None = None, low: float = 0.0, high: float = float("inf"), max_steps: int = 60, tolerance: float = 1e-4) -> Mix:
+#: Step lengths tried in one pass.
+LENGTHS = 4.0 ** -np.arange(10)
+
+
+def fit_rates(narrow: DataFrame, model: Softmax, weights: dict[str, float], tokens: float | None = None, low: float = 0.0, high: float = float("inf"), max_steps: int = 200, tolerance: float = 1e-4) -> Mix:
     """Rates of a table of ``posteriors`` whose expected domain totals meet ``weights`` (normalised) times ``tokens``.
 
     Without ``tokens`` the budget is all tokens; with an upper bound on rates, the largest that no domain exceeds.
-    A domain without a weight has target 0.  Stops when every residual is below ``tolerance`` of the budget,
-    or when rates that touch a bound no longer lower them, or after ``max_steps`` passes.
+    A domain without a weight has target 0.  Ends when every residual is below ``tolerance`` of the budget, or
+    when the totals are as near to the targets as the bounds allow; then ``met`` is false and a warning gives the
+    totals.  ``max_steps`` is only a guard: where it ends the fit earlier, an error is raised.
     """
+    if not 0 <= low <= high or high == 0:
+        raise ValueError(f"rates cannot lie between {low} and {high}")
     workers_see_package(narrow.sparkSession)
     k = len(model.domains)
     narrow = narrow.select("n", "p")
 
-    def sums(steps):
-        """Totals at the point from which the next step starts, and the Gram matrix, over all documents."""
+    def sums(points):
+        """Totals at each of the points, and at the first the Gram matrix of the rates between the bounds."""
+        points = np.array(points)
+        size = len(points) * k
 
         def run(batches):
-            total, gram = np.zeros(k), np.zeros((k, k))
+            total, gram = np.zeros((len(points), k)), np.zeros((k, k))
             for batch in batches:
                 if batch.num_rows:
                     n = batch.column(0).to_numpy().astype(float)
                     p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    _, y = replay(p, steps, low, high)
-                    total += (n * y) @ p
-                    if not steps:
-                        gram += p.T @ (n[:, None] * p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + k * k, dtype=np.int32)), pa.array(np.concatenate((total, gram.ravel())))], names=["at", "x"])
+                    free = 1 - p @ points.T
+                    total += (n[:, None] * np.clip(free, low, high)).T @ p
+                    gram += p.T @ ((n * ((free[:, 0] > low) & (free[:, 0] < high)))[:, None] * p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + k * k, dtype=np.int32)), pa.array(np.concatenate((total.ravel(), gram.ravel())))], names=["at", "x"])
 
-        out = np.zeros(k + k * k)
+        out = np.zeros(size + k * k)
         for r in narrow.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             out[r["at"]] = r["x"]
-        return out[:k], out[k:].reshape(k, k)
+        return out[:size].reshape(-1, k), out[size:].reshape(k, k)
 
-    steps: list[tuple[np.ndarray, float]] = []
-    total, gram = sums(steps)
+    m = centre = np.zeros(k)
+    (total,), gram = sums([m])
+    full = total / min(max(1.0, low), high)  # all rates are that at first
     want = np.array([max(weights.get(d, 0.0), 0.0) for d in model.domains])
+    share = want / want.sum() if want.sum() > 0 else want
     if tokens is None:
-        share = want / want.sum() if want.sum() > 0 else want
-        tokens = total.sum() if np.isinf(high) or not share.any() else np.min((total * high)[share > 0] / share[share > 0])
+        tokens = full.sum() if np.isinf(high) or not share.any() else np.min((full * high)[share > 0] / share[share > 0])
     budget = float(tokens)
-    targets = budget * want / want.sum() if want.sum() > 0 else np.zeros(k)
-    longest = float(np.linalg.eigvalsh(gram).max()) if gram.any() else 0.0
-    a, last = 1.0, np.inf
-    while longest > 0 and len(steps) < max_steps:
+    targets = budget * share
+    least = max(budget, 1.0) * tolerance
+    widest = max(float(full.sum()), 1.0)
+    damping, last, steps = widest / 100, np.inf, 0
+    while not (met := bool(np.abs(total - targets).max() < least)):
         e = total - targets
-        worst = float(np.abs(e).max()) / max(budget, 1.0)
-        if worst < tolerance:
-            break
-        b = (1 + np.sqrt(1 + 4 * a * a)) / 2
-        steps.append((e / longest, (a - 1) / b))
-        a = b
-        total, _ = sums(steps)
-        if len(steps) % 20 == 0:
-            if worst > 0.999 * last:
+        off = float(np.linalg.norm(e))
+        slope = damping * (m - centre) - e
+        if np.linalg.norm(slope) <= 0.01 * max(off, least):
+            if damping <= 1e-5 * widest and last - off <= 0.1 * least:
                 break
-            last = worst
-    return Mix(model, steps, low, high, targets, total)
+            centre, last, damping = m, off, damping / 10
+            slope = -e
+        if steps == max_steps:
+            raise RuntimeError(f"after {steps} steps the totals {total} are neither at the targets {targets} nor as near as they can be")
+        steps += 1
+        move = -np.linalg.solve(gram + damping * np.eye(k), slope)
+        along = lambda at, x: float((damping * (at - centre) - (x - targets)) @ move)  # noqa: E731, B023
+        points = [m + s * move for s in LENGTHS]
+        totals, gram = sums(points)
+        rise = [along(at, x) for at, x in zip(points, totals, strict=True)]
+        if rise[0] <= 0.1 * abs(slope @ move):
+            m, total = points[0], totals[0]
+            continue
+        # The whole step is too long: the slope along it grows, so the length where it is 0 lies between two tried ones.
+        i = next((i for i, x in enumerate(rise) if x <= 0), len(rise))
+        a, fa = (LENGTHS[i], rise[i]) if i < len(rise) else (0.0, float(slope @ move))
+        b, fb = LENGTHS[i - 1], rise[i - 1]
+        m = m + (a - fa * (b - a) / (fb - fa)) * move
+        (total,), gram = sums([m])
+    if not met:
+        said = ", ".join(f"{d} {x:.0f} of {y:.0f}" for d, x, y in zip(model.domains, total, targets, strict=True))
+        warnings.warn(f"rates between {low} and {high} cannot meet the targets; nearest totals of tokens: {said}", stacklevel=2)
+    return Mix(model, m, low, high, targets, total, met)
 
 
 def domain_of_labels() -> Column:
@@ -218,6 +239,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, domain: Column, weights:
     copies is floor(rate + a fraction drawn from the hash of doc_id), so its expectation is the rate.  Null and
     empty texts have no tokens, so their rate moves by their posterior alone; repeated rows are rated each by
     itself; without labels all documents share one domain; an empty table gives no rows; other columns are ignored.
+    The totals meet the targets as ``fit_rates`` says: where the bounds rule that out, it warns.
     """
     model = train(docs, labelled, domain)
     narrow = posteriors(docs, model)

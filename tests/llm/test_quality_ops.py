@@ -148,3 +148,23 @@ def test_mixing_odd_tables(spark):
     model = mixing.train(d, l, domain)
     twice = mixing.mixed(d, mixing.fit_rates(mixing.posteriors(d, model), model, {"clean": 1.0, "low": 1.0, "toxic": 1.0}, tokens=2 * 60 * 60.0))
     assert twice.columns == d.columns and twice.count() > d.count()
+
+
+def test_op1_mixing_meets_its_own_targets(spark):
+    sf, weights = "/root/testdata/sf0.1", {"clean": 0.9, "low": 0.04, "toxic": 0.06}
+    rows = registry.op1_mixing(spark, sf).collect()
+    n, r = np.array([x.n_tokens for x in rows], float), np.array([x.rate for x in rows])
+    for d, w in weights.items():
+        total = (n * r) @ np.array([x[f"p_{d}"] for x in rows])
+        assert abs(total - w * n.sum()) <= 1.01e-4 * n.sum(), d
+
+
+def test_mixing_warns_of_targets_out_of_reach(spark):
+    d, l, _ = planted(spark, 60)  # noqa: E741
+    model = mixing.train(d, l, mixing.domain_of_labels())
+    narrow = mixing.posteriors(d, model)
+    with pytest.warns(UserWarning, match="cannot meet the targets"):
+        mix = mixing.fit_rates(narrow, model, {"clean": 1.0}, tokens=1e6, high=1.0)
+    assert not mix.met and mixing.fit_rates(narrow, model, {"clean": 0.6, "low": 0.3, "toxic": 0.1}).met
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(narrow, model, {"clean": 0.6, "low": 0.3, "toxic": 0.1}, max_steps=1)
