@@ -523,6 +523,17 @@ def unanimous_number(spark, sf):
     return deciders.unanimous_number(e, "k", 2, 10).select("k", "value", "review")
 
 
+@query("""
+WITH r AS (SELECT user_id AS k, event_id AS pos, (event_id % 3 + 100)::VARCHAR AS d, CASE WHEN event_id % 2 = 0 THEN 0.95 ELSE 0.9 END AS c FROM events),
+n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), v AS (SELECT k, d, count(*) AS votes, min(c) AS low, min(pos) AS f FROM r GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY votes DESC, f) = 1)
+SELECT k, d AS value, NOT (votes = n AND votes / n * low >= 0.9) AS review, n AS readings FROM n JOIN b USING (k)""")
+def unanimous_number_of_all(spark, sf):
+    """As unanimous_number, but every event is a reading; with the number of readings of each key."""
+    e = t(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"), F.concat(F.lit("N "), F.col("event_id") % 3 + 100).alias("text"), F.when(F.col("event_id") % 2 == 0, 0.95).otherwise(0.9).alias("confidence"))
+    return deciders.unanimous_number(e, "k", 2, 10).join(e.groupBy("k").agg(F.count("*").alias("readings")), "k").select("k", "value", "review", "readings")
+
+
 @query("""
 WITH s AS (SELECT l_orderkey AS k, (l_linenumber + 100)::VARCHAR AS candidate, sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 4 END * floor(l_quantity))::DOUBLE AS score FROM lineitem GROUP BY ALL),
 r AS (SELECT *, coalesce(score - lead(score) OVER w, 99.0) AS margin FROM s WINDOW w AS (PARTITION BY k ORDER BY score DESC, candidate) QUALIFY row_number() OVER w = 1)
