@@ -211,6 +211,10 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
     spark = docs.sparkSession
     workers_see_package(spark)
     n = slots(spark)
+    if width < GRAM:
+        raise ValueError(f"width {width} is below {GRAM}")
+    # A run has at most width - GRAM further windows.
+    further = np.uint8 if width - GRAM < 256 else np.uint32
     docs = doc_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     cuts = spark.sparkContext.broadcast(splitters(docs, n, width))
 
@@ -229,7 +233,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
             k = ~gone
             bucket = bucket_of(cuts.value, lead[k], rest[k], run[k])
             by = np.lexsort((lead[k], bucket))
-            cols = (lead[k], rest[k].astype(np.uint32), (run[k] >> U64(16)).astype(np.uint32), (run[k] & U64(0xFFFF)).astype(np.uint16), first[k].astype(np.uint32), more[k].astype(np.uint8))
+            cols = (lead[k], rest[k].astype(np.uint32), (run[k] >> U64(16)).astype(np.uint32), (run[k] & U64(0xFFFF)).astype(np.uint16), first[k].astype(np.uint32), more[k].astype(further))
             yield 0, send(bucket[by], doc[k][by], *(c[by] for c in cols))
 
         for batch in batches:
@@ -251,7 +255,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
 
     def compare(batches):
         marks = cuts.value
-        for b, (doc, lead, rest, hi, lo, first, more) in received(batches, (np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8)):
+        for b, (doc, lead, rest, hi, lo, first, more) in received(batches, (np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, further)):
             run = (hi.astype(U64) << U64(16)) | lo
             order = multikey_order([lead, rest, run, doc])
             doc, lead, rest, run, first, more = (c[order] for c in (doc, lead, rest, run, first, more))
@@ -347,7 +351,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
 def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, kept: the remaining bytes) of every row.
 
-    A byte goes if a string of ``width`` bytes over it also starts in a document with a smaller doc_id.  A null
+    A byte goes if a string of ``width`` bytes (24 at least) over it also starts in a document with a smaller doc_id.  A null
     text counts as empty.  A row without doc_id gives and loses nothing.  Rows of one doc_id do not count
     against each other, and spans found for an id hold for all its rows, as far as their texts reach.  An empty
     table gives no rows; other columns are ignored.

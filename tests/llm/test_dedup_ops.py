@@ -141,3 +141,14 @@ def test_registered_queries_over_whole_tables(spark, sf):
     near = brute_near(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in registry.op2_ngram_join(spark, sf).collect()} == near
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.op6_suffix_dedup(spark, sf).collect()} == brute_repeats(rows)
+
+
+def test_repeats_of_wide_windows(spark):
+    r = random.Random(4)
+    shared = "".join(r.choice("abcdefgh") for _ in range(900))
+    rows = [(0, shared), (1, "x" * 70 + shared), (2, shared[:330] + "y" + shared[300:])]
+    for width in (24, 279, 280, 320):
+        got = suffix_dedup.remove_repeats(docs(spark, rows), width=width).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, width)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs(spark, rows), width=23)
