@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as tk
 from .common import map_text
@@ -82,13 +82,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """
     rows = labels.select("doc_id", labels[column].alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 != held_out).dropDuplicates(["doc_id"])
-    kinds = sorted(r[0] for r in rows.select("label").distinct().limit(100).collect())
+    kinds = sorted(r[0] for r in rows.select("label").distinct().limit(101).collect())
     if not kinds:
         return rows.join(docs.select("doc_id", "text"), "doc_id")
     picked = None
-    for k in kinds:
-        some = rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
+    if len(kinds) <= 100:
+        for k in kinds:
+            some = rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+            picked = some if picked is None else picked.unionByName(some)
+    else:
+        # Too many for a plan of one branch each: the first of each label's 64 parts, then the first of those.
+        picked = rows.withColumns({"__h": F.xxhash64("doc_id"), "__part": F.pmod(F.xxhash64("doc_id"), F.lit(64))})
+        for by in (("label", "__part"), ("label",)):
+            picked = picked.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy("__h", "doc_id"))).where(F.col("__at") <= per_class)
+        picked = picked.select("doc_id", "label")
     texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
 

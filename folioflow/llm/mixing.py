@@ -80,9 +80,14 @@ def fit_softmax(domains: list[str], y: np.ndarray, ids: np.ndarray, first: np.nd
 
 
 def train(docs: DataFrame, labelled: DataFrame, domain: Column, bits: int = 16, per_class: int = 1200) -> Softmax:
-    """``labelled``: a table with doc_id; ``domain``: expression over it that names a row's domain (null rows are passed over)."""
+    """``labelled``: a table with doc_id; ``domain``: expression over it that names a row's domain (null rows are passed over).
+
+    More than 1,000 domains raise ValueError, since the model holds a row of weights for each of its buckets.
+    """
     rows = labelled.select("doc_id", domain.alias("domain")).where("domain IS NOT NULL")
-    counts = sorted((r.domain, r["count"]) for r in rows.groupBy("domain").count().limit(1000).collect())
+    counts = sorted((r.domain, r["count"]) for r in rows.groupBy("domain").count().limit(1001).collect())
+    if len(counts) > 1000:
+        raise ValueError("more than 1,000 domains")
     names = [d for d, _ in counts] or ["all"]
     prior = np.array([c for _, c in counts] or [1], float)
     number = F.array_position(F.array(*map(F.lit, names)), F.col("domain")) - 1

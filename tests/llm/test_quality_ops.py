@@ -4,6 +4,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import mixing, quality_fm, quality_rules, registry, toxicity
 
@@ -168,3 +169,19 @@ def test_mixing_warns_of_targets_out_of_reach(spark):
     assert not mix.met and mixing.fit_rates(narrow, model, {"clean": 0.6, "low": 0.3, "toxic": 0.1}).met
     with pytest.raises(RuntimeError):
         mixing.fit_rates(narrow, model, {"clean": 0.6, "low": 0.3, "toxic": 0.1}, max_steps=1)
+
+
+def test_sample_holds_every_one_of_many_labels(spark):
+    rows = [(i, i % 150) for i in range(1800)]
+    labels = spark.createDataFrame(rows, "doc_id long, k int")
+    d = docs(spark, [(i, f"text {i}") for i, _ in rows])
+    got = {}
+    for r in mixing.features.labelled_sample(d, labels, "k", 3).collect():
+        got.setdefault(r.label, set()).add(r.doc_id)
+    assert {k: len(v) for k, v in got.items()} == {k: min(3, sum(not held(i) for i in range(k, 1800, 150))) for k in range(150)}
+    few = {}
+    for r in mixing.features.labelled_sample(d, labels.where("k < 5"), "k", 3).collect():
+        few.setdefault(r.label, set()).add(r.doc_id)
+    assert few == {k: got[k] for k in range(5)}
+    with pytest.raises(ValueError):
+        mixing.train(d, labels, F.col("doc_id").cast("string"))
