@@ -78,10 +78,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """At most ``per_class`` rows of each value of a label: doc_id, label, text.
 
     Rows whose crc32(doc_id as text) mod 3 is ``held_out`` are left out; the others are taken in the order of
-    a hash of doc_id.  The sample is bounded, so it is broadcast and the texts stay where they are.
+    a hash of doc_id.  Of several labels of one doc_id the smallest counts.  The sample is bounded, so it is
+    broadcast and the texts stay where they are.
     """
     rows = labels.select("doc_id", labels[column].alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-    rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 != held_out).dropDuplicates(["doc_id"])
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 != held_out).groupBy("doc_id").agg(F.min("label").alias("label"))
     kinds = sorted(r[0] for r in rows.select("label").distinct().limit(101).collect())
     if not kinds:
         return rows.join(docs.select("doc_id", "text"), "doc_id")

@@ -7,6 +7,7 @@ numpy, so no Python code runs per word.  Texts are UTF-8 bytes laid end to end i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,10 +83,48 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return c
 
 
+#: Spans of more bytes than this are hashed by BLAKE2.
+LONG_SPAN = 256
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_STEP = U64(0xD6E8FEB86659FD93)
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on (and at the end) as one little-endian number, zeros beyond the end."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def lead(w: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First bytes, eight at most, of spans of ``n`` bytes; ``w``: the text's ``eights``."""
+    return w[starts] & _LOW_BYTES[np.minimum(n, 8)]
+
+
+def tail(w: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Last eight bytes of spans longer than eight, else 0.  With the length, lead and tail are all of a span of at most 16."""
+    return np.where(n > 8, w[np.maximum(ends - 8, 0)], U64(0))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span, a function of the span's bytes alone."""
-    c = prefix_hash(buf)
-    return mix((c[ends] - c[starts]) * powers(len(buf) + 1)[1][starts])
+    """64-bit hash of every span, a function of the span's bytes alone: eight bytes at a time, with a full mix after each."""
+    w, n = eights(buf), ends - starts
+    h = mix((lead(w, starts, n) + U64(1)) * U64(_BASE) + n.astype(U64) * _STEP)
+    more, at = np.flatnonzero((n > 8) & (n <= LONG_SPAN)), 8
+    while len(more):
+        h[more] = mix((h[more] ^ lead(w, starts[more] + at, n[more] - at)) * _STEP + U64(at))
+        more, at = more[n[more] > at + 8], at + 8
+    for i in np.flatnonzero(n > LONG_SPAN):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether spans of ``n`` bytes (one at least) of two texts are equal."""
+    if len(n) == 0:
+        return np.zeros(0, bool)
+    begin = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) - np.repeat(begin, n)
+    return np.logical_and.reduceat(a[np.repeat(a_at, n) + at] == b[np.repeat(b_at, n) + at], begin)
 
 
 def doc_starts(buf_len: int, offs: np.ndarray) -> np.ndarray:

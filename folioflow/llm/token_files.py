@@ -43,6 +43,8 @@ class SequenceWriter:
         self.parts, self.held, self.total = [], 0, 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {ids.max()} does not fit {self.dtype}")
         self.parts.append(ids.astype(self.dtype))
         self.held += len(ids)
         self.total += len(ids)
@@ -65,15 +67,19 @@ class SequenceWriter:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len: int = 2048, split: str = "spaced", wide: bool = False, out_dir: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len: int = 2048, split: str = "spaced", out_dir: str | None = None) -> DataFrame:
     """Write the files and return their manifest: part, path, docs_path, n_docs, n_tokens, base (tokens of all files before it).
 
     Rows are written in ascending doc_id order (null first; equal ids in order of their texts), each text
-    followed by ``end_id``.  A null text counts as empty.  An empty table writes no files.  ``wide``: 32-bit ids.
+    followed by ``end_id``.  A null text counts as empty, and texts of any length are written whole.  Repeated rows
+    are each written; an empty table writes no files; other columns are ignored.  Ids have 16 bits if the
+    tokenizer's largest id and ``end_id`` fit, else 32.
     """
     spark = docs.sparkSession
     out_dir = out_dir or shared_dir(spark) + "/tokens"
-    dtype = np.uint32 if wide else np.uint16
+    if not 0 <= end_id < 1 << 32:
+        raise ValueError(f"id {end_id} does not fit 32 bits")
+    dtype = np.uint16 if max(tokens.largest_id(tokenizer_path), end_id) < 1 << 16 else np.uint32
 
     def write(batches):
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -82,7 +88,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len
             if batch.num_rows == 0:
                 continue
             if writer is None:
-                fs, root = pafs.FileSystem.from_uri(out_dir)
+                fs, root = file_system(out_dir)
                 fs.create_dir(root, recursive=True)
                 names = [f"{root}/part-{part:06d}{x}.arrow" for x in ("", ".docs")]
                 sinks = [fs.open_output_stream(f"{x}.{attempt}") for x in names]
@@ -116,12 +122,46 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, seq_len
     return spark.createDataFrame([(p, u, v, d, n, b) for p, _, _, d, n, b, u, v in files], "part int, path string, docs_path string, n_docs long, n_tokens long, base long")
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for an address as Spark writes it."""
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        return pafs.FileSystem.from_uri(f"s3://{rest}")
+    if scheme == "viewfs":
+        return pafs.HadoopFileSystem("default"), "/" + rest.partition("/")[2]
+    return pafs.FileSystem.from_uri(uri)
+
+
 def open_ipc(uri: str):
     """Reader of an Arrow file; memory-mapped, so without copies, where the file system is local."""
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = file_system(uri)
     return pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path))
 
 
+class Sequences:
+    """Random access to one file: ``len`` of it, and sequence ``k`` as an array of ids and one of mask bits.
+
+    Where the file system is local both are views of the mapped file: nothing is read before it is touched, and
+    nothing is copied.
+    """
+
+    def __init__(self, path: str):
+        self.file = open_ipc(path)
+        n = self.file.num_record_batches
+        self.len = (n - 1) * BATCH_SEQS + self.file.get_batch(n - 1).num_rows if n else 0
+
+    def __len__(self) -> int:
+        return self.len
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if not 0 <= k < self.len:
+            raise IndexError(k)
+        batch = self.file.get_batch(k // BATCH_SEQS)
+        ids, mask = batch.column(0), batch.column(1)
+        size, at = ids.type.list_size, k % BATCH_SEQS * ids.type.list_size
+        return ids.values.slice(at, size).to_numpy(zero_copy_only=True), mask.values.slice(at, size)
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (over all files), n_tokens, ids_crc32 of every document, from the files alone."""
 
