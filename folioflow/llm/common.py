@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from . import textkernel as tk, tokens
 
@@ -18,9 +18,11 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset in local mode (tests), below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -70,6 +72,27 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch, np.ndarra
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small(df: DataFrame, rows: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a written table of at most ``rows`` rows that hold at most ``most_bytes``, counting 16 bytes a
+    row, 8 a number and the bytes of strings and binaries; a larger one is joined by a shuffle."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8))
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most_bytes else df
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, under those names; whatever else a table has cannot clash."""
     return docs.select(*[docs[n] for n in names])
