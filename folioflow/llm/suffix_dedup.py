@@ -2,16 +2,17 @@
 
 Every 50-byte window owns one suffix: the one that starts at its smallest 24-gram (by hash), a choice that
 depends on the window's bytes alone, so equal windows of any two documents own equal suffixes.  Only those
-suffixes, about one in fourteen, are sorted.  Sampled splitters range-partition them by their leading bytes;
-a bucket sorts its suffixes by multikey quicksort (eight leading bytes, the rest of the 24-gram, then the
-whole run of windows that own the suffix) and compares neighbours.  Where a run of windows is equal to one
-in a document with a smaller doc_id, its bytes go.  Where suffixes agree but the runs around them do not, or
-where a splitter cuts a group of equal suffixes in two, the windows themselves are compared in a second
-round of the same kind, keyed by window.  Spans then meet by document.
-
-Before anything moves, each task drops all but the smallest document of every run of windows it holds
-several times, so a passage found in any share of all rows reaches a bucket once from each task.  What
-moves are packed arrays, not texts.
+suffixes, about one in fourteen, are sorted.  Sampled splitters range-partition them by their leading 24 bytes;
+a bucket, whose number grows with the data, sorts its suffixes by multikey quicksort (those bytes, eight at a
+time, then the run of windows that own the suffix) and compares neighbours.  Where a run of windows is equal to
+one in a document with a smaller doc_id, its bytes go.  Where suffixes agree but the runs around them do not,
+or where a splitter cuts a group of equal suffixes in two, the windows themselves are compared in a second
+round, keyed by window.  Spans then meet by document.
+
+Before anything moves, in both rounds, each task drops all but the smallest document of every run or window it
+holds several times, so a passage found in any share of all rows reaches a bucket once from each task.  What
+moves are packed arrays, not texts.  Two runs are equal if their suffixes' 24 bytes are and a 64-bit hash of
+the whole run (at most 2 * width - 24 bytes) is; two windows, if 96 bits of hash are.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as tk
-from .common import doc_columns, map_text, materialize, slots, workers_see_package
-from .exact_dedup import small
+from .common import doc_columns, map_text, materialize, small, workers_see_package
 
 U64 = np.uint64
 GRAM = 24
 #: Suffixes a task holds before it packs and sends them.
 HELD = 400_000
-#: Documents whose suffixes choose the splitters, and suffixes taken from each.
+#: Bytes of text whose suffixes make one bucket.
+BUCKET_BYTES = 16 << 20
+#: Documents, at least, whose suffixes choose the splitters, and suffixes taken from each.
 SAMPLE_DOCS, SAMPLE_EACH = 20_000, 16
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """Columns byte plane by byte plane, compressed."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
     return len(columns[0]).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
@@ -44,17 +47,18 @@ def unpack(data: bytes, *dtypes) -> list[np.ndarray]:
     sizes = [np.dtype(d).itemsize * n for d in dtypes]
     raw = pa.Codec("zstd").decompress(data[8:], sum(sizes), asbytes=True)
     for d, s in zip(dtypes, sizes, strict=True):
-        out.append(np.frombuffer(raw, d, n, at))
+        planes = np.frombuffer(raw, np.uint8, s, at).reshape(np.dtype(d).itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(d).ravel())
         at += s
     return out
 
 
 def window_runs(buf: np.ndarray, offs: np.ndarray, width: int):
-    """The suffixes that windows own: for each, its document, start, and the first and last window (all within ``buf``); with the prefix hash."""
+    """The suffixes that windows own: for each, its document, start, and the first and last window (all within ``buf``)."""
     n = len(buf)
     none = [np.zeros(0, np.int64)] * 4
     if n < width:
-        return *none, None
+        return none
     c = tk.prefix_hash(buf)
     inv = tk.powers(n + 1)[1]
     m = n - GRAM + 1
@@ -83,22 +87,17 @@ def window_runs(buf: np.ndarray, offs: np.ndarray, width: int):
     new[offs[long]] = True
     first = np.flatnonzero(new)
     if len(first) == 0:
-        return *none, None
+        return none
     # A run ends where the next begins or where its document's windows end.
     doc = np.searchsorted(offs, first, "right") - 1
     last = np.minimum(np.append(first[1:], n) - 1, offs[doc + 1] - width)
-    return doc, x[first].astype(np.int64), first, last, c
+    return doc, x[first].astype(np.int64), first, last
 
 
-def suffix_keys(buf, c, pos, first, last, width) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Eight leading bytes (big-endian), hash of the gram's other bytes (32 bits), hash of the run (48 bits)."""
-    lead = np.zeros(len(pos), U64)
-    for k in range(8):
-        lead = (lead << U64(8)) | buf[pos + k]
-    inv = tk.powers(len(buf) + 1)[1]
-    rest = tk.mix((c[pos + GRAM] - c[pos + 8]) * inv[pos + 8]) >> U64(32)
-    run = tk.mix((c[last + width] - c[first]) * inv[first]) >> U64(16)
-    return lead, rest, run
+def suffix_keys(buf, pos, first, last, width) -> list[np.ndarray]:
+    """The suffix's 24 leading bytes as three numbers that sort as the bytes do, and the hash of the run."""
+    w = tk.eights(buf)
+    return [*(w[pos + k].byteswap() for k in (0, 8, 16)), tk.span_hashes(buf, first, last + width)]
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -170,80 +169,88 @@ def received(batches, dtypes):
         yield done()
 
 
+def send_to_docs(n: int, doc, start, more) -> pa.RecordBatch:
+    """Starts and lengths on their way to their documents."""
+    return send((tk.mix(doc.astype(U64)) % U64(n)).astype(np.int32), doc, start.astype(np.uint32), more.astype(np.uint32))
+
+
 def span_batch(n: int, doc, start, end) -> pa.RecordBatch:
-    """Spans on their way to their documents."""
-    return send((tk.mix(doc.astype(U64)) % U64(n)).astype(np.int32), doc, start.astype(np.uint32), (end - start).astype(np.uint32))
+    return send_to_docs(n, doc, start, end - start)
+
 
+KEY_NAMES = ["a", "b", "c", "run"]
 
-def splitters(docs: DataFrame, n: int, width: int) -> list[np.ndarray]:
-    """n - 1 cuts of the suffixes' order, from a sample of at most SAMPLE_DOCS * SAMPLE_EACH suffixes (or so)."""
-    total = docs.count()
+
+def splitters(docs: DataFrame, n: int, total: int, width: int) -> list[np.ndarray]:
+    """n - 1 cuts of the suffixes' order, from a sample of about SAMPLE_EACH suffixes of SAMPLE_DOCS documents, or n / 2 if that is more."""
 
     def some(batch, buf, offs):
-        doc, pos, first, last, c = window_runs(buf, offs, width)
+        doc, pos, first, last = window_runs(buf, offs, width)
         if len(doc):
             at = np.flatnonzero(starts_of(doc))
             ends = np.append(at[1:], len(doc))
             pick = np.unique(np.concatenate([np.linspace(a, b - 1, min(SAMPLE_EACH, b - a)).astype(np.int64) for a, b in zip(at, ends, strict=True)]))
-            lead, rest, run = suffix_keys(buf, c, pos[pick], first[pick], last[pick], width)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (lead, rest, run)], names=["lead", "rest", "run"])
+            keys = suffix_keys(buf, pos[pick], first[pick], last[pick], width)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in keys], names=KEY_NAMES)
 
-    rows = docs if total <= SAMPLE_DOCS else docs.sample(False, SAMPLE_DOCS / total, 7)
-    got = map_text(rows.select("text"), "lead long, rest long, run long", some).toArrow()
-    cols = [got.column(i).to_numpy().view(U64) for i in range(3)]
+    wanted = max(SAMPLE_DOCS, n // 2)
+    rows = docs if total <= wanted else docs.sample(False, wanted / total, 7)
+    got = map_text(rows.select("text"), ", ".join(f"{k} long" for k in KEY_NAMES), some).toArrow()
+    cols = [got.column(i).to_numpy().view(U64) for i in range(4)]
     order = np.lexsort(cols[::-1])
     cut = order[(np.arange(1, n) * len(order)) // n] if len(order) else order
     return [c[cut] for c in cols]
 
 
-def bucket_of(cuts: list[np.ndarray], lead, rest, run) -> np.ndarray:
-    """Number of cuts that are not above each suffix."""
-    if len(cuts[0]) == 0:
-        return np.zeros(len(lead), np.int32)
-    lo, hi = np.searchsorted(cuts[0], lead, "left"), np.searchsorted(cuts[0], lead, "right")
+def bucket_of(cuts: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """Number of cuts that are not above each suffix; the suffixes are sorted."""
+    lo, hi = np.searchsorted(keys[0], cuts[0], "left"), np.searchsorted(keys[0], cuts[0], "right")
     for i in np.flatnonzero(lo < hi):
-        lo[i] += sum((cuts[1][j], cuts[2][j]) <= (rest[i], run[i]) for j in range(lo[i], hi[i]))
-    return lo.astype(np.int32)
+        a, b = lo[i], hi[i]
+        for k, c in zip(keys[1:], cuts[1:], strict=True):
+            a, b = a + np.searchsorted(k[a:b], c[i], "left"), a + np.searchsorted(k[a:b], c[i], "right")
+        lo[i] = a
+    return np.cumsum(np.bincount(lo, minlength=len(keys[0]) + 1)[: len(keys[0])]).astype(np.int32)
 
 
-def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000) -> DataFrame:
+def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id and the packed maximal runs of bytes to remove (int64 starts and ends), for the documents that lose any."""
     spark = docs.sparkSession
     workers_see_package(spark)
-    n = slots(spark)
     if width < GRAM:
         raise ValueError(f"width {width} is below {GRAM}")
     # A run has at most width - GRAM further windows.
     further = np.uint8 if width - GRAM < 256 else np.uint32
     docs = doc_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    cuts = spark.sparkContext.broadcast(splitters(docs, n, width))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(8, -(-size // bucket_bytes))
+    cuts = spark.sparkContext.broadcast(splitters(docs, n, total, width))
+    kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, further)
 
     def deal(batches):
         held, size = [], 0
 
         def flush():
-            doc, lead, rest, run, first, more = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = multikey_order([run, lead, doc])
-            run, lead, rest, doc, first, more = (c[order] for c in (run, lead, rest, doc, first, more))
-            new = starts_of(run, lead)
+            doc, a, b, c, run, first, more = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = multikey_order([a, b, c, run, doc])
+            doc, a, b, c, run, first, more = (x[order] for x in (doc, a, b, c, run, first, more))
+            new = starts_of(a, b, c, run)
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             gone = doc > least
             if gone.any():
                 yield 1, span_batch(n, doc[gone], first[gone], first[gone] + more[gone] + width)
             k = ~gone
-            bucket = bucket_of(cuts.value, lead[k], rest[k], run[k])
-            by = np.lexsort((lead[k], bucket))
-            cols = (lead[k], rest[k].astype(np.uint32), (run[k] >> U64(16)).astype(np.uint32), (run[k] & U64(0xFFFF)).astype(np.uint16), first[k].astype(np.uint32), more[k].astype(further))
-            yield 0, send(bucket[by], doc[k][by], *(c[by] for c in cols))
+            keys = [x[k] for x in (a, b, c, run)]
+            yield 0, send(bucket_of(cuts.value, keys), doc[k], *keys, first[k].astype(np.uint32), more[k].astype(further))
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
             buf_all, offs_all = tk.batch_text(batch.column(1))
             for lo, hi in tk.slices(offs_all):
                 buf, offs = buf_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
-                doc, pos, first, last, c = window_runs(buf, offs, width)
+                doc, pos, first, last = window_runs(buf, offs, width)
                 if len(doc):
-                    held.append((ids[lo:hi][doc], *suffix_keys(buf, c, pos, first, last, width), first - offs[doc], last - first))
+                    held.append((ids[lo:hi][doc], *suffix_keys(buf, pos, first, last, width), first - offs[doc], last - first))
                     size += len(doc)
                     if size >= HELD:
                         yield from tagged(flush())
@@ -255,12 +262,11 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
 
     def compare(batches):
         marks = cuts.value
-        for b, (doc, lead, rest, hi, lo, first, more) in received(batches, (np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, further)):
-            run = (hi.astype(U64) << U64(16)) | lo
-            order = multikey_order([lead, rest, run, doc])
-            doc, lead, rest, run, first, more = (c[order] for c in (doc, lead, rest, run, first, more))
+        for bucket, (doc, a, b, c, run, first, more) in received(batches, kinds):
+            order = multikey_order([a, b, c, run, doc])
+            doc, a, b, c, run, first, more = (x[order] for x in (doc, a, b, c, run, first, more))
             first, more = first.astype(np.int64), more.astype(np.int64)
-            group, same = starts_of(lead, rest), starts_of(lead, rest, run)
+            group, same = starts_of(a, b, c), starts_of(a, b, c, run)
             least = doc[np.flatnonzero(same)][np.cumsum(same) - 1]
             gone = doc > least
             if gone.any():
@@ -269,26 +275,29 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
             at, g = np.flatnonzero(group), np.cumsum(group) - 1
             runs = np.add.reduceat(same.astype(np.int64), at)
             ask = (runs > 1) & (np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at))
-            for cut in (b - 1, b):
+            for cut in (bucket - 1, bucket):
                 if 0 <= cut < len(marks[0]):
-                    ask |= (lead[at] == marks[0][cut]) & (rest[at] == marks[1][cut])
+                    ask |= (a[at] == marks[0][cut]) & (b[at] == marks[1][cut]) & (c[at] == marks[2][cut])
             k = ask[g] & ~gone
             if k.any():
-                yield 2, send((tk.mix(doc[k].astype(U64)) % U64(n)).astype(np.int32), doc[k], first[k].astype(np.uint32), more[k].astype(np.uint32))
+                yield 2, send_to_docs(n, doc[k], first[k], more[k])
 
     # Spans that a task found by itself pass through the same shuffle, on to their document's bucket.
-    def first_round(batches):
-        mine = []
-        for batch in batches:
-            kinds = batch.column(0).to_numpy()
-            rows = batch.select(SENT_NAMES)
-            mine.append(rows.filter(pa.array(kinds == 0)))
-            spans = batch.filter(pa.array(kinds == 1))
-            if spans.num_rows:
-                yield spans
-        yield from tagged(compare(mine))
-
-    rounds = materialize(dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(first_round, "kind int, " + SENT))
+    def passing(fn):
+        def run(batches):
+            mine = []
+            for batch in batches:
+                kinds = batch.column(0).to_numpy()
+                rows = batch.select(SENT_NAMES)
+                mine.append(rows.filter(pa.array(kinds != 1)))
+                spans = batch.filter(pa.array(kinds == 1))
+                if spans.num_rows:
+                    yield spans
+            yield from tagged(fn(mine))
+
+        return run
+
+    rounds = materialize(dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(passing(compare), "kind int, " + SENT))
     spans, asked = rounds.where("kind = 1").drop("kind"), rounds.where("kind = 2").drop("kind")
 
     def merge(batches):
@@ -319,40 +328,64 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
 
     wanted = materialize(by_bucket(asked, listed, "doc_id long, asked binary"))
 
-    def windows(batch, buf, offs):
-        ids, asked = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-        doc, start = [], []
-        for i, a in enumerate(asked):
-            first, more = np.frombuffer(a, np.uint32).reshape(2, -1).astype(np.int64)
-            s = np.unique(np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1))
-            s = s[s + width <= offs[i + 1] - offs[i]]
-            doc.append(np.full(len(s), i)), start.append(s)
-        doc, start = np.concatenate(doc), np.concatenate(start)
-        at = start + offs[doc]
-        h = tk.span_hashes(buf, at, at + width)
-        order = np.argsort(h, kind="stable")
-        bucket = ((h[order] >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
-        yield send(bucket, ids[doc[order]], h[order], start[order].astype(np.uint32))
+    def windows(batches):
+        """The asked windows, without those of which this task holds an equal one of a smaller document: these are spans."""
+        held, size = [], 0
+
+        def flush():
+            doc, h, more, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = multikey_order([h, more, doc])
+            doc, h, more, start = (x[order] for x in (doc, h, more, start))
+            new = starts_of(h, more)
+            gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            if gone.any():
+                yield 1, span_batch(n, doc[gone], start[gone], start[gone] + width)
+            k = ~gone
+            yield 2, send(((h[k] >> U64(32)) * U64(n) >> U64(32)).astype(np.int32), doc[k], h[k], more[k], start[k].astype(np.uint32))
+
+        for batch in batches:
+            ids, asked = batch.column(0).to_numpy(), batch.column(2)
+            buf_all, offs_all = tk.batch_text(batch.column(1))
+            for lo, hi in tk.slices(offs_all):
+                buf, offs = buf_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
+                for i, packed in enumerate(asked.slice(lo, hi - lo).to_pylist()):
+                    first, more = np.frombuffer(packed, np.uint32).reshape(2, -1).astype(np.int64)
+                    s = np.unique(np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1))
+                    s = s[s + width <= offs[i + 1] - offs[i]]
+                    if len(s) == 0:
+                        continue
+                    at = s + offs[i]
+                    # Words of eight bytes lie differently in the two spans, so that their hashes are independent.
+                    part = buf[at[0] : at[-1] + width]
+                    at -= at[0]
+                    held.append((np.full(len(s), ids[lo + i]), tk.span_hashes(part, at, at + width), (tk.span_hashes(part, at + 1, at + width) >> U64(32)).astype(np.uint32), s))
+                    size += len(s)
+                    if size >= HELD:
+                        yield from tagged(flush())
+                        held, size = [], 0
+        if held:
+            yield from tagged(flush())
 
     def same_windows(batches):
-        for _, (doc, h, start) in received(batches, (np.uint64, np.uint32)):
-            order = np.lexsort((doc, h))
-            doc, h, start = doc[order], h[order], start[order].astype(np.int64)
-            new = starts_of(h)
+        for _, (doc, h, more, start) in received(batches, (np.uint64, np.uint32, np.uint32)):
+            order = multikey_order([h, more, doc])
+            doc, h, more, start = doc[order], h[order], more[order], start[order].astype(np.int64)
+            new = starts_of(h, more)
             gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             if gone.any():
-                yield span_batch(n, doc[gone], start[gone], start[gone] + width)
+                yield 1, span_batch(n, doc[gone], start[gone], start[gone] + width)
 
-    texts = docs.join(small(wanted, broadcast_rows, "asked"), "doc_id").select("doc_id", "text", "asked")
-    more = by_bucket(map_text(texts, SENT, windows), same_windows, SENT)
-    return materialize(by_bucket(spans.unionByName(more), merge, "doc_id long, runs binary"))
+    texts = docs.join(small(wanted, broadcast_rows), "doc_id").select("doc_id", "text", "asked")
+    tagged_schema = "kind int, " + SENT
+    more = by_bucket(texts.mapInArrow(windows, tagged_schema), passing(same_windows), tagged_schema)
+    return materialize(by_bucket(spans.unionByName(more.drop("kind")), merge, "doc_id long, runs binary"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, kept: the remaining bytes) of every row.
 
     A byte goes if a string of ``width`` bytes (24 at least) over it also starts in a document with a smaller doc_id.  A null
-    text counts as empty.  A row without doc_id gives and loses nothing.  Rows of one doc_id do not count
+    text counts as empty, and texts of any length are read whole.  A row without doc_id gives and loses nothing.  Rows of one doc_id do not count
     against each other, and spans found for an id hold for all its rows, as far as their texts reach.  An empty
     table gives no rows; other columns are ignored.
     """
@@ -380,7 +413,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000
         arrays = [batch.column(0), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
-    rows = docs.join(small(spans, broadcast_rows, "runs"), "doc_id", "left").select("doc_id", "text", "runs")
+    rows = docs.join(small(spans, broadcast_rows), "doc_id", "left").select("doc_id", "text", "runs")
     return map_text(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text, cut)
 
 
