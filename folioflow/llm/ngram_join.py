@@ -7,9 +7,15 @@ a single class first, then shared ones by rarity: a class whose prefix is filled
 done, and the others give only the few shared shingles that their prefix reaches.  Classes that share one are
 chained, and the chains' connected components are the blocks.  Inside a block every
 class queries the block's inverted index: the lists of its shingles are divided into the longest and the
-rest, the short ones merged, and ids that occur often enough are looked up in the long ones by binary
-search, which leaves exactly the sets with the required overlap.  Blocks over ``block_shingles`` are cut
-into chunks, and every pair of chunks is searched by a task of its own, so memory stays bounded and no link is lost.
+rest, the short ones merged by a heap that skips what cannot reach the count, and ids that occur often enough are
+looked up in the long ones by binary search, which leaves exactly the sets with the required overlap.
+
+Blocks over ``block_shingles`` or ``block_sets`` are cut into chunks, and every pair of chunks is searched by a task
+of its own, so memory stays bounded and no link is lost.  A block of more than ``most_chunks`` chunks (chains merge
+as data grows) is divided by prefix shingle instead: a class goes to the group of each shared shingle of its
+prefix, and two classes are compared where the smallest shingle that both prefixes share has its group.
+
+Shingles are equal if 64-bit hashes of them are, sets if two such hashes of the whole set are.
 
 Numbers of classes are exact for a fixed share of the shingles (COUNTED_SHARE, by hash); frequent ones, by a
 sketch of the counts over all documents (a table of fixed size), and the rest come last in the order.
@@ -17,13 +23,16 @@ sketch of the counts over all documents (a table of fixed size), and the rest co
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as tk
-from .common import doc_columns, map_text, materialize, slots, workers_see_package
-from .exact_dedup import small
+from .common import doc_columns, map_text, materialize, slots, small, workers_see_package
 from .graph import components
 
 U64 = np.uint64
@@ -104,6 +113,30 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
 
+def frequent_ids(ids: list[int], spans: list[tuple[int, int]], need: int) -> Iterator[tuple[int, int]]:
+    """Numbers that stand in at least ``need`` of the ascending runs ``ids[a:b]``, with their counts: a merge by a heap
+    of the runs' first numbers, which skips whatever fewer than ``need`` runs can hold."""
+    heads = [(ids[a], a, b) for a, b in spans if a < b]
+    heapify(heads)
+    while len(heads) >= need:
+        low, out = heads[0][0], []
+        while heads and heads[0][0] == low:
+            out.append(heappop(heads))
+        if len(out) >= need:
+            yield low, len(out)
+            to = low + 1
+        else:
+            while heads and len(out) < need - 1:
+                out.append(heappop(heads))
+            if not heads:
+                return
+            to = heads[0][0]
+        for _, a, b in out:
+            a = bisect_left(ids, to, a, b)
+            if a < b:
+                heappush(heads, (ids[a], a, b))
+
+
 class Index:
     """Inverted index over the sets of a block, which are numbered by ascending size."""
 
@@ -113,6 +146,7 @@ class Index:
         owner = np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(at, kind="stable")
         self.ids = owner[order]
+        self.listed = self.ids.tolist()
         self.edge = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(self.tokens)))))
 
     def search(self, query: np.ndarray, percent: int, after: int | None) -> np.ndarray:
@@ -128,16 +162,13 @@ class Index:
         t = t[np.argsort(lens, kind="stable")]
         aside = min(int(need / (MU * np.log2(max(int(lens.max()), 2)) + 1)), need - 1)
         short, long = t[: len(t) - aside], t[len(t) - aside :]
-        # The lists are sorted runs, which a stable sort merges.
-        merged = np.sort(np.concatenate([self.ids[self.edge[k] : self.edge[k + 1]] for k in short]), kind="stable")
+        spans = list(zip(self.edge[short].tolist(), self.edge[short + 1].tolist(), strict=True))
         if after is not None:
-            merged = merged[np.searchsorted(merged, after, "right") :]
-        if len(merged) == 0:
-            return merged
-        head = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-        found, count = merged[head], np.diff(np.append(head, len(merged)))
-        enough = count >= need - aside
-        found, count = found[enough], count[enough]
+            spans = [(bisect_left(self.listed, after + 1, a, b), b) for a, b in spans]
+        pairs = list(frequent_ids(self.listed, spans, need - aside))
+        if not pairs:
+            return np.zeros(0, np.int64)
+        found, count = np.array(pairs).T
         fits = (100 * self.size[found] >= percent * n) & (100 * n >= percent * self.size[found])
         found, count = found[fits], count[fits]
         for k in long:
@@ -150,13 +181,16 @@ class Index:
         return found[100 * count >= percent * (n + self.size[found] - count)]
 
 
-def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list, list]:
+def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, key: int | None = None, prefixes: list[np.ndarray] | None = None) -> tuple[list, list]:
     """Links of one task as a spanning forest of edges, and for each class the documents in the classes it links to.
 
-    side: 0 everywhere for a search of a chunk in itself, else 1 and 2 for the two chunks.
+    side: 0 everywhere for a search of a chunk in itself, else 1 and 2 for the two chunks.  With ``key``, only pairs
+    whose smallest common entry of ``prefixes`` (sorted) is that key.
     """
     order = np.lexsort((reps, [len(s) for s in sets]))
     reps, weights, side, sets = reps[order], weights[order], side[order], [sets[i] for i in order]
+    if key is not None:
+        prefixes = [prefixes[i] for i in order]
     parent = np.arange(len(reps))
 
     def root(x):
@@ -174,6 +208,10 @@ def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets:
     for k, q in enumerate(left):
         found = right[index.search(sets[q], percent, k if within else None)]
         found = found[reps[found] != reps[q]]
+        if key is not None and len(found):
+            # The key is in both; an earlier one in common means that another group has the pair.
+            before = prefixes[q][: np.searchsorted(prefixes[q], key)]
+            found = found[[not np.isin(prefixes[f][: np.searchsorted(prefixes[f], key)], before).any() for f in found]]
         links[q] += weights[found].sum()
         np.add.at(links, found, weights[q])
         for r in found:
@@ -184,13 +222,14 @@ def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets:
     return edges, [(int(reps[i]), int(links[i])) for i in np.flatnonzero(links)]
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 400_000, block_sets: int = 400, most_chunks: int = 16, broadcast_rows: int = 1_000_000, with_hashes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links of every row.
 
     A text of fewer than ``width`` words is one shingle; a text without words, or null, has none, links with
     nothing and is its own component.  A row without doc_id keeps component_id null and links with nothing.
-    Repeated rows share their class.  An empty table gives no rows; other columns are ignored.
-    n_links counts linked rows, equal sets included.
+    Repeated rows share their class.  Rows of one doc_id with unequal texts count as one document, which has the links
+    of all of them.  Texts of any length are read whole.  An empty table gives no rows; other columns are ignored.
+    n_links counts linked rows, equal sets included.  with_hashes: also s1 and s2, two hashes of the set.
     """
     spark = docs.sparkSession
     docs = doc_columns(docs, "doc_id", "text")
@@ -286,53 +325,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     block = components(linked.where("b IS NOT NULL").select("a", "b").unionByName(heads.select("key", "a").join(firsts, "key").select("a", "b")))
     block = block.unionByName(block.select(F.col("root").alias("node"), "root").distinct()).withColumnsRenamed({"node": "rep", "root": "block"})
 
-    # 3. Blocks, in chunks where they are large.
+    # 3. Blocks, in chunks where they are large; by prefix shingle where they are too large for that.
     routed = materialize(open_classes.select("rep", "n").join(block, "rep"))
     sets = sets.join(small(routed.select("rep", "block"), broadcast_rows), "rep").dropDuplicates(["s1", "s2"]).select("rep", "w", "block", "members")
-    sizes = routed.groupBy("block").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks"))
-    cut = sizes.where("chunks > 1")
-    sets = sets.join(small(materialize(cut), broadcast_rows), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunk_count = lambda: F.ceil(F.greatest(F.sum("n") / block_shingles, F.count("*") / block_sets)).cast("int").alias("chunks")
+    whole = F.lit(0).cast("long").alias("key")
+    sizes = routed.groupBy("block").agg(chunk_count())
+    cut = materialize(sizes.where("chunks > 1"))
+    sets = sets.join(small(cut, broadcast_rows), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    columns = ["block", "key", "chunks", "rep", "w", "members", "prefix"]
+    tasks = sets.where(F.col("chunks") <= most_chunks).select("block", whole, "chunks", "rep", "w", "members", F.lit(None).cast("array<long>").alias("prefix"))
+    huge = cut.where(F.col("chunks") > most_chunks).select("block")
+    if not huge.isEmpty():
+        inside = routed.join(small(huge, broadcast_rows), "block").select("rep", "n", "block")
+        keys_of = materialize(routes.select("rep", "key").join(small(inside, broadcast_rows), "rep").distinct())
+        groups = materialize(keys_of.groupBy("key").agg(chunk_count(), F.count("*").alias("classes")).where("classes > 1").select("key", "chunks"))
+        prefix = keys_of.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("prefix"))
+        spread = keys_of.join(small(groups, broadcast_rows), "key").select("rep", "key", F.col("chunks").alias("c"))
+        large = sets.where(F.col("chunks") > most_chunks).drop("chunks").join(prefix, "rep").join(spread, "rep")
+        tasks = tasks.unionByName(large.withColumnRenamed("c", "chunks").select(*columns))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"), F.when(k == mine, 0).when(mine < k, 1).otherwise(2).alias("side")))
-    tasks = sets.withColumn("p", F.explode(pairs)).select("block", "p.i", "p.j", "rep", "w", "p.side", "members")
+    tasks = tasks.withColumn("p", F.explode(pairs)).select("block", "key", "p.i", "p.j", "rep", "w", "p.side", "members", "prefix")
 
     def search(batches):
         held: list = []
 
         def flush():
             reps, w, side = (np.array([r[k] for r in held]) for k in (1, 2, 3))
-            edges, links = search_block(reps, w, side, [np.frombuffer(r[4], U64) for r in held], percent)
+            prefixes = None if held[0][5] is None else [np.array(r[5]) for r in held]
+            edges, links = search_block(reps, w, side, [np.frombuffer(r[4], U64) for r in held], percent, None if prefixes is None else held[0][0][1], prefixes)
             rows = [(a, b, 0) for a, b in edges] + [(a, None, k) for a, k in links]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "b", "links"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for block, i, j, rep, w, side, members in zip(*cols, strict=True):
-                if held and held[0][0] != (block, i, j):
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            for block, key, i, j, rep, w, side, members, prefix in zip(*cols, strict=True):
+                if held and held[0][0] != (block, key, i, j):
                     yield flush()
                     held = []
-                held.append(((block, i, j), rep, w, side, members))
+                held.append(((block, key, i, j), rep, w, side, members, prefix))
         if held:
             yield flush()
 
-    found = materialize(tasks.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(search, "a long, b long, links long"))
+    by = ["block", "key", "i", "j"]
+    found = materialize(tasks.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(search, "a long, b long, links long"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = classes.join(links, "rep", "left").where("w > 1 OR links IS NOT NULL").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = materialize(named.select("s1", "s2", F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")))
     out = signed.join(small(named, broadcast_rows), ["s1", "s2"], "left")
     alone = F.col("component_id").isNull() | F.col("doc_id").isNull() | (F.col("n") == 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), *(["s1", "s2"] if with_hashes else []))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, that of the smallest doc_id, with the columns of ``docs``.
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component stays, that of the smallest doc_id, with the columns of ``docs``, whatever their names.
 
-    Rows without doc_id stay.  Rows that repeat a doc_id go only where their texts have equal sets.
+    Rows without doc_id stay, and so do rows without words.  Rows that repeat a doc_id go together where their texts
+    have equal sets; where they have not, all of them stay.
     """
     # Few enough rows stay in a component of their own to need no look-up: only those that go are joined.
-    found = near_duplicates(docs)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    found = near_duplicates(docs, with_hashes=True, **options)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), *[f("s" + k).alias(g + k) for k in "12" for f, g in ((F.min, "low"), (F.max, "high"))])
+    gone = materialize(ids.where("doc_id <> least AND low1 = high1 AND low2 = high2").select("doc_id"))
     return docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import exact_dedup, graph, ngram_join, registry, suffix_dedup
 
@@ -57,10 +58,10 @@ def near_rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
-def test_near_duplicates_equal_brute_force(spark, block):
+@pytest.mark.parametrize("shingles,sets,chunks,few", [(400_000, 400, 16, 1_000_000), (300, 400, 16, 5), (400_000, 2, 1, 1_000_000), (300, 3, 0, 5)])
+def test_near_duplicates_equal_brute_force(spark, shingles, sets, chunks, few):
     rows = near_rows()
-    got = ngram_join.near_duplicates(docs(spark, rows), block_shingles=block, broadcast_rows=5 if block < 1000 else 1_000_000)
+    got = ngram_join.near_duplicates(docs(spark, rows), block_shingles=shingles, block_sets=sets, most_chunks=chunks, broadcast_rows=few)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute_near(rows)
 
 
@@ -73,6 +74,26 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == docs(spark).columns
 
 
+def test_rows_of_one_id_with_unequal_texts(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = docs(spark, [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (8, "alone here"), (8, "alone here")])
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(rows).collect()) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (8, 8)]
+    assert sorted(r.doc_id for r in ngram_join.drop_near_duplicates(rows).collect()) == [3, 5, 5, 8, 8]
+
+
+def test_heap_merge_equals_counting():
+    r = random.Random(8)
+    for _ in range(200):
+        runs = [sorted(r.sample(range(30), r.randint(0, 12))) for _ in range(r.randint(1, 9))]
+        ids, spans = [], []
+        for x in runs:
+            spans.append((len(ids), len(ids) + len(x)))
+            ids += x
+        need = r.randint(1, 6)
+        want = [(k, c) for k in range(30) if (c := sum(k in x for x in runs)) >= need]
+        assert list(ngram_join.frequent_ids(ids, spans, need)) == want
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90)], "a long, b long")
     got = {r.node: r.root for r in graph.components(chain).collect()}
@@ -82,8 +103,9 @@ def test_components_of_a_chain(spark):
 
 def test_exact_dedup(spark):
     rows = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (6, "x" * 300 + "1"), (7, "x" * 300 + "2"), (8, "x" * 300 + "1"), (None, "a"), (None, "lonely")]
-    for few in (1_000_000, 0):
-        got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.decide(docs(spark, rows), broadcast_rows=few).selectExpr("doc_id", "__keep AS keep_id", "__size AS group_size", "__kept AS kept").collect()), key=str)
+    for few, bits in ((1_000_000, exact_dedup.FILTER_BITS), (0, exact_dedup.ROW_BITS), (0, exact_dedup.FILTER_BITS)):
+        decided, names = exact_dedup.decide(docs(spark, rows), broadcast_rows=few, filter_bits=bits)
+        got = sorted((tuple(r) for r in decided.select("doc_id", *names[:3]).collect()), key=str)
         want = [(1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, False), (3, 3, 1, True), (4, 5, 2, False), (5, 5, 2, True), (6, 8, 2, False), (7, 7, 1, True), (8, 8, 2, True), (None, 2, 4, False), (None, None, 1, True)]
         assert got == sorted(want, key=str)
     one = {r.doc_id: r.text_sha256 for r in exact_dedup.exact_dedup(docs(spark, [(1, "é"), (2, None)])).collect()}
@@ -93,6 +115,22 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark).limit(0)).count() == 0
 
 
+def test_only_rows_that_may_have_a_copy_are_hashed(spark):
+    """The filter passes what shares length and first characters; one bit a row for all others."""
+    rows = docs(spark, [(i, f"text {i:04d}") for i in range(300)] + [(900, "text 0007"), (901, "x" * 300 + "1"), (902, "x" * 300 + "2")])
+    bits = exact_dedup.survivors(rows)
+    got = exact_dedup.hashed(rows, bits, "sha").where("sha IS NOT NULL")
+    assert sorted(r.doc_id for r in got.collect()) == [7, 900, 901, 902]
+
+
+def test_dropping_stands_columns_of_any_name(spark):
+    rows = docs(spark, [(1, "same text"), (2, "same text"), (3, "other")]).withColumns({n: F.lit(n) for n in ("__keep", "__size", "__sha", "___sha", "__row", "__bits", "__key", "s1", "s2", "rep", "key", "block")})
+    kept = exact_dedup.drop_copies(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id, r["__sha"]) for r in kept.collect()) == [(2, "__sha"), (3, "__sha")]
+    near = ngram_join.drop_near_duplicates(rows)
+    assert near.columns == rows.columns and sorted(r.doc_id for r in near.collect()) == [1, 3]
+
+
 def brute_repeats(rows, width=50):
     seen, out = {}, {}
     for i, t in sorted(rows):
