@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -38,6 +39,12 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def replace_each(c: Column, pattern: str, f) -> Column:
+    """The text with every match of the pattern replaced by ``f`` of it. ``f`` also sees every single character that
+    belongs to no match, so it must leave such a character as it is."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s){pattern}|."), F.lit(0)), f), "")
+
+
 def is_negative(c: Column) -> Column:
     """The text says "absent": a listed answer, or one that opens with "no "."""
     return let(plain(c), lambda p: p.isin(values.NEGATIVES) | p.startswith("no "))
@@ -75,3 +82,36 @@ def glued_title(c: Column) -> Column:
 
 def confidence_band(c: Column, high: float, mid: float) -> Column:
     return F.when(c >= high, "high").when(c >= mid, "mid").otherwise("low")
+
+
+def anchor_pattern(anchor: str) -> str:
+    """Regular expression for a printed label as scanners read it: accents and look-alike signs, lost blanks and full stops;
+    labels of up to five letters only as whole words. Fillers after the label belong to it."""
+    body = "".join(r"\s*" if ch == " " else r"\.?" if ch == "." else values.SEEN_AS.get(ch, re.escape(ch)) for ch in anchor.lower())
+    edge = "a-záéíóúñ"
+    return r"(?iu)" + (f"(?<![{edge}]){body}(?![{edge}])" if len(anchor) <= 5 else body) + r"[\s:.\-_=*]*"
+
+
+def after_anchor(c: Column, anchors: list[str]) -> Column:
+    """What follows the first anchor in the list that the text holds; null without one."""
+    pieces = [F.when(F.regexp_like(c, F.lit(p)), F.regexp_extract(c, f"{p}(?s:(.*))", 1)) for p in map(anchor_pattern, anchors)]
+    return F.coalesce(*pieces)
+
+
+def stripped_payee(c: Column) -> Column:
+    """A payee's text without the printed label before it and the amount that strayed in behind it."""
+    t = F.regexp_replace(F.trim(c), r"(?iu)^\W*(p[aá]guese\s*a\s*)?(la\s*)?orden\s*de\W*", "")
+    return F.btrim(F.regexp_replace(t, r"(?i)\s*u\.?\s*s\.?\s*\$.*$", ""), F.lit(" .,-_"))
+
+
+def stripped_city(c: Column) -> Column:
+    """What stands before the first digit, without the printed label and all but letters."""
+    t = F.get(F.split(F.coalesce(c, F.lit("")), "[0-9]"), F.lit(0))
+    t = F.regexp_replace(t, r"(?iu)^\W*(ciudad\s*(y\s*fecha)?|lugar\s*y\s*fecha(\s*de\s*emisi[oó]n)?)\W*", "")
+    return F.btrim(F.regexp_replace(t, "[^A-Za-zÁÉÍÓÚÑÜáéíóúñü .]", ""), F.lit(" .,"))
+
+
+def name_case(c: Column) -> Column:
+    """Capitals at the start of words, particles small unless they come first."""
+    w = F.split(F.lower(F.trim(c)), r"\s+")
+    return F.array_join(F.transform(w, lambda x, i: F.when((i > 0) & x.isin(values.PARTICLES), x).otherwise(F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))), " ")

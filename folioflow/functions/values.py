@@ -1,5 +1,37 @@
 """Word lists, formats and weights whose exact content defines the results."""
 
+# Words of 0 to 29, of the tens and of the hundreds, by position.
+ONES = [
+    "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce",
+    "quince", "dieciseis", "diecisiete", "dieciocho", "diecinueve", "veinte", "veintiuno", "veintidos", "veintitres", "veinticuatro",
+    "veinticinco", "veintiseis", "veintisiete", "veintiocho", "veintinueve",
+]
+TENS = ["", "", "", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa"]
+HUNDREDS = ["", "ciento", "doscientos", "trescientos", "cuatrocientos", "quinientos", "seiscientos", "setecientos", "ochocientos", "novecientos"]
+# Letters that stand for digits inside a number.
+LOOKALIKES = {"o": "0", "O": "0", "l": "1", "I": "1", "|": "1", "s": "5", "S": "5", "B": "8", "Z": "2"}
+# Letters that stand for digits inside a magnetic line, and inside dates by two dialects.
+LINE_LOOKALIKES = {"O": "0", "o": "0", "D": "0", "Q": "0", "C": "4", "S": "5", "s": "5", "B": "8", "I": "1", "l": "1", "|": "1", "Z": "2", "G": "6", "b": "6"}
+DATE_LOOKALIKES = {"o": "0", "O": "0", "D": "0", "l": "1", "I": "1", "|": "1", "i": "1", "Z": "2", "z": "2", "a": "2", "s": "5", "S": "5", "b": "6", "G": "6", "g": "9", "q": "9", "B": "8", "T": "7"}
+DATE_LOOKALIKES_REPAIR = {"o": "0", "O": "0", "d": "0", "D": "0", "i": "1", "I": "1", "l": "1", "L": "1", "|": "1", "s": "5", "S": "5", "z": "2", "Z": "2", "b": "6", "g": "9", "q": "9", "a": "9"}
+# English months.
+MONTHS_ENGLISH = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "jan": 1, "apr": 4, "aug": 8, "dec": 12,
+}
+# Written dates that may stand anywhere in a text. D day, N month in digits, Y year, M month word, S separator.
+DATES_ANYWHERE = [
+    r"\bD(?:\s*\bde\s+|S)M(?:\s*\bdel?\s+|S)Y\b",
+    r"\bYSMSD\b",
+    r"\bMSDSY\b",
+    r"\bY\s*[/\-.,]\s*N\s*[/\-.,]\s*D\b",
+    r"\bD\s*[/\-.]\s*N\s*[/\-.]\s*Y\b",
+]
+# Forms of amounts in figures of the bilingual and of the repair dialect.
+AMOUNT_BILINGUAL = r"(?<![0-9/])([0-9]{1,3}(?:[.,' ][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+(?:[.,][0-9]{1,2})?)(?![0-9/])"
+AMOUNT_REPAIR = r"[0-9]{1,3}(?:[.,\s][0-9]{3})+(?:[.,][0-9]{1,2})?|[0-9]+[.,][0-9]{1,2}|[0-9]+"
+CURRENCY_SIGNS = r"(?i)us\s*\$|usd|\$|s/\.?|€|\*|#"
+
 # Answers that mean "absent".
 NEGATIVES = ["no", "n", "false", "falso", "0", "ausente", "sin firma", "no presente", "no detectada", "no detectado", "ninguna", "ninguno", "null", "none"]
 # Answers that mean "present" without saying more.
@@ -67,6 +99,11 @@ TOLERANT_UNITS = {
 }
 TOLERANT_FILLERS = ["y", "de", "dolares", "dolar", "usd", "us", "moneda", "americanos", "norteamericanos", "exactos", "son", "la", "suma", "los", "estados", "unidos", "america", "00", "pesos", "m"]
 TOLERANT_EXTRA = ["con", "centavo", "centavos", "ctvs", "cts", "del", "solo", "cientos", "cientas"]
+# The tolerant parser's vocabulary besides these: the strict number words without two misspellings, and scales.
+TOLERANT_WORDS = [w for w in UNITS if w not in ("docientos", "tresientos")]
+SCALES = ["mil", "millon", "millones"]
+# Pairs of letters that scanners read for one, in the order in which they are undone.
+DIGRAPHS = [("+", "t"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d")]
 # Digits that scanners put into words.
 DIGIT_LETTERS = {"1": "i", "0": "o", "5": "s", "3": "e", "4": "a", "8": "b"}
 
@@ -75,3 +112,8 @@ REVIEW_BELOW = 0.80
 PRINTED_WEIGHT = 0.4
 NUMBER_MARGIN = 4.0
 REQUIRED_FLOOR = 0.6
+AMOUNT_FIT = -0.5
+AMOUNT_MARGIN = 5.0
+# Signs that scanners read for a letter of a printed label; name particles that stay small.
+SEEN_AS = {"a": "[aáàäâã@]", "e": "[eéèëê]", "i": "[iíìïî1l!|]", "o": "[oóòöô0]", "u": "[uúùüûv]", "n": "[nñ]", "s": "[s5$]"}
+PARTICLES = ["de", "del", "la", "las", "los", "y"]

@@ -27,7 +27,7 @@ def best_weight_per_reading(df: DataFrame, keys: list[str], reading: str, value:
 def winner_margin(df: DataFrame, keys: list[str], value: str, score: str, alone: float = 99.0, half_life: float = 3.0) -> DataFrame:
     """Best candidate of each group, its margin over the runner-up, and a confidence that grows with the margin.
 
-    Ties go to the smaller value. Only the two best scores of a group are kept while aggregating.
+    Ties go to the smaller value. Candidates of a group are ordered by a window: their number is small.
     """
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(value))
     ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("margin", F.coalesce(F.col(score) - F.lead(score).over(w), F.lit(alone)))
@@ -68,3 +68,45 @@ def accuracy_matrix(df: DataFrame, keys: list[str], expected: Column, found: Col
         F.count_if(~right & ~sent).alias("error_auto"), F.count_if(~right & sent).alias("error_review"), F.count("*").alias("total"),
     )
     return out.withColumn("accuracy", (F.col("ok_auto") + F.col("ok_review")) / F.col("total")).withColumn("automatic", (F.col("ok_auto") + F.col("error_auto")) / F.col("total"))
+
+
+def mean_confidence(c: Column) -> Column:
+    """Mean to three places; 0 where there is none."""
+    return F.coalesce(F.round(F.avg(c), 3), F.lit(0.0))
+
+
+def overall_confidence(whole: Column, parts: Column) -> Column:
+    """A record's own confidence, unless it is missing or 0, else the mean of its fields'."""
+    return F.coalesce(F.nullif(whole, F.lit(0.0)), parts)
+
+
+def reading_score(confidence: Column, text: Column) -> Column:
+    """Confidence weighted by length: compares two readings of one page."""
+    return F.coalesce(F.sum(confidence * F.length(text)), F.lit(0.0))
+
+
+def reading_utility(score: Column, number_words: Column, amount_in_words: Column, has_fraction: Column) -> Column:
+    """A reading's score with what it keeps of a written amount."""
+    return score + 12 * number_words + F.when(amount_in_words.isNotNull(), 40).otherwise(0) + F.when(has_fraction, 8).otherwise(0)
+
+
+def poor_reading(df: DataFrame, keys: list[str], confidence: Column, text: Column, least: int = 6, low: float = 18.0) -> DataFrame:
+    """Readings with few boxes, a low score, or many boxes of one or two letters (handwriting cut letter by letter)."""
+    out = df.groupBy(*keys).agg(F.count("*").alias("boxes"), reading_score(confidence, text).alias("score"), F.count_if(F.length(text) <= 2).alias("short"))
+    return out.withColumn("poor", (F.col("boxes") < least) | (F.col("score") < low) | (F.col("short") >= F.greatest(F.lit(4.0), 0.45 * F.col("boxes"))))
+
+
+def review_summary(df: DataFrame, valid: Column, review: Column, confidence: Column) -> DataFrame:
+    """Rows, those verified, those to review, and their mean confidence."""
+    return df.agg(F.count("*").alias("total"), F.count_if(valid & ~review).alias("verified"), F.count_if(review).alias("to_review"), mean_confidence(confidence).alias("confidence"))
+
+
+def step_times(df: DataFrame, keys: list[str], seconds: str, total: Column | None = None) -> DataFrame:
+    """Count, mean to six places and maximum of a step's time; with ``total`` also the time left: mean times what is not done."""
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(seconds), 6).alias("mean"), F.max(seconds).alias("longest"))
+    return out if total is None else out.withColumn("left", F.round(F.col("mean") * F.greatest(total - F.col("n"), F.lit(0)), 3))
+
+
+def median_scale(df: DataFrame, keys: list[str], value: str, least: int = 3, otherwise: float = 1.0) -> DataFrame:
+    """Median of each group, or ``otherwise`` where fewer than ``least`` values are there."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.when(F.count(value) >= least, F.median(value)).otherwise(otherwise).alias("scale"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -52,38 +53,109 @@ def closest(c: Column, vocabulary: list[str], cutoff: float) -> Column:
     return run(c)
 
 
-def ctc_scores(df: DataFrame, matrix: str, steps: str, candidate: str, alphabet: str, name: str = "score", penalty: float = 2.5) -> DataFrame:
-    """Best alignment score of a candidate with a reader's probability matrix (steps x classes, flat; class 0 is blank).
+def _same_letter(letter: str, seen: str) -> bool:
+    """A letter may be seen in either case, and a bare one with any accent."""
+    return letter.lower() in (seen.lower(), unicodedata.normalize("NFD", seen.lower())[:1])
 
-    Log-probabilities of the aligned frames are summed; frames before and after the candidate are free if blank is
-    their likeliest class, and cost ``penalty`` otherwise. ``alphabet``: characters of classes 1 and up.
+
+def ctc_scores(df: DataFrame, matrix: str, steps: str, candidate: str, alphabet: str, name: str = "score", penalty: float = 2.5, as_blank: str = " ") -> DataFrame:
+    """How well a reader's probability matrix (steps x classes, flat; class 0 is blank) spells a candidate: the best
+    alignment's log-probability less that of the likeliest classes, so 0 is the most there is.
+
+    Frames outside the candidate count as their likeliest class, less ``penalty`` where that is no blank. A letter may be
+    seen in either case and with any accent; blanks in the candidate are passed over, and the characters ``as_blank``
+    are blank. ``alphabet``: characters of classes 1 and up. Null for a candidate without
+    characters or with one that no class spells.
     """
-    position = {ch: i + 1 for i, ch in enumerate(alphabet)}
+    blanks = [0] + sorted({alphabet.index(ch) + 1 for ch in as_blank if ch in alphabet})
 
     def one(flat, t, text) -> float | None:
-        if flat is None or text is None or not t or any(ch not in position for ch in text):
+        letters = [ch for ch in text or "" if ch != " "]
+        if flat is None or not t or not letters:
             return None
-        p = np.log(np.maximum(np.asarray(flat, float).reshape(int(t), -1), 1e-12))
-        outside = np.where(p.argmax(1) == 0, 0.0, -penalty)
+        p = np.asarray(flat, float).reshape(int(t), -1)
+        log = lambda x: np.log(x + 1e-12)
+        best = log(p.max(1))
+        outside = np.where(np.isin(p.argmax(1), blanks), 0.0, -penalty) + best
         before = np.concatenate(([0.0], np.cumsum(outside)))
-        labels = [0]
-        for ch in text:
-            labels += [position[ch], 0]
-        state = np.full(len(labels), -np.inf)
-        best = -np.inf if len(labels) > 1 else before[-1]
-        skip = np.array([i >= 2 and labels[i] and labels[i] != labels[i - 2] for i in range(len(labels))])
-        for k in range(int(t)):
-            move = np.maximum(state, np.concatenate(([-np.inf], state[:-1])))
-            move = np.where(skip, np.maximum(move, np.concatenate(([-np.inf, -np.inf], state[:-2]))), move) if len(labels) > 2 else move
-            if len(labels) > 1:
-                move[1] = max(move[1], before[k])
-            state = move + p[k, labels]
-            state[0] = -np.inf
-            best = max(best, max(state[-1], state[-2] if len(labels) > 1 else -np.inf) + before[-1] - before[k + 1])
-        return float(best)
+        # One column for each state: blank, first letter, blank, second letter, ..., blank.
+        emit = np.empty((len(p), 2 * len(letters) + 1))
+        emit[:, ::2] = log(p[:, blanks].sum(1))[:, None]
+        for k, ch in enumerate(letters):
+            seen = [i + 1 for i, a in enumerate(alphabet) if _same_letter(ch, a)]
+            if not seen:
+                return None
+            emit[:, 2 * k + 1] = log(p[:, seen].sum(1))
+        jump = np.zeros(emit.shape[1], bool)
+        jump[3::2] = [a != b for a, b in zip(letters[1:], letters, strict=False)]
+        state, top = np.full(emit.shape[1], -np.inf), -np.inf
+        for k in range(len(p)):
+            into = np.maximum(state, np.append(-np.inf, state[:-1]))
+            into[2:] = np.where(jump[2:], np.maximum(into[2:], state[:-2]), into[2:])
+            into[:2] = np.maximum(into[:2], before[k])
+            state = into + emit[k]
+            top = max(top, max(state[-1], state[-2]) + before[-1] - before[k + 1])
+        return float(top - best.sum())
 
     @F.pandas_udf("double")
     def run(m: pd.Series, t: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([one(*x) for x in zip(m, t, c, strict=True)], dtype="float64")
 
     return df.withColumn(name, run(F.col(matrix), F.col(steps), F.col(candidate)))
+
+
+def closest_of(c: Column, vocabulary: list[str], n: int, cutoff: float) -> Column:
+    """Up to ``n`` of the vocabulary's entries, the most similar first; explode it to join a text with all of them."""
+    words = sorted(vocabulary)
+
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series) -> pd.Series:
+        known = {t: difflib.get_close_matches(t, words, n, cutoff) for t in x.dropna().unique()}
+        return x.map(lambda t: known[t] if isinstance(t, str) else None)
+
+    return run(c)
+
+
+def label_of(c: Column, labels: dict[str, list[str]], cutoff: float = 0.72) -> Column:
+    """The label one of whose forms a plain text begins with: the most alike, at or above the cutoff; forms of up to four
+    letters must stand there exactly."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        def best(t):
+            found = [(1.0 if t.startswith(f) else 0.0 if len(f) <= 4 else difflib.SequenceMatcher(None, t[: len(f)], f).ratio(), name) for name, forms in labels.items() for f in forms]
+            score, name = max(found, key=lambda r: r[0], default=(0.0, None))
+            return name if score >= cutoff else None
+
+        known = {t: best(t) for t in x.dropna().unique()}
+        return x.map(known).astype("object").where(x.notna(), None)
+
+    return run(c)
+
+
+def named_in(df: DataFrame, text: str, names: DataFrame, name: str, cutoff: float = 0.8) -> DataFrame:
+    """Pairs of a text and a name that it holds or is like; ``names`` is a short list, so it is broadcast."""
+    both = df.join(F.broadcast(names.select(name)), F.lit(True))
+    return both.where(F.contains(text, F.col(name)) | (ratio(F.col(text), F.col(name)) > cutoff))
+
+
+def aligned(base: Column, other: Column, least: float = 0.45) -> Column:
+    """For each word of an array the most similar word of another array, the first of equals; null below ``least``."""
+    @F.pandas_udf("array<string>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def pick(w, others):
+            alike = [(difflib.SequenceMatcher(None, w, o).ratio(), -i) for i, o in enumerate(others)]
+            score, at = max(alike, default=(0.0, 0))
+            return others[-at] if alike and score >= least else None
+
+        return pd.Series([None if x is None or y is None else [pick(w, list(y)) for w in x] for x, y in zip(a, b, strict=True)])
+
+    return run(base, other)
+
+
+def best_agreement(value: Column, others: Column) -> Column:
+    """Highest similarity of a text with those of an array; 0 if there are none."""
+    @F.pandas_udf("double")
+    def run(v: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else max((difflib.SequenceMatcher(None, x, y).ratio() for y in ([] if ys is None else ys)), default=0.0) for x, ys in zip(v, o, strict=True)], dtype="float64")
+
+    return run(value, others)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -54,9 +55,11 @@ class Filter:
         if self.status:
             p &= F.col("status") == self.status.upper()
         if self.search and self.search_columns:
-            hit = F.lit(False)
+            # Only A-Z lose their case, % and _ in the text are wildcards, and there is no escape character.
+            hit, low = F.lit(False), lambda c: F.translate(c, ascii_uppercase, ascii_lowercase)
+            pattern = low(F.lit("%" + self.search.replace("\\", "\\\\") + "%"))
             for c in self.search_columns:
-                hit |= F.coalesce(F.contains(F.lower(c), F.lit(self.search.lower())), F.lit(False))
+                hit |= F.coalesce(F.like(low(F.col(c)), pattern), F.lit(False))
             p &= hit
         if self.date_from:
             p &= F.col(self.date_column) >= F.lit(self.date_from).cast("date")

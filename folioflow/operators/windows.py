@@ -66,3 +66,138 @@ def page_rows(tokens: DataFrame, key: str, height: float = 0.7) -> DataFrame:
         return page.assign(row=out)[[key, "idx", "row"]]
 
     return tokens.select(key, "idx", "cy", "h", "x0").groupBy(key).applyInPandas(walk, f"{key} long, idx long, row long")
+
+
+def reading_order(df: DataFrame, keys: list[str], cy: str, x: str, name: str = "at") -> DataFrame:
+    """Numbers the tokens of a page from 0 as they are read: by height to two places, then from the left."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(cy, 2), x)) - 1)
+
+
+def following(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Each row with the value of the next one of its group."""
+    return df.withColumn(name, F.lead(value).over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def inside(tokens: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """Tokens (cx, cy) whose middle lies in a region (x0, y0, x1, y1) of their page, borders included."""
+    return tokens.join(regions, keys).where(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1")))
+
+
+def near_label(boxes: DataFrame, labels: DataFrame, keys: list[str], dx: float, dy: float) -> DataFrame:
+    """Every box (cx, cy) with whether its page has a label (lx, ly, lh) within dx of the page and dy label heights."""
+    near = (F.abs(F.col("cx") - F.col("lx")) <= dx) & (F.abs(F.col("cy") - F.col("ly")) <= dy * F.col("lh"))
+    found = boxes.join(labels, keys, "left").groupBy(*boxes.columns).agg(F.coalesce(F.max(near.cast("int")), F.lit(0)).alias("near"))
+    return found.withColumn("near", F.col("near") == 1)
+
+
+def _common(a: str, b: str) -> Column:
+    side = lambda lo, hi: F.greatest(F.least(f"{a}{hi}", f"{b}{hi}") - F.greatest(f"{a}{lo}", f"{b}{lo}"), F.lit(0))
+    return side("x0", "x1") * side("y0", "y1")
+
+
+def covered_zones(zones: DataFrame, boxes: DataFrame, keys: list[str], share: float = 0.3, least: int = 2) -> DataFrame:
+    """Pages with the number of their zones (z_x0, ...) of which a box (b_x0, ...) covers more than ``share``; from ``least`` on they are illegible."""
+    area = (F.col("z_x1") - F.col("z_x0")) * (F.col("z_y1") - F.col("z_y0"))
+    hit = zones.join(boxes, keys).groupBy(*keys, "zone").agg(F.max((_common("z_", "b_") > share * area).cast("int")).alias("hit"))
+    return hit.groupBy(*keys).agg(F.sum("hit").alias("covered")).withColumn("illegible", F.col("covered") >= least)
+
+
+def spans_of_tokens(df: DataFrame, keys: list[str], order: str, value: str, gap: int = 2) -> DataFrame:
+    """Where each token lies in the text of its row, tokens joined by ``gap`` blanks: columns start and end."""
+    n = F.length(value) + gap
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("start", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("end", F.col("start") + F.length(value))
+
+
+def rows_by_overlap(tokens: DataFrame, key: str, share: float = 0.5) -> DataFrame:
+    """Groups the tokens (idx, cy, y0, y1, x0) of a page into rows, from the top: a token joins the first row that it
+    overlaps by more than ``share`` of the lesser height, else it opens one. A row grows with its tokens, so each
+    page (some dozens of tokens) is walked in order. Rows are numbered from the top."""
+
+    def walk(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["cy", "idx"], kind="stable").reset_index(drop=True)
+        rows: list[list[float]] = []  # top, bottom, least middle
+        at = []
+        for cy, y0, y1 in zip(page.cy, page.y0, page.y1, strict=True):
+            hit = next((i for i, (a, b, _) in enumerate(rows) if min(b, y1) - max(a, y0) > share * min(y1 - y0, b - a)), len(rows))
+            if hit == len(rows):
+                rows.append([y0, y1, cy])
+            else:
+                a, b, c = rows[hit]
+                rows[hit] = [min(a, y0), max(b, y1), min(c, cy)]
+            at.append(hit)
+        rank = {i: r for r, i in enumerate(sorted(range(len(rows)), key=lambda i: rows[i][2]))}
+        return page.assign(row=[rank[i] for i in at])[[key, "idx", "row"]]
+
+    return tokens.select(key, "idx", "cy", "y0", "y1", "x0").groupBy(key).applyInPandas(walk, f"{key} long, idx long, row long")
+
+
+def merged_boxes(boxes: DataFrame, key: str, share: float = 0.5, stacked: float = 0.0) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) of a page united while any two overlap by ``share`` of the lesser area, or lie over one another
+    with common width and at most ``stacked`` between them; some dozens of boxes a page."""
+
+    def unite(page: pd.DataFrame) -> pd.DataFrame:
+        out = [tuple(b) for b in page[["x0", "y0", "x1", "y1"]].sort_values(["x0", "y0", "x1", "y1"]).to_numpy(float)]
+
+        def meet(a, b):
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            size = min((q[2] - q[0]) * (q[3] - q[1]) for q in (a, b))
+            return (w > 0 and h > 0 and w * h >= share * size) or (w > 0 >= h and -h <= stacked)
+
+        while pair := next(((a, b) for i, a in enumerate(out) for b in out[i + 1 :] if meet(a, b)), None):
+            a, b = pair
+            out.remove(a), out.remove(b)
+            out.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+        return pd.DataFrame([(page[key].iloc[0], *b) for b in sorted(out)], columns=[key, "x0", "y0", "x1", "y1"])
+
+    return boxes.select(key, "x0", "y0", "x1", "y1").groupBy(key).applyInPandas(unite, f"{key} long, x0 double, y0 double, x1 double, y1 double")
+
+
+def reach_right(df: DataFrame, keys: list[str], x0: str, x1: str, gap: float) -> DataFrame:
+    """Of each row the tokens from the left up to the first that begins more than ``gap`` beyond the end of all before it."""
+    w = Window.partitionBy(*keys).orderBy(x0, x1)
+    reach = F.max(x1).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("__far", F.coalesce(F.col(x0) - reach > gap, F.lit(False)))
+    return rows.withColumn("__far", F.max("__far").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("__far")).drop("__far")
+
+
+def islands(df: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Runs of consecutive whole numbers: first, last and how many."""
+    rows = df.select(*keys, index).distinct().withColumn("__k", F.col(index) - F.row_number().over(Window.partitionBy(*keys).orderBy(index)))
+    return rows.groupBy(*keys, "__k").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("__k")
+
+
+def mass_bounds(df: DataFrame, keys: list[str], index: str, mass: str, low: float, high: float) -> DataFrame:
+    """First indexes at which the running mass reaches the shares ``low`` and ``high`` of the whole."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("__part", F.sum(mass).over(w.orderBy(index).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum(mass).over(w))
+    reaches = lambda s: F.min(F.when(F.col("__part") >= s * F.col("__all"), F.col(index)))
+    return rows.groupBy(*keys).agg(reaches(low).alias("from"), reaches(high).alias("to"))
+
+
+def value_after_anchor(tokens: DataFrame, key: str, anchor: Column, rest: Column, stop: Column, skip: Column, accept: Column, band_top: float = 1.0, max_dx: float = 0.75, gap: float = 0.18, row: float = 0.5, below: float = 2.5) -> DataFrame:
+    """The value that belongs to an anchor on each page: key, anchor's idx, text.
+
+    ``tokens``: idx, text, x0, y0, x1, y1 by page. ``anchor`` marks tokens that hold an anchor, ``rest`` is what follows it
+    in that token. The value is that rest and the tokens to its right in the same row, up to one at which ``stop`` holds
+    or a blank of more than ``gap``; without any, the tokens of the row below that begin under the anchor. ``skip``: tokens
+    that are no anchors; ``accept``: whether column ``text`` is a value. Of several anchors the first in order counts.
+    """
+    t = tokens.withColumns({"cy": (F.col("y0") + F.col("y1")) / 2, "h": F.col("y1") - F.col("y0"), "__stop": F.coalesce(stop, F.lit(False))})
+    a = t.where(anchor & ~F.coalesce(skip, F.lit(False)) & (F.col("cy") <= band_top))
+    a = a.select(key, F.col("idx").alias("anchor"), F.trim(rest).alias("rest"), F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("cy").alias("acy"), F.col("h").alias("ah"))
+    pairs = a.join(t, key).where(F.col("idx") != F.col("anchor"))
+    near = F.abs(F.col("cy") - F.col("acy")) < row * F.greatest("h", "ah")
+    right = pairs.where(near & (F.col("x0") >= F.col("ax1") - 0.01) & (F.col("x0") - F.col("ax1") <= max_dx))
+    by = [key, "anchor"]
+    w = Window.partitionBy(*by).orderBy("x0", "idx")
+    reach = F.greatest(F.coalesce(F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("ax1")), F.col("ax1"))
+    ends = F.col("__stop") | (F.col("x0") - reach > gap)
+    right = right.withColumn("__end", F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("__end"))
+    under = pairs.where(~near & (F.col("cy") > F.col("acy")) & (F.col("cy") - F.col("acy") <= below * F.col("ah")) & (F.col("x0") < F.col("ax1")) & (F.col("x1") > F.col("ax0")))
+    under = under.withColumn("__end", F.max("__stop").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("__end"))
+    text = lambda rows, name: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x0", "idx", "text"))).alias("__l")).select(*by, F.array_join(F.transform("__l", lambda x: x["text"]), " ").alias(name))
+    out = a.select(*by, "rest").join(text(right, "__r"), by, "left").join(text(under, "__b"), by, "left")
+    beside = F.trim(F.concat_ws(" ", F.when(F.col("rest") != "", F.col("rest")), "__r"))
+    out = out.select(*by, F.when(beside != "", beside).otherwise(F.trim("__b")).alias("text")).where(F.coalesce(F.col("text") != "", F.lit(False)) & accept)
+    return out.groupBy(key).agg(F.min_by(F.struct("anchor", "text"), "anchor").alias("__v")).select(key, "__v.anchor", "__v.text")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions import numbers, values
-from folioflow.functions.text import plain
-from folioflow.operators.candidates import digit_product
+from folioflow.functions.dates import digits_repaired, earliest_date, plausible, slash_readings
+from folioflow.functions.text import plain, stripped_city, stripped_payee
+from folioflow.functions.words import number_word_count
+from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_scores, digit_product
 
 
 def decision(value: Column, confidence: Column, review: Column | None = None) -> list[Column]:
@@ -157,3 +159,119 @@ def verified_number(scores: DataFrame, key: str, both: DataFrame) -> DataFrame:
 def pivot_fields(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
     """One row for each record with value and confidence of every field, in the order of ``names``."""
     return fields.groupBy(key).pivot("field", names).agg(F.first("value", ignorenulls=True).alias("value"), F.first("confidence", ignorenulls=True).alias("confidence"))
+
+
+def printed_number(readings: DataFrame, zones: DataFrame, key: str, length: int, alphabet: str) -> DataFrame:
+    """A printed number end to end: readings (key, source "printed" or "line", text) give candidates, the zones' matrices
+    (key, m, t, weight) score them, and ``verified_number`` decides."""
+    digits = readings.select(key, "source", F.regexp_replace("text", "[^0-9]", "").alias("d"))
+    candidates = number_candidates(digits.groupBy(key).agg(F.collect_list("d").alias("reads")), key, "reads", length)
+    scored = ctc_scores(candidates.join(zones, key), "m", "t", "candidate", alphabet, as_blank=" -")
+    both = digits.where(F.length("d") == length).groupBy(key, F.col("d").alias("candidate")).agg(F.countDistinct("source").alias("n")).where("n > 1")
+    return verified_number(scored, key, both)
+
+
+def assembled_line(df: DataFrame) -> DataFrame:
+    """The magnetic line out of its decided groups (number, routing, account, kind): null unless all are there, and as
+    certain as the least certain of them."""
+    parts = ["number", "routing", "account", "kind"]
+    whole = F.when(F.array_contains(F.transform(F.array(*parts), lambda p: p.isNull() | (p == "")), True), None).otherwise(F.concat_ws(" ", *parts))
+    return df.withColumns({"line": whole, "confidence": F.least("number_conf", "routing_conf", "account_conf")})
+
+
+def amount_decision(df: DataFrame) -> DataFrame:
+    """Gates of an amount that was scored in two zones (columns value, margin, same: read alike in both zones, read: read in
+    one, fit: score a letter of the words, deep: confirmed by the deep reader, figures and words: arrays of readings).
+
+    It is accepted if the words fit, at least two number words can be read, the cents are not in doubt, and it was read
+    alike, or read once and ahead by ``AMOUNT_MARGIN``. Cents are in doubt where figures end in a separator and the
+    words do not say that there are none.
+    """
+    legible = F.exists("words", lambda w: number_word_count(F.regexp_extract_all(plain(w), F.lit("([a-z]+)"))) >= 2)
+    loose = F.exists("figures", lambda x: F.regexp_like(F.trim(x), F.lit(r"[0-9][.,]\s*$")))
+    said = F.exists("words", lambda w: F.regexp_like(plain(w), F.lit(r"00\s*/\s*100|exact|cero\s+centavos")))
+    doubt = (F.col("value") % 1 == 0) & loose & ~said
+    fits = (F.col("fit") >= values.AMOUNT_FIT) | F.col("deep")
+    ok = F.coalesce(fits & legible & ~doubt & (F.col("same") | (F.col("read") & (F.col("margin") >= values.AMOUNT_MARGIN))), F.lit(False))
+    conf = 1 - 0.5 * F.exp(-F.col("margin") / 3)
+    conf = F.when(F.col("same"), F.greatest(conf, F.lit(0.99))).otherwise(conf)
+    decided = decision(F.col("value"), F.when(ok, conf).otherwise(F.least(conf, F.lit(0.79))), ~ok)
+    return df.select(*[c for c in df.columns if c not in ("value", "confidence", "review")], *decided)
+
+
+def _most_frequent(items: Column) -> Column:
+    """(value, votes) of the most frequent text of an array, the first of equals."""
+    counts = F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("value"), F.size(F.filter(items, lambda y: y == x)).alias("votes")))
+    return F.reduce(counts, F.lit(None).cast("struct<value:string,votes:int>"), lambda a, b: F.when(a.isNull() | (b["votes"] > a["votes"]), b).otherwise(a))
+
+
+def city(df: DataFrame, key: str, agrees: float = 0.7) -> DataFrame:
+    """City as it was read (columns deep: a text, quick: an array of texts): the deep reader's, certain if a quick reading is
+    like it; else the most frequent quick one, always to review."""
+    rows = df.select(key, F.nullif(stripped_city(F.col("deep")), F.lit("")).alias("d"), F.filter(F.transform("quick", stripped_city), lambda x: x != "").alias("q"))
+    rows = rows.withColumn("like", best_agreement(plain(F.col("d")), F.transform("q", plain)))
+    sure = F.col("d").isNotNull() & (F.col("like") >= agrees)
+    value = F.coalesce("d", _most_frequent(F.col("q"))["value"])
+    return rows.select(key, *decision(value, F.when(value.isNull(), 0.0).when(sure, 0.9).otherwise(0.6), ~sure))
+
+
+def payee(df: DataFrame, key: str, names: dict[str, str], agrees: float = 0.7) -> DataFrame:
+    """Payee (columns deep: a text, quick: an array of texts, the most trusted first).
+
+    The deep reader's text stands as it is, without the printed label, and is certain if a quick reading is like it.
+    Otherwise words are decided one by one against the first reading: from the listed names (plain form to written
+    form) that any reading is like, else as read; sure where all readings agree on a word of three letters or a listed
+    name, and the whole only if all words are and there are two.
+    """
+    words = lambda x: F.filter(F.split(plain(x), "[^a-z]+"), lambda w: w != "")
+    rows = df.select(key, F.nullif(stripped_payee(F.col("deep")), F.lit("")).alias("d"), F.filter(F.transform("quick", words), lambda w: F.size(w) > 0).alias("q"))
+    rows = rows.withColumn("like", best_agreement(plain(F.col("d")), F.transform("q", lambda w: F.array_join(w, " "))))
+    deep = rows.where("d IS NOT NULL")
+    deep = deep.select(key, *decision(F.col("d"), F.when(F.col("like") >= agrees, 0.9).otherwise(0.6), F.col("like") < agrees))
+    base = rows.where("d IS NULL").withColumn("base", F.get("q", F.lit(0)))
+    seen = base.select(key, "base", F.size("q").alias("n"), F.posexplode("q").alias("at", "words"))
+    seen = seen.select(key, "n", "at", F.posexplode(aligned(F.col("base"), F.col("words"))).alias("pos", "word")).where("word IS NOT NULL")
+    seen = seen.withColumn("known", F.get(closest_of(F.col("word"), list(names), 3, 0.6), F.lit(0)))
+    per = seen.groupBy(key, "pos").agg(F.first("n").alias("n"), F.count("*").alias("seen"), F.countDistinct("word").alias("kinds"), F.min_by("word", "at").alias("word"), F.min_by("known", F.when(F.col("known").isNotNull(), F.col("at"))).alias("known"))
+    same = (F.col("kinds") == 1) & (F.col("seen") == F.col("n"))
+    ok = same & (F.col("known").isNotNull() | (F.length("word") >= 3))
+    written = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("known")), F.initcap("word"))
+    per = per.select(key, "pos", F.when((F.col("pos") > 0) & F.lower(written).isin(values.PARTICLES), F.lower(written)).otherwise(written).alias("word"), ok.alias("ok"))
+    whole = per.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("v"), (F.bool_and("ok") & (F.count("*") >= 2)).alias("ok"), F.bool_and("ok").alias("sure"))
+    out = rows.where("d IS NULL").select(key).join(whole, key, "left")
+    conf = F.when(F.col("v").isNull(), 0.0).when(F.col("ok"), 1.0).otherwise(F.when(F.col("sure"), 0.79).otherwise(0.6))
+    return deep.unionByName(out.select(key, *decision(F.col("v"), conf, ~F.coalesce("ok", F.lit(False)))))
+
+
+def date(df: DataFrame, key: str, as_of: str) -> DataFrame:
+    """Date (columns deep: a text, quick: an array of texts): the deep reader's, certain if a quick reading confirms it and
+    it is plausible; else the one with most votes, a reading of a 1 as a slash counting half, to review."""
+    ways = lambda x: F.transform(slash_readings(digits_repaired(x)), lambda w: earliest_date(w)["date"])
+    votes = F.flatten(F.transform("quick", lambda x: F.transform(F.array_distinct(F.filter(ways(x), lambda d: d.isNotNull())), lambda d, i: F.struct(d.alias("d"), F.when(i == 0, 1.0).otherwise(0.5).alias("w")))))
+    rows = df.select(key, earliest_date(digits_repaired(F.col("deep")))["date"].alias("deep"), F.size("quick").alias("n"), votes.alias("votes"))
+    total = lambda d: F.aggregate(F.filter("votes", lambda v: v["d"] == d), F.lit(0.0), lambda a, v: a + v["w"])
+    counts = F.transform(F.array_distinct(F.transform("votes", lambda v: v["d"])), lambda d: F.struct(d.alias("d"), total(d).alias("w")))
+    best = F.reduce(counts, F.lit(None).cast("struct<d:date,w:double>"), lambda a, b: F.when(a.isNull() | (b["w"] > a["w"]), b).otherwise(a))
+    rows = rows.withColumn("best", best)
+    sure = F.coalesce(plausible(F.col("deep"), F.lit(as_of).cast("date")) & F.exists("votes", lambda v: v["d"] == F.col("deep")), F.lit(False))
+    conf = F.when(F.col("deep").isNotNull(), F.when(sure, 0.95).otherwise(0.7)).otherwise(F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.col("best.w") / F.col("n"), F.lit(0.79))))
+    return rows.select(key, *decision(F.coalesce("deep", "best.d").cast("string"), conf, ~sure))
+
+
+def escalated(fields: DataFrame, second_reader, keys: list[str]) -> DataFrame:
+    """Fields (keys, value, confidence, review) after a second, dearer reading of those in review alone; ``second_reader``
+    takes their keys and returns keys and value. The first readings are not made again."""
+    again = second_reader(fields.where("review").select(*keys))
+    return refine(fields.drop("review"), again, keys)
+
+
+def handwritten_doubt(fields: DataFrame, low: float = 0.80) -> DataFrame:
+    """Fields worth a handwriting reader: written by hand and doubtful."""
+    return fields.where((F.col("writing") == "manuscrito") & (F.col("confidence") < low))
+
+
+def with_reasons(df: DataFrame, review: Column, reasons: dict[str, Column]) -> DataFrame:
+    """The rows with why they go to review, in order, and whether they do: already, or for any of the reasons."""
+    holds = [F.coalesce(c, F.lit(False)) for c in reasons.values()]
+    text = F.concat_ws("; ", *[F.when(c, F.lit(r)) for r, c in zip(reasons, holds, strict=True)])
+    return df.withColumns({"reasons": text, "review": F.coalesce(review, F.lit(False)) | F.greatest(*holds, F.lit(False))})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 from operator import or_
 
 import pandas as pd
@@ -129,10 +130,13 @@ def date_with_place(date: Column, place: Column) -> Column:
     return F.when(date == "", place).when((place == "") | F.contains(F.lower(date), F.lower(place)), date).otherwise(F.concat(place, F.lit(", "), date))
 
 
+_reports = count()
+
+
 def _fence(df: DataFrame, step: str) -> DataFrame:
     """Counts the rows that pass, and so keeps the optimiser from pasting one step's expressions into the next step's
-    filters, where they would be evaluated many times over."""
-    return df.observe(f"report_{step}", F.count(F.lit(1)).alias("rows"))
+    filters, where they would be evaluated many times over. Every report counts under names of its own."""
+    return df.observe(f"report_{next(_reports)}_{step}", F.count(F.lit(1)).alias("rows"))
 
 
 def report_rows(df: DataFrame, name: str, payload: str, rules: Rules, as_of: str) -> DataFrame:

@@ -426,10 +426,9 @@ def hallucination_guard(spark, sf):
     return t(spark, sf, "documents").select("doc_id", text.looks_hallucinated(F.col("text")).alias("suspect"))
 
 
-@query("SELECT c_custkey, regexp_replace(lower(c_name || ' Ñandú ÉL'), '[^a-z0-9$ñúé]', '', 'g') AS squeezed FROM customer")
+@query("SELECT c_custkey, regexp_replace(strip_accents(lower(c_name || ' Ñandú ÉL')), '[^a-z0-9$]', '', 'g') AS squeezed FROM customer")
 def clean_text(spark, sf):
-    c = text.compact(F.concat(F.col("c_name"), F.lit(" Ñandú ÉL")))
-    return t(spark, sf, "customer").select("c_custkey", F.replace(F.replace(c, F.lit("nandu"), F.lit("ñandú")), F.lit("el"), F.lit("él")).alias("squeezed"))
+    return t(spark, sf, "customer").select("c_custkey", text.compact(F.concat(F.col("c_name"), F.lit(" Ñandú ÉL"))).alias("squeezed"))
 
 
 @query("SELECT s_suppkey, left(d, length(d) - 2) || '-' || right(d, 2) AS account FROM (SELECT s_suppkey, lpad((s_suppkey * 7907)::VARCHAR, 8, '0') AS d FROM supplier)")
@@ -440,25 +439,32 @@ def account_mask(spark, sf):
 CITIES = ["Guayaquil", "Quito", "Cuenca", "Ambato", "Manta", "Loja", "Machala"]
 
 
-@query()
+@query(f"SELECT n_nationkey, {CITIES}[n_nationkey % 7 + 1] AS city, {CITIES}[n_nationkey % 7 + 1] AS found FROM nation")
 def fuzzy_city(spark, sf):
     """Region and nation names against a vocabulary, with a letter changed."""
     n = t(spark, sf, "nation").select("n_nationkey", F.get(F.array(*map(F.lit, CITIES)), F.col("n_nationkey") % len(CITIES)).alias("city"))
     return n.select("n_nationkey", "city", ca.closest(F.overlay("city", F.lit("x"), F.lit(3), F.lit(1)), CITIES, 0.68).alias("found"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, lpad(p_size::VARCHAR, 2, '0') AS d FROM part), c AS (SELECT p_partkey, d, d AS candidate FROM p UNION ALL SELECT p_partkey, d, reverse(d) FROM p)
+SELECT p_partkey, candidate, round(CASE WHEN candidate = d THEN 0.0 ELSE ln(0.01 / 0.9) - 2.5 END, 4)::DOUBLE AS score FROM c""")
 def ctc_score(spark, sf):
-    """Scores of each part's size against a synthetic matrix that spells it."""
+    """Scores of each part's size against a synthetic matrix that spells it; read backwards, one digit finds its frame, one takes a blank's, and one frame stays unexplained."""
     digits = F.array(*[F.lit(str(i)) for i in range(10)])
     p = t(spark, sf, "part").select("p_partkey", F.lpad(F.col("p_size").cast("string"), 2, "0").alias("truth"))
     frame = lambda c: F.transform(F.concat(F.array(F.lit("")), digits), lambda d: F.when(d == c, 0.9).otherwise(0.01))
     flat = F.concat(frame(F.lit("")), frame(F.substring("truth", 1, 1)), frame(F.lit("")), frame(F.substring("truth", 2, 1)), frame(F.lit("")))
     rows = p.withColumn("m", flat).withColumn("candidate", F.explode(F.array("truth", F.reverse("truth"))))
-    return ca.ctc_scores(rows.withColumn("t", F.lit(5)), "m", "t", "candidate", "0123456789").select("p_partkey", "candidate", "score")
+    return ca.ctc_scores(rows.withColumn("t", F.lit(5)), "m", "t", "candidate", "0123456789").select("p_partkey", "candidate", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT l_orderkey AS page, l_linenumber AS idx, (l_discount * 10)::DOUBLE AS cy, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_quantity, l_linenumber) AS rn FROM lineitem),
+r AS (SELECT page, idx, rn, 0 AS k, cy AS mean, 1 AS n FROM l WHERE rn = 1 UNION ALL
+  SELECT l.page, l.idx, l.rn, CASE WHEN abs(l.cy - r.mean) >= 0.21 THEN r.k + 1 ELSE r.k END, CASE WHEN abs(l.cy - r.mean) >= 0.21 THEN l.cy ELSE (r.mean * r.n + l.cy) / (r.n + 1) END, CASE WHEN abs(l.cy - r.mean) >= 0.21 THEN 1 ELSE r.n + 1 END
+  FROM r JOIN l ON l.page = r.page AND l.rn = r.rn + 1)
+SELECT page, idx::BIGINT AS idx, k::BIGINT AS "row" FROM r""")
 def page_rows(spark, sf):
     """Rows of synthetic pages: one page for each order."""
     l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("idx"), (F.col("l_discount") * 10).alias("cy"), F.lit(0.3).alias("h"), F.col("l_quantity").alias("x0"))  # noqa: E741
@@ -553,12 +559,13 @@ def pivot_fields(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, o_orderdate::DATE AS parsed FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) ELSE o_orderdate::DATE END AS parsed FROM orders""")
 def short_year_dates(spark, sf):
+    """Two-digit years (read as 20xx), year first, boxes, and month before day where only that can be meant."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    written = F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy.MM.dd")).when(k == 2, F.date_format(d, "dd MM yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy"))
-    early = F.make_date(F.lit(1900) + F.year(d) % 100, F.month(d), F.dayofmonth(d))
-    return t(spark, sf, "orders").select("o_orderkey", F.coalesce(dates.short_year_date(written), F.when(early < "1990-01-01", d.cast("date"))).alias("parsed"))
+    swapped = F.when(F.dayofmonth(d) > 12, F.date_format(d, "MM-dd-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy"))
+    written = F.when(k == 0, F.date_format(d, "dd/MM/yy")).when(k == 1, F.date_format(d, "yyyy.MM.dd")).when(k == 2, F.date_format(d, "dd MM yyyy")).otherwise(swapped)
+    return t(spark, sf, "orders").select("o_orderkey", dates.short_year_date(F.concat(F.lit("Fecha: "), written)).alias("parsed"))
 
 
 @query("SELECT o_orderkey, (floor(o_totalprice) + o_orderkey % 100 / 100.0)::DECIMAL(18,2) AS parsed FROM orders")
@@ -570,3 +577,7 @@ def tolerant_words(spark, sf):
     figures = F.concat(F.regexp_replace(words.number_words(whole), "mil", "mill"), F.lit(" dolares "), F.lpad(cents.cast("string"), 2, "0"), F.lit("/100"))
     rows = t(spark, sf, "orders").select("o_orderkey", words.repaired_words(F.when(k % 2 == 0, spoken).otherwise(figures)).alias("w"))
     return rows.select("o_orderkey", words.amount_words_tolerant(F.col("w")).alias("parsed"))
+
+
+# Further queries register themselves with the same table.
+from folioflow import queries_fields  # noqa: E402, F401

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.plans.report import Rules
 
-EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "pdf"]
+EXTENSIONS = ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "gif", "heic", "heif", "pdf"]
 
 
 def listed(files: DataFrame, extensions: list[str] = EXTENSIONS) -> DataFrame:
@@ -17,13 +18,29 @@ def listed(files: DataFrame, extensions: list[str] = EXTENSIONS) -> DataFrame:
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: list[str] = EXTENSIONS, settled_before: str | None = None) -> DataFrame:
-    """A folder's files; ``settled_before``: only files not modified since that time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    """A folder's files; ``settled_before``: only files not modified since that time. A missing folder has none.
+
+    Only files of the wanted kinds are opened. ``in_order`` numbers them as a list of the folder would.
+    """
+    anycase = "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in "{" + ",".join(extensions) + "}")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{anycase}")
+    try:
+        files = reader.load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     if settled_before:
         files = files.where(F.col("modificationTime") < F.lit(settled_before).cast("timestamp"))
     return listed(files, extensions)
 
 
+def in_order(files: DataFrame, oldest_first: bool = False) -> DataFrame:
+    """Files by lower-cased name, or by time of change and name."""
+    name = F.lower("name")
+    return files.orderBy("modificationTime", name) if oldest_first else files.orderBy(name, "name")
+
+
 def read_truth(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Ground truth as text columns, byte-order mark or not; of repeated keys the last line counts."""
     rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path).withColumn("__at", F.monotonically_increasing_id())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioflow.operators.tables import not_yet
+from folioflow.operators.tables import latest, not_yet
 from folioflow.sources.files import EXTENSIONS, listed
 
 
@@ -21,7 +21,8 @@ def ingest(files: DataFrame, store: str, checkpoint: str, available_now: bool =
     spark = files.sparkSession
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = batch.drop("content").dropDuplicates(["content_hash"])
+        # The number of the batch is the version that a reader of the store can ask for changes since.
+        rows = batch.drop("content").dropDuplicates(["content_hash"]).withColumn("version", F.lit(number).cast("long"))
         try:
             known = spark.read.parquet(store)
         except Exception as e:
@@ -39,3 +40,14 @@ def ingest(files: DataFrame, store: str, checkpoint: str, available_now: bool =
 def once_within(stream: DataFrame, key: str, time: str, delay: str = "600 seconds") -> DataFrame:
     """Requests by idempotency key: repeats within the delay are dropped, and the state is bounded by it."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def changed_since(store: DataFrame, version: int) -> DataFrame:
+    """Rows written after a version."""
+    return store.where(F.col("version") > version)
+
+
+def reprocessed(store: DataFrame, ids: DataFrame, keys: list[str], work) -> DataFrame:
+    """New versions of some records: ``work`` is applied to their latest ones, the others are not touched."""
+    again = latest(store, keys, ["version"]).join(ids, keys, "left_semi")
+    return work(again).withColumn("version", F.col("version") + 1)

@@ -44,14 +44,14 @@ def test_months_elapsed(spark):
 
 @pytest.mark.parametrize("dialect,want", [
     ("rules", ["1.25", "1250", "1250.50", "1250.50", "1250.50", None, None, None, "-3.10", "1.24"]),
-    ("tolerant", ["1250", "1250", "1250.50", "1250.50", "1250.50", None, None, None, "3.10", None]),
+    ("tolerant", ["1250", "1250", "1250.50", "1250.50", "1250.50", None, None, None, "3.10", "1235"]),
     ("bilingual", ["1250", "1250", "1250.50", "1250.50", "1250.50", "1250000", None, None, "3.10", "1235"]),
 ])
 def test_amount_dialects(spark, dialect, want):
     xs = ["1.250", "1,250", "1250,5", "US$ 1.250,50", "$1,250.50", "12.50.000", "", None, "-3.1", "1.235"]
     got = apply(spark, lambda c: numbers.parse_amount(c, dialect), xs)
     want = [None if w is None else Decimal(w).quantize(Decimal("0.01")) for w in want]
-    assert got[:9] == want[:9]
+    assert got == want
 
 
 def test_amounts_with_lookalike_letters(spark):
