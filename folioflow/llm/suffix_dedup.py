@@ -348,6 +348,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
             buf_all, offs_all = tk.batch_text(batch.column(1))
             for lo, hi in tk.slices(offs_all):
                 buf, offs = buf_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
+                docs_, starts, places = [], [], []
                 for i, packed in enumerate(asked.slice(lo, hi - lo).to_pylist()):
                     first, more = np.frombuffer(packed, np.uint32).reshape(2, -1).astype(np.int64)
                     s = np.unique(np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1))
@@ -355,14 +356,15 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
                     if len(s) == 0:
                         continue
                     at = s + offs[i]
-                    # Words of eight bytes lie differently in the two spans, so that their hashes are independent.
-                    part = buf[at[0] : at[-1] + width]
-                    at -= at[0]
-                    held.append((np.full(len(s), ids[lo + i]), tk.span_hashes(part, at, at + width), (tk.span_hashes(part, at + 1, at + width) >> U64(32)).astype(np.uint32), s))
+                    docs_.append(np.full(len(s), ids[lo + i])), starts.append(s), places.append(at)
                     size += len(s)
-                    if size >= HELD:
-                        yield from tagged(flush())
-                        held, size = [], 0
+                if starts:
+                    at = np.concatenate(places)
+                    h, more = tk.window_hashes(buf, at, width) if width < 1000 else (tk.span_hashes(buf, at, at + width), tk.span_hashes(buf, at + 1, at + width))
+                    held.append((np.concatenate(docs_), h, (more >> U64(32)).astype(np.uint32), np.concatenate(starts)))
+                if size >= HELD:
+                    yield from tagged(flush())
+                    held, size = [], 0
         if held:
             yield from tagged(flush())
 

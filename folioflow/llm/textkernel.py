@@ -118,6 +118,30 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+_SECOND = 0xC2B2AE3D27D4EB4F
+_second: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def window_hashes(buf: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes, by different bases, of spans of one width in ascending order. The width should be below 1,000 bytes
+    (longer words over few letters can agree modulo a power of two, whatever the base)."""
+    if len(buf) > 2 * SLICE_BYTES:  # a long document, in parts
+        cut = np.searchsorted(starts, np.arange(0, len(buf) + SLICE_BYTES, SLICE_BYTES))
+        parts = [window_hashes(buf[k * SLICE_BYTES : (k + 1) * SLICE_BYTES + width], starts[a:b] - k * SLICE_BYTES, width) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), np.zeros(0, U64))
+    out, n = [], len(buf)
+    text = buf.astype(U64) + U64(1)
+    if len(_second[0]) < n + 1:
+        size = max(n + 1, SLICE_BYTES + 1)
+        for i, base in enumerate((_SECOND, pow(_SECOND, -1, 1 << 64))):
+            _second[i] = np.cumprod(np.concatenate((np.ones(1, U64), np.full(size - 1, base, U64))), dtype=U64)
+    for up, down in (powers(n + 1), _second):
+        c = np.zeros(n + 1, U64)
+        np.cumsum(text * up[:n], out=c[1:])
+        out.append(mix((c[starts + width] - c[starts]) * down[starts]))
+    return out[0], out[1]
+
+
 def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether spans of ``n`` bytes (one at least) of two texts are equal."""
     if len(n) == 0:

@@ -43,6 +43,14 @@ def test_span_hashes_tell_spans_apart():
     assert len(set(zip(spans, h.tolist(), strict=True))) == len(set(spans)) == len(set(h.tolist()))
 
 
+def test_window_hashes_of_long_texts():
+    r = np.random.default_rng(1)
+    half = r.integers(97, 101, 2_000_000).astype(np.uint8)
+    buf, at = np.concatenate((half, half)), np.sort(r.integers(0, 1_999_950, 500))
+    for h in tk.window_hashes(buf, np.concatenate((at, at + 2_000_000)), 50):
+        assert (h[:500] == h[500:]).all() and len(set(h.tolist())) == len(set(at.tolist()))
+
+
 def test_same_bytes():
     a, b = np.frombuffer(b"abcdefgh", np.uint8), np.frombuffer(b"xabcdxfgh", np.uint8)
     assert tk.same_bytes(a, np.array([0, 4, 5]), b, np.array([1, 5, 6]), np.array([4, 2, 3])).tolist() == [True, False, True]
