@@ -2,15 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  run() writes every stage's result as Parquet and rereads it as the next one's input.
+
+In every stage: a null text counts as empty; texts of any length are read whole; rows without doc_id are kept
+unless their text itself is rejected; repeated rows are one copy group (stage 2 leaves one); an empty table
+passes through as an empty table; columns that ``documents`` does not name are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import exact_dedup, mixing, ngram_join, packing, quality_fm
 from folioflow.llm.common import materialize
+from folioflow.llm.registry import tokenizer_path
 
 #: Shares of the mix's tokens by domain; rates stay between 0 and 1, so no clean document is repeated or thinned.
 WEIGHTS = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
@@ -21,29 +25,29 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; empty texts are scored like any other."""
     return quality_fm.keep_good(docs, quality_fm.train(*_tables(spark, sf_dir)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null and empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays, that with the smallest doc_id."""
+    """Of each group of near-duplicates one document stays, that with the smallest doc_id; texts without words all stay."""
     return ngram_join.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned so that the expected tokens of the domains meet WEIGHTS."""
+    """Documents are thinned so that the expected tokens of the domains meet WEIGHTS; the rate of a text without tokens is its posterior's."""
     model = mixing.train(*_tables(spark, sf_dir), mixing.domain_of_labels())
     return mixing.mixed(docs, mixing.fit_rates(mixing.posteriors(docs, model), model, WEIGHTS, high=1.0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
