@@ -1,6 +1,7 @@
 import corpus_pipeline
 from folioflow.llm import registry
 
+from .helpers import docs
 from .test_dedup_ops import brute_near
 
 
@@ -38,3 +39,22 @@ def test_run_gives_the_last_stage(spark, sf):
 def test_every_operator_is_registered():
     names = registry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def test_stages_stand_odd_rows(spark, sf):
+    """Nulls in any column, empty texts, ties, repeated rows, clashing columns and an empty table, stage by stage."""
+    odd = docs(spark)
+    assert {"n_tokens", "start", "kept", "h", "score"} <= set(odd.columns)
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, odd, sf))
+        empty = stage(spark, odd.limit(0), sf)
+        assert empty.count() == 0
+        if name == "packing":
+            assert out.count() >= odd.count() and empty.columns == out.columns
+            continue
+        assert out.columns == odd.columns == empty.columns and out.exceptAll(odd).count() == 0
+        texts = [(r.doc_id, r.text or "") for r in out.collect()]
+        if name == "exact_dedup":
+            assert sorted(t for _, t in texts) == sorted({r.text or "" for r in odd.collect()})
+        if name == "near_dedup":
+            assert sum(i is None for i, _ in texts) == 1 and len([t for i, t in texts if i is not None and not t.split()]) == sum(r.doc_id is not None and not (r.text or "").split() for r in odd.collect())
