@@ -8,7 +8,7 @@ from folioflow.functions import dates, numbers, spans, text, values, words
 from folioflow.operators import aggregates as ag, candidates as ca, windows as wi
 from folioflow.plans import deciders, views
 from folioflow.queries import query, t
-from folioflow.session import workers_see_package
+from folioflow.session import dealt, workers_see_package
 
 
 def _sql(v) -> str:
@@ -123,7 +123,7 @@ def earliest_dates_roundtrip(spark, sf):
     y, n = F.date_format(d, "yyyy"), F.dayofmonth(d).cast("string")
     written = F.when(k == 0, F.concat(n, F.lit(" de "), month, F.lit(" del "), y)).when(k == 1, F.concat(y, F.lit(", "), month, F.lit(", "), n)).when(k == 2, F.concat(month, F.lit(" "), n, F.lit("/"), y)) \
         .when(k == 3, F.date_format(d, "yyyy - M - d")).otherwise(F.date_format(d, "dd.MM.yyyy"))
-    return t(spark, sf, "orders").select("o_orderkey", dates.earliest_date(F.concat(F.lit("No. 4711: "), written))["date"].alias("parsed"))
+    return dealt(t(spark, sf, "orders")).select("o_orderkey", dates.earliest_date(F.concat(F.lit("No. 4711: "), written))["date"].alias("parsed"))
 
 
 FORMS = [
@@ -180,7 +180,7 @@ def glued_words(spark, sf):
 def glued_amounts_roundtrip(spark, sf):
     """Each order's amount with hundreds and tens glued, cut and read again."""
     glued = F.regexp_replace(words.number_words(F.floor("o_totalprice")), r"(\w+ientos) (\w{6,})", "$1$2")
-    rows = t(spark, sf, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("o_orderkey", F.array_join(words.split_glued(glued), " ").alias("w"))
+    rows = dealt(t(spark, sf, "orders")).select("o_orderkey", F.array_join(words.split_glued(glued), " ").alias("w"))
     return rows.select("o_orderkey", words.amount_words_tolerant(F.col("w")).alias("value"))
 
 
