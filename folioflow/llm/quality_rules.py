@@ -53,10 +53,10 @@ def measures(docs: DataFrame) -> DataFrame:
         F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))).alias("windows"),
     ).drop("words", "lines")
     df = df.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
-    df = df.withColumn("sorted", F.when(F.col("repeats"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
+    df = df.withColumn("sorted", F.when(F.col("repeats"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
     df = df.select("*", F.transform("sorted", lambda s: s["h"]).alias("sh"), F.transform("sorted", lambda s: s["i"]).alias("si")).drop("sorted")
     twice = F.transform("sh", lambda h, j: F.when((h == F.get("sh", j - 1)) | (h == F.get("sh", j + 1)), F.get("si", j)).otherwise(F.lit(-1)))
-    df = df.withColumn("at", F.array_sort(F.filter(twice, lambda i: i >= 0))).drop("sh", "si")
+    df = df.withColumn("at", F.sort_array(F.filter(twice, lambda i: i >= 0))).drop("sh", "si")
     covered = F.aggregate(F.transform("at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("at", j + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     return df.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(0).cast("long")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
