@@ -52,20 +52,28 @@ def first_below(anchors: DataFrame, tokens: DataFrame, keys: list[str], anchor:
 def page_rows(tokens: DataFrame, key: str, height: float = 0.7) -> DataFrame:
     """Groups the tokens of one page into rows: reading from the top, a token opens a row if its middle is at least
     ``height`` token heights from the running mean of the current row. The mean depends on the choices before it, so
-    each page (some dozens of tokens) is walked in order."""
+    each page (some dozens of tokens) is folded in order; a token without a position stays in the row before it."""
 
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["cy", "x0", "idx"], kind="stable").reset_index(drop=True)
-        row, mean, n, out = -1, 0.0, 0, []
-        for cy, h in zip(page.cy, page.h, strict=True):
-            if row < 0 or abs(cy - mean) >= height * h:
-                row, mean, n = row + 1, cy, 1
-            else:
-                mean, n = (mean * n + cy) / (n + 1), n + 1
-            out.append(row)
-        return page.assign(row=out)[[key, "idx", "row"]]
+    def step(s, t):
+        new = (s["row"] < 0) | F.coalesce(F.abs(t["cy"] - s["mean"]) >= height * t["h"], F.lit(False))
+        row = s["row"] + new.cast("long")
+        mean = F.when(new, t["cy"]).otherwise((s["mean"] * s["n"] + t["cy"]) / (s["n"] + 1))
+        return F.struct(
+            row.alias("row"),
+            F.coalesce(mean, s["mean"]).alias("mean"),
+            (F.when(new, 0).otherwise(s["n"]) + 1).cast("int").alias("n"),
+            F.concat(s["out"], F.array(F.struct(t["idx"].alias("idx"), row.alias("row")))).alias("out"),
+        )
 
-    return tokens.select(key, "idx", "cy", "h", "x0").groupBy(key).applyInPandas(walk, f"{key} long, idx long, row long")
+    zero = F.expr("named_struct('row', -1L, 'mean', 0D, 'n', 0, 'out', cast(array() AS array<struct<idx: bigint, row: bigint>>))")
+    return _folded(tokens, key, ("cy", "x0", "idx", "h"), zero, step, lambda s: s["out"])
+
+
+def _folded(tokens: DataFrame, key: str, columns: tuple[str, ...], zero: Column, step, end) -> DataFrame:
+    """Folds the tokens of each page in the order of the columns into an array of structs, and lists those."""
+    token = F.struct(*[F.col(c).cast("long" if c == "idx" else "double").alias(c) for c in columns])
+    pages = tokens.groupBy(key).agg(F.array_sort(F.collect_list(token)).alias("__tokens"))
+    return pages.select(key, F.inline(F.aggregate("__tokens", zero, step, end)))
 
 
 def reading_order(df: DataFrame, keys: list[str], cy: str, x: str, name: str = "at") -> DataFrame:
@@ -110,26 +118,26 @@ def spans_of_tokens(df: DataFrame, keys: list[str], order: str, value: str, gap:
 
 
 def rows_by_overlap(tokens: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """Groups the tokens (idx, cy, y0, y1, x0) of a page into rows, from the top: a token joins the first row that it
+    """Groups the tokens (idx, cy, y0, y1) of a page into rows, from the top: a token joins the first row that it
     overlaps by more than ``share`` of the lesser height, else it opens one. A row grows with its tokens, so each
-    page (some dozens of tokens) is walked in order. Rows are numbered from the top."""
-
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["cy", "idx"], kind="stable").reset_index(drop=True)
-        rows: list[list[float]] = []  # top, bottom, least middle
-        at = []
-        for cy, y0, y1 in zip(page.cy, page.y0, page.y1, strict=True):
-            hit = next((i for i, (a, b, _) in enumerate(rows) if min(b, y1) - max(a, y0) > share * min(y1 - y0, b - a)), len(rows))
-            if hit == len(rows):
-                rows.append([y0, y1, cy])
-            else:
-                a, b, c = rows[hit]
-                rows[hit] = [min(a, y0), max(b, y1), min(c, cy)]
-            at.append(hit)
-        rank = {i: r for r, i in enumerate(sorted(range(len(rows)), key=lambda i: rows[i][2]))}
-        return page.assign(row=[rank[i] for i in at])[[key, "idx", "row"]]
-
-    return tokens.select(key, "idx", "cy", "y0", "y1", "x0").groupBy(key).applyInPandas(walk, f"{key} long, idx long, row long")
+    page (some dozens of tokens) is folded in order. Rows are numbered from the top."""
+
+    def step(s, t):
+        meets = lambda r: F.coalesce(F.least(r["y1"], t["y1"]) - F.greatest(r["y0"], t["y0"]) > share * F.least(t["y1"] - t["y0"], r["y1"] - r["y0"]), F.lit(False))
+        row = lambda y0, y1, cy: F.struct(y0.alias("y0"), y1.alias("y1"), cy.alias("cy"))
+        at = F.array_position(F.transform(s["rows"], meets), True)
+        grown = F.transform(s["rows"], lambda r, i: F.when(i + 1 == at, row(F.least(r["y0"], t["y0"]), F.greatest(r["y1"], t["y1"]), F.least(r["cy"], t["cy"]))).otherwise(r))
+        return F.struct(
+            F.when(at > 0, grown).otherwise(F.concat(s["rows"], F.array(row(t["y0"], t["y1"], t["cy"])))).alias("rows"),
+            F.concat(s["out"], F.array(F.struct(t["idx"].alias("idx"), F.when(at > 0, at - 1).otherwise(F.size(s["rows"])).cast("long").alias("row")))).alias("out"),
+        )
+
+    def end(s):
+        order = F.transform(F.array_sort(F.transform(s["rows"], lambda r, i: F.struct(r["cy"].alias("cy"), i.cast("long").alias("i")))), lambda o: o["i"])
+        return F.transform(s["out"], lambda o: F.struct(o["idx"].alias("idx"), (F.array_position(order, o["row"]) - 1).alias("row")))
+
+    zero = F.expr("named_struct('rows', cast(array() AS array<struct<y0: double, y1: double, cy: double>>), 'out', cast(array() AS array<struct<idx: bigint, row: bigint>>))")
+    return _folded(tokens, key, ("cy", "idx", "y0", "y1"), zero, step, end)
 
 
 def merged_boxes(boxes: DataFrame, key: str, share: float = 0.5, stacked: float = 0.0) -> DataFrame:
