@@ -68,38 +68,48 @@ def ctc_scores(df: DataFrame, matrix: str, steps: str, candidate: str, alphabet:
     characters or with one that no class spells.
     """
     blanks = [0] + sorted({alphabet.index(ch) + 1 for ch in as_blank if ch in alphabet})
-
-    def one(flat, t, text) -> float | None:
-        letters = [ch for ch in text or "" if ch != " "]
-        if flat is None or not t or not letters:
-            return None
-        p = np.asarray(flat, float).reshape(int(t), -1)
-        log = lambda x: np.log(x + 1e-12)
-        best = log(p.max(1))
-        outside = np.where(np.isin(p.argmax(1), blanks), 0.0, -penalty) + best
-        before = np.concatenate(([0.0], np.cumsum(outside)))
+    log = lambda x: np.log(x + 1e-12)
+    classes: dict[str, np.ndarray] = {}
+
+    def seen(letter):
+        if letter not in classes:
+            classes[letter] = np.array([0.0] + [float(_same_letter(letter, a)) for a in alphabet])
+        return classes[letter]
+
+    def alike(p: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Scores of candidates of one length against matrices of one shape: (candidates, steps, classes)."""
+        best = log(p.max(2))
+        outside = np.where(np.isin(p.argmax(2), blanks), 0.0, -penalty) + best
+        before = np.concatenate((np.zeros((len(p), 1)), np.cumsum(outside, 1)), 1)
         # One column for each state: blank, first letter, blank, second letter, ..., blank.
-        emit = np.empty((len(p), 2 * len(letters) + 1))
-        emit[:, ::2] = log(p[:, blanks].sum(1))[:, None]
-        for k, ch in enumerate(letters):
-            seen = [i + 1 for i, a in enumerate(alphabet) if _same_letter(ch, a)]
-            if not seen:
-                return None
-            emit[:, 2 * k + 1] = log(p[:, seen].sum(1))
-        jump = np.zeros(emit.shape[1], bool)
-        jump[3::2] = [a != b for a, b in zip(letters[1:], letters, strict=False)]
-        state, top = np.full(emit.shape[1], -np.inf), -np.inf
-        for k in range(len(p)):
-            into = np.maximum(state, np.append(-np.inf, state[:-1]))
-            into[2:] = np.where(jump[2:], np.maximum(into[2:], state[:-2]), into[2:])
-            into[:2] = np.maximum(into[:2], before[k])
-            state = into + emit[k]
-            top = max(top, max(state[-1], state[-2]) + before[-1] - before[k + 1])
-        return float(top - best.sum())
+        emit = np.empty((*p.shape[:2], 2 * len(texts[0]) + 1))
+        emit[:, :, ::2] = log(p[:, :, blanks].sum(2))[:, :, None]
+        spelt = np.array([[seen(ch)[: p.shape[2]] for ch in x] for x in texts])
+        emit[:, :, 1::2] = log(np.einsum("btc,blc->btl", p[:, :, : spelt.shape[2]], spelt))
+        jump = np.zeros((len(p), emit.shape[2]), bool)
+        jump[:, 3::2] = [[a != b for a, b in zip(x[1:], x, strict=False)] for x in texts]
+        state, top = np.full(jump.shape, -np.inf), np.full(len(p), -np.inf)
+        for k in range(p.shape[1]):
+            into = state.copy()
+            into[:, 1:] = np.maximum(into[:, 1:], state[:, :-1])
+            into[:, 2:] = np.where(jump[:, 2:], np.maximum(into[:, 2:], state[:, :-2]), into[:, 2:])
+            into[:, :2] = np.maximum(into[:, :2], before[:, k, None])
+            state = into + emit[:, k]
+            top = np.maximum(top, state[:, -2:].max(1) + before[:, -1] - before[:, k + 1])
+        return np.where(spelt.any(2).all(1), top - best.sum(1), np.nan)
 
     @F.pandas_udf("double")
     def run(m: pd.Series, t: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([one(*x) for x in zip(m, t, c, strict=True)], dtype="float64")
+        out, shapes = np.full(len(m), np.nan), {}
+        texts = [(x or "").replace(" ", "") for x in c]
+        for i, (flat, n) in enumerate(zip(m, t, strict=True)):
+            if flat is not None and n and n > 0 and texts[i]:
+                shapes.setdefault((int(n), len(flat), len(texts[i])), []).append(i)
+        for (n, _, _), rows in shapes.items():
+            for at in range(0, len(rows), 1024):
+                some = rows[at : at + 1024]
+                out[some] = alike(np.stack([np.asarray(m[i], float) for i in some]).reshape(len(some), n, -1), [texts[i] for i in some])
+        return pd.Series(out)
 
     return df.withColumn(name, run(F.col(matrix), F.col(steps), F.col(candidate)))
 
