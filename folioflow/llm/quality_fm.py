@@ -63,6 +63,7 @@ def fit(y: np.ndarray, ids: np.ndarray, first: np.ndarray, stats: np.ndarray, bi
     m = Machine(bits, 0.0, np.zeros(1 << bits, np.float32), r.normal(0, 0.02, (1 << bits, factors)).astype(np.float32), np.zeros(k), r.normal(0, 0.05, (k, factors)), mean, scale)
     if len(y) == 0 or y.min() == y.max():
         m.bias = 0.0 if len(y) == 0 else 2.0 * (2 * float(y[0]) - 1)
+        m.v[:], m.vs[:] = 0, 0
         return m
     sample_weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     used = np.unique(ids)

@@ -79,7 +79,8 @@ def test_classifiers_learn_and_hold_out(spark):
         out = [x for x in labels if held(x[0])]
         assert sum(by[x[0]].predicted == x[k] for x in out) >= 0.97 * len(out)
         assert op.classify(d.limit(0), l).count() == 0
-        assert {r.score for r in op.classify(d, l.limit(0)).collect()} != set()
+        unlearned = {r.score for r in op.classify(d, l.limit(0)).collect()}
+        assert len(unlearned) == 1 and 0 <= min(unlearned) <= 0.5
 
 
 def test_labels_of_held_out_rows_are_never_read(spark):
@@ -101,6 +102,54 @@ def test_sum_of_squares_identity():
     assert math.isclose(m.margin(ids, np.array([0, 4]), stats)[0], slow, rel_tol=1e-6)
 
 
+def _grams(text):
+    """Distinct character n-grams as the operator means them: Latin letters in lower case, whole characters."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in text)
+    return {low[i : i + n] for n in toxicity.SIZES for i in range(len(low) - n + 1)}
+
+
+def _bucket(gram, bits):
+    data = np.frombuffer(gram.encode(), np.uint8)
+    ((at, _, _),) = toxicity.features.char_ngrams(data, np.array([0, len(data)]), (len(gram),), bits)
+    return int(at[0])
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """The query's scores, n-gram by n-gram in plain Python: distinct buckets of a text, one weight each."""
+    d, l, _ = planted(spark, 90)  # noqa: E741
+    rows = texts() + ["ÀÉ×ß scumbag SCUMBAG", "scum", "𝒳" * 9]
+    extra = docs(spark, [(1000 + i, t) for i, t in enumerate(rows)])
+    model = toxicity.train(d, l)
+    assert (model.table != 0).sum() > 5
+    got = {r.doc_id: r.score for r in toxicity.classify(d.unionByName(extra), l, model=model).collect()}
+    known: dict[str, int] = {}
+    for r in d.unionByName(extra).collect():
+        grams = _grams(r.text or "")
+        for g in grams - known.keys():
+            known[g] = _bucket(g, model.bits)
+        slow = 0.0
+        for n in toxicity.SIZES:
+            slow += sum(float(model.table[b]) for b in {known[g] for g in grams if len(g) == n})
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-max(-30, min(30, model.bias + slow)))), rel_tol=1e-5), r.doc_id
+
+
+def test_toxicity_ratios_equal_brute_force():
+    """Weights carry the naive Bayes ratio of each n-gram's shares; rare and weak n-grams weigh nothing."""
+    r = np.random.default_rng(4)
+    y = np.array([1, 0] * 60)
+    sets = [np.unique(np.concatenate((r.integers(8, 64, 6), [1] if label else [2], [3]))).astype(np.int32) for label in y]
+    sets[0] = np.append(sets[0], 70).astype(np.int32)
+    m = toxicity.fit(y, sets, 7)
+    for g in range(128):
+        pos, neg = (sum(g in s for s, label in zip(sets, y, strict=True) if label == k) for k in (1, 0))
+        ratio = math.log((pos + 1) / 62) - math.log((neg + 1) / 62)
+        if pos + neg < 8 or abs(ratio) < 1.5:
+            assert m.table[g] == 0, g
+        else:
+            assert m.table[g] * ratio > 0, g
+    assert m.table[1] > 0 > m.table[2] and m.table[3] == m.table[70] == 0
+
+
 def test_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
