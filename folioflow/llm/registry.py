@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, token_counts, token_files, toxicity
+from . import best_fit, conversation_repair, exact_dedup, mixing, ngram_join, packing, quality_fm, quality_rules, suffix_dedup, token_counts, token_files, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_token_files, op4_exact_dedup, op5_quality_rules, op6_suffix_dedup, op7_packing, op8_toxicity, op9_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_token_files, op4_exact_dedup, op5_quality_rules, op6_suffix_dedup, op7_packing, op8_toxicity, op9_quality_classifier, op10_token_counts, op11_vector_codes, op12_best_fit, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE}
+    return {"op2_ngram_join": ngram_join.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
