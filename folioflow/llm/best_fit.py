@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int = 1024,
 
     A null or empty text still has its end id, so one piece; a text of any length is encoded whole.  Repeated rows and
     equal or null doc_ids are packed each by itself; an empty table gives no rows; other columns are ignored.  Ties
-    between pieces of one length are broken by doc_id and start, between sequences of equal room by age.
+    between pieces of one length are broken by doc_id and start, between sequences of equal room by when they came to have it.
     """
 
     def cut(batch, buf, offs):
