@@ -1,7 +1,8 @@
 """Operator 4: exact dedup by progressive refinement.
 
-One pass groups rows by text length and, within a length, by a hash of the text's first characters; counts are
-aggregated before the shuffle, so a length, a prefix or a text that a third of all rows share costs one row for
+One pass groups rows by text length and, within a length, by a hash of the text's first characters (both at once: the
+prefix of a text of unique length is hashed as well, which costs less than a pass of its own); counts are aggregated
+before the shuffle, so a length, a prefix or a text that a third of all rows share costs one row for
 each task.  Groups of one row are done.  The others set bits in a filter of fixed size, and only rows whose
 bits are set have their whole content hashed (SHA-256), at every size of the data: a full filter lets more rows
 through, it never drops one.  Groups of equal hashes are aggregated in the same way, and decisions go back to
@@ -50,17 +51,18 @@ def copy_groups(rows: DataFrame, sha: str) -> DataFrame:
     return materialize(groups.where("size > 1"))
 
 
-def decide(docs: DataFrame, normalize: Column | None = None, broadcast_rows: int = 1_000_000, filter_bits: int = FILTER_BITS, report_sha: bool = False) -> tuple[DataFrame, list[str]]:
+def decide(docs: DataFrame, normalize: Column | None = None, broadcast_rows: int = 1_000_000, filter_bits: int = FILTER_BITS, report_sha: bool = False, head_chars: int = 256) -> tuple[DataFrame, list[str]]:
     """The columns of ``docs`` with four more, and their names: doc_id of the row that stays, size of the group, whether
     the row stays, SHA-256 (binary; null for texts known to be alone, unless ``report_sha``).  The names begin
     with two underscores, and with more where ``docs`` has such columns."""
     names = keep, size, kept, sha = fresh(docs, "__keep", "__size", "__kept", "__sha")
     key, at_keep, number = fresh(docs, "__key", "__at_keep", "__number")
-    bits = survivors(docs, normalize, filter_bits=filter_bits)
-    rows = hashed(docs, bits, sha, normalize, filter_bits=filter_bits)
+    text = _text(docs, normalize)
+    bits = survivors(docs, normalize, head_chars, filter_bits)
+    rows = hashed(docs, bits, sha, normalize, head_chars, filter_bits)
     groups = copy_groups(rows, sha)
     # Texts that are alone get keys that match nothing and lie in no one partition.
-    rows = rows.withColumn(key, F.coalesce(sha, F.unhex(F.hex(F.xxhash64("doc_id", _text(docs, normalize))))))
+    rows = rows.withColumn(key, F.coalesce(sha, F.unhex(F.hex(F.xxhash64(F.octet_length(text), F.substring(text, 1, head_chars))))))
     if report_sha:
         rows = rows.withColumn(sha, F.coalesce(sha, F.unhex(F.sha2(_text(docs, normalize), 256))))
         rows = rows.drop("text") if normalize is None else rows

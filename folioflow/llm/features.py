@@ -78,14 +78,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     """At most ``per_class`` rows of each value of a label: doc_id, label, text.
 
     Rows whose crc32(doc_id as text) mod 3 is ``held_out`` are left out; the others are taken in the order of
-    a hash of doc_id.  Of several labels of one doc_id the smallest counts.  The sample is bounded, so it is
-    broadcast and the texts stay where they are.
+    a hash of doc_id.  Of several labels of one doc_id the smallest counts, and of several rows of one doc_id the
+    text of the least hash, so the bound holds however often a labelled doc_id is repeated.  The sample is bounded, so
+    its ids are broadcast and the other texts stay where they are.
     """
     rows = labels.select("doc_id", labels[column].alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 != held_out).groupBy("doc_id").agg(F.min("label").alias("label"))
     kinds = sorted(r[0] for r in rows.select("label").distinct().limit(101).collect())
     if not kinds:
-        return rows.join(docs.select("doc_id", "text"), "doc_id")
+        return rows.withColumn("text", F.lit(""))
     picked = None
     if len(kinds) <= 100:
         for k in kinds:
@@ -98,7 +99,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
             picked = picked.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy("__h", "doc_id"))).where(F.col("__at") <= per_class)
         picked = picked.select("doc_id", "label")
     texts = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    found = texts.join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
 
 def word_rows(sample: DataFrame, bits: int):

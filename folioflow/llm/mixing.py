@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import features
-from .common import doc_columns, map_text, materialize, workers_see_package
+from .common import doc_columns, fresh, map_text, materialize, workers_see_package
 
 
 @dataclass
@@ -253,18 +253,32 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, domain: Column, weights:
     return rows.select("doc_id", F.col("n").alias("n_tokens"), *posts, "rate", "copies")
 
 
+def policy(narrow: DataFrame, model: Softmax, keep: str, least: float = 1 / 3, whole: float = 2 / 3) -> tuple[dict[str, float], float]:
+    """Weights and tokens of the mix that takes documents by their posterior of the domain ``keep``: none up to ``least``, all
+    from ``whole`` on, and in between in proportion.  These totals are within reach of rates from 0 to 1."""
+    at = model.domains.index(keep)
+    rate = F.least(F.greatest((F.col("p")[at] - least) / (whole - least), F.lit(0.0)), F.lit(1.0))
+    sums = narrow.agg(*[F.coalesce(F.sum(F.col("n") * rate * F.col("p")[i]), F.lit(0.0)) for i in range(len(model.domains))]).first()
+    return dict(zip(model.domains, sums, strict=True)), sum(sums)
+
+
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Every row as often as its copies say, with the columns of ``docs``."""
+    """Every row as often as its copies say, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts have no words and the rate of their posterior; repeated rows are copied each by itself; rows
+    without doc_id draw one common chance; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(mix)
+    name, copies, number = fresh(docs, "__rate", "__copies", "__i")
 
     def run(batch, buf, offs):
         m = shared.value
         ids, first = features.word_ids(buf, offs, m.model.bits)
         rate = m.rates(m.model.posterior(ids, first, features.structure(buf, offs)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, name])
 
-    rows = map_text(docs, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]), run)
-    rows = rows.withColumn("__copies", _copies("__rate")).where("__copies > 0")
+    rows = map_text(docs, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]), run)
+    rows = rows.withColumn(copies, _copies(name)).where(F.col(copies) > 0)
     if mix.high > 1:
-        rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        rows = rows.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return rows.select(*docs.columns)

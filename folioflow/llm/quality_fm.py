@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import features
-from .common import doc_columns, map_text
+from .common import doc_columns, fresh, map_text
 
 
 @dataclass
@@ -129,5 +129,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, model:
 
 
 def keep_good(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score reaches the threshold, with the columns of ``docs``."""
-    return add_score(docs, model, "__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    """The rows whose score reaches the threshold, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are scored as texts without words, repeated rows each by itself; an empty table stays empty.
+    """
+    (score,) = fresh(docs, "__score")
+    return add_score(docs, model, score).where(F.col(score) >= threshold).select(*docs.columns)

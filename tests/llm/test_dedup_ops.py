@@ -123,6 +123,14 @@ def test_only_rows_that_may_have_a_copy_are_hashed(spark):
     assert sorted(r.doc_id for r in got.collect()) == [7, 900, 901, 902]
 
 
+def test_no_plan_hashes_the_whole_text_of_a_lone_row(spark):
+    """The only expression that reads whole texts is the SHA-256 behind the filter's test."""
+    plan = exact_dedup.drop_copies(docs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    for part in re.findall(r"(?:xxhash64|sha2)\((?:[^()]|\([^()]*\))*\)", plan):
+        assert part.startswith("sha2") or "substring" in part or "len" in part or "text" not in part, part
+    assert re.search(r"CASE WHEN .*sha2\(", plan)
+
+
 def test_dropping_stands_columns_of_any_name(spark):
     rows = docs(spark, [(1, "same text"), (2, "same text"), (3, "other")]).withColumns({n: F.lit(n) for n in ("__keep", "__size", "__sha", "___sha", "__row", "__bits", "__key", "s1", "s2", "rep", "key", "block")})
     kept = exact_dedup.drop_copies(rows)

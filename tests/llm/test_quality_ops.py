@@ -14,7 +14,7 @@ from .helpers import docs, texts
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for n in ("documents", "labels"):
+    for n in ("documents", "labels", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{sf}/{n}.parquet')")
     return c
 
@@ -234,3 +234,54 @@ def test_sample_holds_every_one_of_many_labels(spark):
     assert few == {k: got[k] for k in range(5)}
     with pytest.raises(ValueError):
         mixing.train(d, labels, F.col("doc_id").cast("string"))
+
+
+def test_sample_stays_bounded_where_a_labelled_id_is_repeated(spark):
+    rows = [(7, f"text {i % 5} of many") for i in range(20_000)] + [(i, "other") for i in range(100, 120)]
+    labels = spark.createDataFrame([(7, 1), *[(i, i % 2) for i in range(100, 120)]], "doc_id long, k int")
+    got = mixing.features.labelled_sample(docs(spark, rows), labels, "k", 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 20 and [r.text for r in got if r.doc_id == 7][0].startswith("text ")
+
+
+def test_copies_stand_columns_of_any_name(spark):
+    d, l, _ = planted(spark, 60)  # noqa: E741
+    odd = d.withColumns({c: F.lit(c) for c in ("__rate", "__copies", "__i", "__score")})
+    model = mixing.train(d, l, mixing.domain_of_labels())
+    mix = mixing.fit_rates(mixing.posteriors(odd, model), model, {"clean": 1.0, "low": 1.0, "toxic": 1.0}, tokens=2 * 60 * 60.0)
+    out = mixing.mixed(odd, mix)
+    assert out.columns == odd.columns and {tuple(r) for r in out.select("__rate", "__copies", "__i").distinct().collect()} == {("__rate", "__copies", "__i")}
+    good = quality_fm.keep_good(odd, quality_fm.train(d, l))
+    assert good.columns == odd.columns and 0 < good.count() < odd.count()
+
+
+def test_policy_is_within_reach(spark):
+    d, l, _ = planted(spark, 200)  # noqa: E741
+    model = mixing.train(d, l, mixing.domain_of_labels())
+    narrow = mixing.posteriors(d, model)
+    weights, tokens = mixing.policy(narrow, model, "clean")
+    mix = mixing.fit_rates(narrow, model, weights, tokens=tokens, high=1.0)
+    rates = {tuple(r.p): r.rate for r in mixing.rated(narrow, mix).collect()}
+    at = model.domains.index("clean")
+    assert mix.met and all(r > 0.99 for p, r in rates.items() if p[at] > 0.7) and all(r < 0.01 for p, r in rates.items() if p[at] < 0.3)
+    assert mixing.policy(narrow.limit(0), model, "clean")[1] == 0
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """The query's scores from all pairs of inputs, word by word in plain Python."""
+    d, l, _ = planted(spark, 90)  # noqa: E741
+    rows = texts()[:40] + ["one two two", "word"]
+    m = quality_fm.train(d, l)
+    got = {r.doc_id: r.score for r in quality_fm.classify(docs(spark, list(enumerate(rows))), l, model=m).collect()}
+    f = quality_fm.features
+    for i, t in enumerate(rows):
+        buf = np.frombuffer((t or "").encode(), np.uint8)
+        words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
+        ids = np.array([f.word_ids(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), m.bits)[0][0] for w in words], int)
+        if len(ids) > 400:
+            continue
+        z = (f.structure(buf, np.array([0, len(buf)]))[0] - m.mean) / m.scale
+        x = np.concatenate((np.full(len(ids), 1 / math.sqrt(max(len(ids), 1))), z))
+        v, w = np.concatenate((m.v[ids], m.vs)), np.concatenate((m.w[ids], m.ws))
+        g = (v @ v.T) * np.outer(x, x)
+        margin = m.bias + x @ w + (g.sum() - np.trace(g)) / 2
+        assert math.isclose(got[i], 1 / (1 + math.exp(-margin)), rel_tol=1e-4, abs_tol=1e-5), t
