@@ -16,8 +16,8 @@ from folioflow.llm import exact_dedup, mixing, ngram_join, packing, quality_fm
 from folioflow.llm.common import materialize
 from folioflow.llm.registry import tokenizer_path
 
-#: Shares of the mix's tokens by domain; rates stay between 0 and 1, so no clean document is repeated or thinned.
-WEIGHTS = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
+#: The mix's targets are the domains' tokens when documents that are clean by two thirds are all taken, and none by a third.
+KEEP = "clean"
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -40,9 +40,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned so that the expected tokens of the domains meet WEIGHTS; the rate of a text without tokens is its posterior's."""
+    """Documents are thinned, by rates between 0 and 1, until the expected tokens of the domains meet ``mixing.policy``; the
+    rate of a text without tokens is its posterior's."""
+    return mixing.mixed(docs, mix_rates(spark, docs, sf_dir))
+
+
+def mix_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixing.Mix:
     model = mixing.train(*_tables(spark, sf_dir), mixing.domain_of_labels())
-    return mixing.mixed(docs, mixing.fit_rates(mixing.posteriors(docs, model), model, WEIGHTS, high=1.0))
+    narrow = mixing.posteriors(docs, model)
+    keep = KEEP if KEEP in model.domains else model.domains[0]
+    weights, tokens = mixing.policy(narrow, model, keep)
+    return mixing.fit_rates(narrow, model, weights, tokens=tokens, high=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
