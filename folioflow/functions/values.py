@@ -117,3 +117,9 @@ AMOUNT_MARGIN = 5.0
 # Signs that scanners read for a letter of a printed label; name particles that stay small.
 SEEN_AS = {"a": "[aáàäâã@]", "e": "[eéèëê]", "i": "[iíìïî1l!|]", "o": "[oóòöô0]", "u": "[uúùüûv]", "n": "[nñ]", "s": "[s5$]"}
 PARTICLES = ["de", "del", "la", "las", "los", "y"]
+
+# Pieces of print that no field holds; the look of a date; where a blank was lost before a digit; words that tell a written amount.
+PRINT = ["banco", "compania", "anonima", "invadir", "rasgos", "caligraf", "sellos", "superintendencia", "formulario", "agencia", "didactico", "comercial", "ctacte", "valor", "seguros"]
+DATE_FORM = r"[0-9]{1,4}\s*[-/.]\s*[0-9]{1,2}\s*[-/.]\s*[0-9]{1,4}"
+LETTER_THEN_DIGIT = r"(?<=[A-Za-z.])(?=[0-9])"
+NUMBER_SPEECH = [*TOLERANT_WORDS, *TOLERANT_UNITS, *SCALES, "centavos", "centavo", "dolares", "dolar", "cientos"]

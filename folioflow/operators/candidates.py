@@ -169,3 +169,56 @@ def best_agreement(value: Column, others: Column) -> Column:
         return pd.Series([None if x is None else max((difflib.SequenceMatcher(None, x, y).ratio() for y in ([] if ys is None else ys)), default=0.0) for x, ys in zip(v, o, strict=True)], dtype="float64")
 
     return run(value, others)
+
+
+def ctc_best(matrices: Column, steps: Column, forms: Column, alphabet: str, penalty: float = 2.5, as_blank: str = " ") -> Column:
+    """For each candidate, an array of the ways it may be written, the best score that one of them has against a matrix,
+    added up over the row's matrices (an array of flat ones, and of their steps): an array of scores as ``ctc_scores`` gives
+    them, null for a candidate that no class spells; 0 without a matrix. All candidates of a row, with forms of any length,
+    are aligned together."""
+    blanks = [0] + sorted({alphabet.index(ch) + 1 for ch in as_blank if ch in alphabet})
+
+    def aligned_scores(p: np.ndarray, texts: list[str]) -> np.ndarray:
+        best = np.log(p.max(1) + 1e-12)
+        outside = np.where(np.isin(p.argmax(1), blanks), 0.0, -penalty) + best
+        before = np.concatenate(([0.0], np.cumsum(outside)))
+        letters = sorted({ch for x in texts for ch in x})
+        classes = np.array([[float(_same_letter(ch, a)) for a in alphabet[: p.shape[1] - 1]] for ch in letters]).reshape(len(letters), -1)
+        # One column for each letter, and one for the room behind a shorter form, which nothing reaches.
+        seen = np.concatenate((np.log(p[:, 1:] @ classes.T + 1e-12), np.full((len(p), 1), -np.inf)), 1)
+        n = np.array([len(x) for x in texts])
+        at = np.full((len(texts), n.max()), len(letters))
+        for row, x in zip(at, texts, strict=True):
+            row[: len(x)] = np.searchsorted(letters, list(x))
+        jump = np.zeros((len(texts), 2 * n.max() + 1), bool)
+        jump[:, 3::2] = at[:, 1:] != at[:, :-1]
+        blank = np.log(p[:, blanks].sum(1) + 1e-12)
+        state, top, rows = np.full(jump.shape, -np.inf), np.full(len(texts), -np.inf), np.arange(len(texts))
+        for k in range(len(p)):
+            into = state.copy()
+            into[:, 1:] = np.maximum(into[:, 1:], state[:, :-1])
+            into[:, 2:] = np.where(jump[:, 2:], np.maximum(into[:, 2:], state[:, :-2]), into[:, 2:])
+            into[:, :2] = np.maximum(into[:, :2], before[k])
+            into[:, ::2] += blank[k]
+            into[:, 1::2] += seen[k, at]
+            state = into
+            top = np.maximum(top, np.maximum(state[rows, 2 * n], state[rows, 2 * n - 1]) + before[-1] - before[k + 1])
+        spelt = np.append(classes.any(1), True)[at].all(1)
+        return np.where(spelt, top - best.sum(), np.nan)
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series, t: pd.Series, f: pd.Series) -> pd.Series:
+        def one(flats, ns, candidates):
+            if candidates is None:
+                return None
+            texts = [[x.replace(" ", "") for x in c if x and x.strip()] for c in candidates]
+            every = sorted({x for c in texts for x in c})
+            total = np.zeros(len(texts))
+            for flat, n in zip(flats if flats is not None and every else [], ns if ns is not None else [], strict=False):
+                score = dict(zip(every, aligned_scores(np.asarray(flat, float).reshape(int(n), -1), every).tolist(), strict=True))
+                total += [max((score[x] for x in c if score[x] == score[x]), default=np.nan) for c in texts]
+            return [None if x != x else x for x in total.tolist()]
+
+        return pd.Series([one(*x) for x in zip(m, t, f, strict=True)])
+
+    return run(matrices, steps, forms)
