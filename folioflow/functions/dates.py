@@ -162,13 +162,14 @@ def digits_repaired(c: Column) -> Column:
 
 
 def digits_repaired_in_dates(c: Column) -> Column:
-    """The repair dialect: only where three groups stand between separators, the first opening with a digit."""
+    """The repair dialect: only where three groups stand between separators, the first opening with a digit, and four signs
+    or more are digits already."""
     group = "[0-9oOdDiIlL|sSzZbgqa]"
-    return replace_each(c, rf"[0-9]{group}{{0,3}}(?:\s*[/\-.]\s*{group}{{1,4}}){{2}}", _as_digits(values.DATE_LOOKALIKES_REPAIR))
+    return replace_each(c, rf"[0-9]{group}{{0,3}}(?:\s*[/\-.]\s*{group}{{1,4}}){{2}}", _as_digits(values.DATE_LOOKALIKES_REPAIR, 4))
 
 
-def _as_digits(letters: dict[str, str]):
-    return lambda x: F.when(F.regexp_like(x, F.lit("[0-9]")), F.translate(x, "".join(letters), "".join(letters.values()))).otherwise(x)
+def _as_digits(letters: dict[str, str], least: int = 1):
+    return lambda x: F.when(F.length(F.regexp_replace(x, "[^0-9]", "")) >= least, F.translate(x, "".join(letters), "".join(letters.values()))).otherwise(x)
 
 
 def slash_readings(c: Column) -> Column:

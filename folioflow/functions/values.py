@@ -118,6 +118,21 @@ AMOUNT_MARGIN = 5.0
 SEEN_AS = {"a": "[aáàäâã@]", "e": "[eéèëê]", "i": "[iíìïî1l!|]", "o": "[oóòöô0]", "u": "[uúùüûv]", "n": "[nñ]", "s": "[s5$]"}
 PARTICLES = ["de", "del", "la", "las", "los", "y"]
 
+# Runs of signs that fill a line, and signs that hang at a value's ends.
+FILLER_RUNS = r"(?i)[-_=*~]{2,}|(?<![a-z])x{3,}(?![a-z])"
+FILLER_ENDS = r"^[\s\-_=*~.:,;#]+|[\s\-_=*~.:,;#]+$"
+# A payee's printed label before the name, as misread, and the amount behind it; words that its rests leave.
+PAYEE_LABEL = r"(?i)^.*?(orden\s*de|ordende|ala\s*orden)\s*"
+PAYEE_AMOUNT = r"(?i)\bus\W*\$.*$"
+LABEL_RESTS = ["a", "la", "al", "de"]
+LABEL_WORDS = ["orden", "paguese", "ordende"]
+# Printed labels before a deep reader's payee and city.
+DEEP_PAYEE = r"(?iu)^\W*(p[aá]guese\s*a\s*)?(la\s*)?orden\s*de\W*"
+DEEP_AMOUNT = r"(?i)\s*u\.?\s*s\.?\s*\$.*$"
+CITY_LABEL = r"(?iu)^\W*(ciudad\s*(y\s*fecha)?|lugar\s*y\s*fecha(\s*de\s*emisi[oó]n)?)\W*"
+# Cents as scanners read them, and the groups of digits that they spoil.
+CENTS_READ = r"(?<![0-9])([0-9]{2})\s*(?:[/|)(\]\[{}!1lI]\s*){1,3}[0oOcCQ]{2}(?![a-z])|(?<![0-9])([0-9]{2})\s+[cC][oO0](?![a-z])"
+SPOILED_DIGITS = r"(?<![a-zA-Z])[0-9oO][0-9oOcClI/|)(\]\[]*(?![a-zA-Z])"
 # Pieces of print that no field holds; the look of a date; where a blank was lost before a digit; words that tell a written amount.
 PRINT = ["banco", "compania", "anonima", "invadir", "rasgos", "caligraf", "sellos", "superintendencia", "formulario", "agencia", "didactico", "comercial", "ctacte", "valor", "seguros"]
 DATE_FORM = r"[0-9]{1,4}\s*[-/.]\s*[0-9]{1,2}\s*[-/.]\s*[0-9]{1,4}"

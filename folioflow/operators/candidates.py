@@ -142,10 +142,46 @@ def label_of(c: Column, labels: dict[str, list[str]], cutoff: float = 0.72) -> C
     return run(c)
 
 
+def united(sources: dict[str, DataFrame], keys: list[str], value: str) -> DataFrame:
+    """Candidates of all sources, each once for its keys, with a column for each source that says whether it has it, and
+    ``same``, whether all have. Copies are aggregated before they move."""
+    rows = None
+    for name, df in sources.items():
+        part = df.select(*keys, value, F.lit(name).alias("__of"))
+        rows = part if rows is None else rows.unionByName(part)
+    held = [F.bool_or(F.col("__of") == name).alias(name) for name in sources]
+    out = rows.groupBy(*keys, value).agg(*held)
+    return out.withColumn("same", F.least(*[F.col(name) for name in sources]) if len(sources) > 1 else F.lit(True))
+
+
+#: Names that may be broadcast, by number and letters.
+MOST_NAMES, MOST_LETTERS = 100_000, 16 << 20
+
+
 def named_in(df: DataFrame, text: str, names: DataFrame, name: str, cutoff: float = 0.8) -> DataFrame:
-    """Pairs of a text and a name that it holds or is like; ``names`` is a short list, so it is broadcast."""
-    both = df.join(F.broadcast(names.select(name)), F.lit(True))
-    return both.where(F.contains(text, F.col(name)) | (ratio(F.col(text), F.col(name)) > cutoff))
+    """Pairs of a text and a name that it holds or is like (edits touch at most ``1 - cutoff`` of the longer one's letters).
+
+    Candidates come from equi-joins, never from all pairs: a text that holds a name holds the name's first gram of
+    three letters, and a text like a name shares one of the pieces into which the name is cut, one more than the edits
+    allowed. Names shorter than a gram join by their first letter. The names are broadcast if they are few and short, by
+    count, else shuffled. Null or empty names match nothing; a name listed twice is one.
+    """
+    names = names.select(F.col(name)).where(F.length(name) > 0).distinct()
+    n, letters = names.agg(F.count("*"), F.coalesce(F.sum(F.length(name)), F.lit(0))).first()
+    gram = lambda c, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(size)))
+    # Pieces of a name: so many that the edits which leave it alike cannot touch all.
+    edits = F.floor((1 - cutoff) / cutoff * F.length(name) + 1e-9).cast("int")
+    size = F.greatest(F.floor(F.length(name) / (edits + 1)), F.lit(1)).cast("int")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(0), edits), lambda i: F.substr(F.col(name), i * size + 1, size)))
+    keyed = names.select(name, F.explode(pieces).alias("__gram")).withColumn("__size", F.length("__gram"))
+    sizes = sorted(r[0] for r in keyed.select("__size").distinct().limit(1000).collect())
+    keyed = F.broadcast(keyed) if n <= MOST_NAMES and letters <= MOST_LETTERS else keyed
+    texts = df.withColumn("__row", F.monotonically_increasing_id()).where(F.col(text).isNotNull())
+    grams = F.array_distinct(F.flatten(F.array(*[gram(F.col(text), s) for s in sizes]))) if sizes else F.array().cast("array<string>")
+    found = texts.select("__row", text, F.explode(grams).alias("__gram")).join(keyed, "__gram").select("__row", text, name).distinct()
+    like = 1 - F.levenshtein(text, name) / F.greatest(F.length(text), F.length(name)) >= cutoff
+    pairs = found.where(F.contains(text, F.col(name)) | like).select("__row", name)
+    return texts.join(pairs, "__row").drop("__row")
 
 
 def aligned(base: Column, other: Column, least: float = 0.45) -> Column:

@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioflow.session import cut
+
 
 def first_by_hash(df: DataFrame, content: str, order: str) -> DataFrame:
     """One row for each content hash, the first in order. Aggregated before the shuffle: hot contents cost one row a task."""
@@ -93,3 +95,21 @@ def patched(records: DataFrame, changes: DataFrame, key: str, columns: list[str]
 
 def rank_window(keys: list[str], *order) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """The rows with dense numbers from 1 in the given order, which must tell rows apart: they are divided by ranges, sorted
+    within those, and each range adds the sizes of the ranges before it. No task holds more than a range."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    # One row for each range.
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in sorted(sizes):
+        before.append((p, total))
+        total += sizes[p]
+    starts = spark.createDataFrame(before, "__part long, __before long")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return rows.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, place).drop("__at", "__part", "__before")

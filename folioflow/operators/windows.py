@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -140,25 +141,40 @@ def rows_by_overlap(tokens: DataFrame, key: str, share: float = 0.5) -> DataFram
     return _folded(tokens, key, ("cy", "idx", "y0", "y1"), zero, step, end)
 
 
-def merged_boxes(boxes: DataFrame, key: str, share: float = 0.5, stacked: float = 0.0) -> DataFrame:
-    """Boxes (x0, y0, x1, y1) of a page united while any two overlap by ``share`` of the lesser area, or lie over one another
-    with common width and at most ``stacked`` between them; some dozens of boxes a page."""
+def merged_boxes(boxes: DataFrame, key: str, share: float = 0.5, width: float = 0.6, slack: float = 12) -> DataFrame:
+    """Boxes (x0, y0, x1, y1, confidence) of a page united while two of them meet: they overlap by ``share`` of the lesser area,
+    or have ``width`` of the narrower one in common and less than ``slack`` between them from top to bottom, overlap included.
 
-    def unite(page: pd.DataFrame) -> pd.DataFrame:
-        out = [tuple(b) for b in page[["x0", "y0", "x1", "y1"]].sort_values(["x0", "y0", "x1", "y1"]).to_numpy(float)]
-
-        def meet(a, b):
-            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-            size = min((q[2] - q[0]) * (q[3] - q[1]) for q in (a, b))
-            return (w > 0 and h > 0 and w * h >= share * size) or (w > 0 >= h and -h <= stacked)
+    The union keeps the higher confidence. Where more pairs meet, the first in the order of x0, y0, x1, y1 is united, and
+    the union takes the first one's place, so the rows' order does not matter. Some dozens of boxes a page; boxes with a
+    missing coordinate are left out.
+    """
 
-        while pair := next(((a, b) for i, a in enumerate(out) for b in out[i + 1 :] if meet(a, b)), None):
-            a, b = pair
-            out.remove(a), out.remove(b)
-            out.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
-        return pd.DataFrame([(page[key].iloc[0], *b) for b in sorted(out)], columns=[key, "x0", "y0", "x1", "y1"])
+    def meet(b, o):
+        w, h = np.minimum(b[2], o[:, 2]) - np.maximum(b[0], o[:, 0]), np.minimum(b[3], o[:, 3]) - np.maximum(b[1], o[:, 1])
+        area = np.minimum((b[2] - b[0]) * (b[3] - b[1]), (o[:, 2] - o[:, 0]) * (o[:, 3] - o[:, 1]))
+        narrow = np.minimum(b[2] - b[0], o[:, 2] - o[:, 0])
+        inside = (w > 0) & (h > 0) & (w * h >= share * np.where(area == 0, 1, area))
+        return inside | ((w >= width * np.where(narrow == 0, 1, narrow)) & (h > -slack))
 
-    return boxes.select(key, "x0", "y0", "x1", "y1").groupBy(key).applyInPandas(unite, f"{key} long, x0 double, y0 double, x1 double, y1 double")
+    def unite(page: pd.DataFrame) -> pd.DataFrame:
+        rows, i = page[["x0", "y0", "x1", "y1", "confidence"]].sort_values(["x0", "y0", "x1", "y1", "confidence"]).to_numpy(float), 0
+        while i < len(rows):
+            found = np.flatnonzero(meet(rows[i], rows[i + 1 :]))
+            if len(found):
+                j = i + 1 + found[0]
+                both = rows[[i, j]]
+                rows[i] = [*both[:, :2].min(0), *both[:, 2:4].max(0), np.nanmax(both[:, 4]) if not np.isnan(both[:, 4]).all() else np.nan]
+                rows, i = np.delete(rows, j, 0), 0
+            else:
+                i += 1
+        out = pd.DataFrame(rows, columns=["x0", "y0", "x1", "y1", "confidence"])
+        out.insert(0, key, page[key].iloc[0])
+        return out
+
+    kind = boxes.schema[key].dataType.simpleString()
+    whole = boxes.dropna(subset=["x0", "y0", "x1", "y1"]).select(key, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "confidence")])
+    return whole.groupBy(key).applyInPandas(unite, f"{key} {kind}, x0 double, y0 double, x1 double, y1 double, confidence double")
 
 
 def reach_right(df: DataFrame, keys: list[str], x0: str, x1: str, gap: float) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions import numbers, values
 from folioflow.functions.dates import digits_repaired, earliest_date, plausible, slash_readings
-from folioflow.functions.text import plain, stripped_city, stripped_payee
+from folioflow.functions.names import name_words, once_in_a_row
+from folioflow.functions.text import let, plain, stripped_city, stripped_payee
 from folioflow.functions.words import number_word_count
 from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_scores, digit_product
 
@@ -215,47 +216,73 @@ def city(df: DataFrame, key: str, agrees: float = 0.7) -> DataFrame:
     return rows.select(key, *decision(value, F.when(value.isNull(), 0.0).when(sure, 0.9).otherwise(0.6), ~sure))
 
 
-def payee(df: DataFrame, key: str, names: dict[str, str], agrees: float = 0.7) -> DataFrame:
-    """Payee (columns deep: a text, quick: an array of texts, the most trusted first).
+def payee(df: DataFrame, key: str, names: dict[str, str], agrees: float = 0.7, trusted: int = 3) -> DataFrame:
+    """Payee (columns deep: a text, quick: an array of texts, those of the main reader first, and, if there is one, sure: their
+    confidences).
 
     The deep reader's text stands as it is, without the printed label, and is certain if a quick reading is like it.
-    Otherwise words are decided one by one against the first reading: from the listed names (plain form to written
-    form) that any reading is like, else as read; sure where all readings agree on a word of three letters or a listed
-    name, and the whole only if all words are and there are two.
+    Otherwise words are decided one by one against the surest of the first ``trusted`` readings (of equally sure ones that
+    with most words, then the first): from the known names that any reading is like, else as read; sure where all readings
+    agree on a word of three letters or a known name, and the whole only if all words are and there are two. ``names``:
+    plain form to written form; particles are known as well. Labels and their misread rests are no words, names that were
+    read as one are cut, and a word that repeats the one before it goes, before deciding and after.
     """
-    words = lambda x: F.filter(F.split(plain(x), "[^a-z]+"), lambda w: w != "")
-    rows = df.select(key, F.nullif(stripped_payee(F.col("deep")), F.lit("")).alias("d"), F.filter(F.transform("quick", words), lambda w: F.size(w) > 0).alias("q"))
+    known = names | {p: p for p in values.PARTICLES}
+    sure = F.col("sure") if "sure" in df.columns else F.transform("quick", lambda _: F.lit(0.0))
+    readings = F.filter(F.zip_with("quick", sure, lambda q, s: F.struct(q.alias("text"), F.coalesce(s, F.lit(0.0)).cast("double").alias("sure"))), lambda r: r["text"].isNotNull())
+    rows = df.select(key, F.nullif(stripped_payee(F.col("deep")), F.lit("")).alias("d"), readings.alias("readings"))
+    words = name_words(F.transform("readings", lambda r: r["text"]), known)
+    rows = rows.withColumn("words", words).withColumn("r", F.filter(F.zip_with("readings", "words", lambda r, w: F.struct(r["sure"].alias("sure"), w.alias("words"))), lambda r: F.size(r["words"]) > 0))
+    rows = rows.select(key, "d", "r", F.transform("r", lambda r: F.transform(r["words"], plain)).alias("q"))
     rows = rows.withColumn("like", best_agreement(plain(F.col("d")), F.transform("q", lambda w: F.array_join(w, " "))))
     deep = rows.where("d IS NOT NULL")
     deep = deep.select(key, *decision(F.col("d"), F.when(F.col("like") >= agrees, 0.9).otherwise(0.6), F.col("like") < agrees))
-    base = rows.where("d IS NULL").withColumn("base", F.get("q", F.lit(0)))
+
+    first = F.array_max(F.transform(F.slice("r", 1, trusted), lambda r, i: F.struct(r["sure"].alias("sure"), F.size(r["words"]).alias("n"), (-i).alias("i"))))["i"]
+    base = rows.where("d IS NULL").withColumn("base", once_in_a_row(F.get("q", -first)))
     seen = base.select(key, "base", F.size("q").alias("n"), F.posexplode("q").alias("at", "words"))
     seen = seen.select(key, "n", "at", F.posexplode(aligned(F.col("base"), F.col("words"))).alias("pos", "word")).where("word IS NOT NULL")
-    seen = seen.withColumn("known", F.get(closest_of(F.col("word"), list(names), 3, 0.6), F.lit(0)))
+    seen = seen.withColumn("known", F.get(closest_of(F.col("word"), list(known), 3, 0.6), F.lit(0)))
     per = seen.groupBy(key, "pos").agg(F.first("n").alias("n"), F.count("*").alias("seen"), F.countDistinct("word").alias("kinds"), F.min_by("word", "at").alias("word"), F.min_by("known", F.when(F.col("known").isNotNull(), F.col("at"))).alias("known"))
     same = (F.col("kinds") == 1) & (F.col("seen") == F.col("n"))
     ok = same & (F.col("known").isNotNull() | (F.length("word") >= 3))
-    written = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("known")), F.initcap("word"))
+    written = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("known")), F.initcap("word"))
     per = per.select(key, "pos", F.when((F.col("pos") > 0) & F.lower(written).isin(values.PARTICLES), F.lower(written)).otherwise(written).alias("word"), ok.alias("ok"))
-    whole = per.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("v"), (F.bool_and("ok") & (F.count("*") >= 2)).alias("ok"), F.bool_and("ok").alias("sure"))
+    whole = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "ok"))).alias("l"))
+    whole = whole.withColumn("l", F.filter("l", lambda x, i: (i == 0) | (plain(x["word"]) != plain(F.get("l", i - 1)["word"]))))
+    sure = F.forall("l", lambda x: x["ok"])
+    whole = whole.select(key, F.array_join(F.transform("l", lambda x: x["word"]), " ").alias("v"), sure.alias("sure"), (sure & (F.size("l") >= 2)).alias("ok"))
     out = rows.where("d IS NULL").select(key).join(whole, key, "left")
     conf = F.when(F.col("v").isNull(), 0.0).when(F.col("ok"), 1.0).otherwise(F.when(F.col("sure"), 0.79).otherwise(0.6))
     return deep.unionByName(out.select(key, *decision(F.col("v"), conf, ~F.coalesce("ok", F.lit(False)))))
 
 
+def _readable(c: Column) -> Column:
+    """A written date with the blank that a reader lost between a word and a digit, and digits for look-alike letters."""
+    return digits_repaired(F.regexp_replace(c, values.LETTER_THEN_DIGIT, " "))
+
+
+def _dates_of(c: Column) -> Column:
+    """(date, weight) of the ways to read a written date: 1 as it stands, a half with a 1 taken as a slash; each date once."""
+    ways = F.transform(slash_readings(_readable(c)), lambda w, i: F.struct(earliest_date(w)["date"].alias("d"), F.when(i == 0, 1.0).otherwise(0.5).alias("w")))
+    return let(F.filter(ways, lambda x: x["d"].isNotNull()), lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["d"] == x["d"])))
+
+
 def date(df: DataFrame, key: str, as_of: str) -> DataFrame:
     """Date (columns deep: a text, quick: an array of texts): the deep reader's, certain if a quick reading confirms it and
-    it is plausible; else the one with most votes, a reading of a 1 as a slash counting half, to review."""
-    ways = lambda x: F.transform(slash_readings(digits_repaired(x)), lambda w: earliest_date(w)["date"])
-    votes = F.flatten(F.transform("quick", lambda x: F.transform(F.array_distinct(F.filter(ways(x), lambda d: d.isNotNull())), lambda d, i: F.struct(d.alias("d"), F.when(i == 0, 1.0).otherwise(0.5).alias("w")))))
-    rows = df.select(key, earliest_date(digits_repaired(F.col("deep")))["date"].alias("deep"), F.size("quick").alias("n"), votes.alias("votes"))
+    it is plausible; else the one with most votes, a reading of a 1 as a slash counting half, to review. With whether it
+    lies after ``as_of`` and the days since it."""
+    today = F.lit(as_of).cast("date")
+    votes = F.flatten(F.transform(F.filter("quick", lambda x: x.isNotNull()), _dates_of))
+    deep = F.coalesce(earliest_date(_readable(F.col("deep")))["date"], F.get(_dates_of(F.col("deep")), F.lit(0))["d"])
+    rows = df.select(key, deep.alias("deep"), F.size("quick").alias("n"), votes.alias("votes"))
     total = lambda d: F.aggregate(F.filter("votes", lambda v: v["d"] == d), F.lit(0.0), lambda a, v: a + v["w"])
     counts = F.transform(F.array_distinct(F.transform("votes", lambda v: v["d"])), lambda d: F.struct(d.alias("d"), total(d).alias("w")))
     best = F.reduce(counts, F.lit(None).cast("struct<d:date,w:double>"), lambda a, b: F.when(a.isNull() | (b["w"] > a["w"]), b).otherwise(a))
-    rows = rows.withColumn("best", best)
-    sure = F.coalesce(plausible(F.col("deep"), F.lit(as_of).cast("date")) & F.exists("votes", lambda v: v["d"] == F.col("deep")), F.lit(False))
+    rows = rows.withColumn("best", best).withColumn("found", F.coalesce("deep", "best.d"))
+    sure = F.coalesce(plausible(F.col("deep"), today) & F.exists("votes", lambda v: v["d"] == F.col("deep")), F.lit(False))
     conf = F.when(F.col("deep").isNotNull(), F.when(sure, 0.95).otherwise(0.7)).otherwise(F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.col("best.w") / F.col("n"), F.lit(0.79))))
-    return rows.select(key, *decision(F.coalesce("deep", "best.d").cast("string"), conf, ~sure))
+    return rows.select(key, *decision(F.col("found").cast("string"), conf, ~sure), (F.col("found") > today).alias("post_dated"), F.date_diff(today, F.col("found")).alias("days"))
 
 
 def escalated(fields: DataFrame, second_reader, keys: list[str]) -> DataFrame:

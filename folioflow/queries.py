@@ -279,7 +279,7 @@ def accuracy_matrix(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS longest FROM events GROUP BY event_type")
 def step_timings(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("longest"))
+    return ag.step_times(t(spark, sf, "events"), ["event_type"], "value", F.lit(0)).select("event_type", "n", "mean", "longest")
 
 
 @query("""
@@ -339,7 +339,8 @@ def bbox_union(spark, sf):
 
 @query("SELECT p_brand, median(p_size)::DOUBLE AS scale, count(*) AS n FROM part GROUP BY p_brand")
 def median_scale(spark, sf):
-    return t(spark, sf, "part").groupBy("p_brand").agg(F.median("p_size").alias("scale"), F.count("*").alias("n"))
+    """Every brand of the table has three parts or more, so no median is gated."""
+    return ag.median_scale(t(spark, sf, "part"), ["p_brand"], "p_size").select("p_brand", "scale", "n")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn)")
@@ -416,12 +417,13 @@ def confidence_bands(spark, sf):
 
 
 @query("""
-SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier)
-UNION ALL SELECT 'any', k FROM (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier)""")
+WITH a AS (SELECT DISTINCT c_nationkey AS k, (c_custkey % 7)::BIGINT AS v FROM customer), b AS (SELECT DISTINCT s_nationkey AS k, (s_suppkey % 7)::BIGINT AS v FROM supplier)
+SELECT k, v, bool_or(src = 'a') AS a, bool_or(src = 'b') AS b, bool_or(src = 'a') AND bool_or(src = 'b') AS same FROM (SELECT 'a' AS src, * FROM a UNION ALL SELECT 'b', * FROM b) GROUP BY k, v""")
 def candidate_set_ops(spark, sf):
-    a = t(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    b = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
-    return a.intersect(b).select(F.lit("both").alias("kind"), "k").unionByName(a.union(b).distinct().select(F.lit("any").alias("kind"), "k"))
+    """Candidates of each key that one reader or both have read."""
+    a = t(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 7).cast("long").alias("v"))
+    b = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 7).cast("long").alias("v"))
+    return ca.united({"a": a, "b": b}, ["k"], "v")
 
 
 @query("""
@@ -545,17 +547,6 @@ def unanimous_number(spark, sf):
     return deciders.unanimous_number(e, "k", 2, 10).select("k", "value", "review")
 
 
-@query("""
-WITH r AS (SELECT user_id AS k, event_id AS pos, (event_id % 3 + 100)::VARCHAR AS d, CASE WHEN event_id % 2 = 0 THEN 0.95 ELSE 0.9 END AS c FROM events),
-n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), v AS (SELECT k, d, count(*) AS votes, min(c) AS low, min(pos) AS f FROM r GROUP BY ALL),
-b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY votes DESC, f) = 1)
-SELECT k, d AS value, NOT (votes = n AND votes / n * low >= 0.9) AS review, n AS readings FROM n JOIN b USING (k)""")
-def unanimous_number_of_all(spark, sf):
-    """As unanimous_number, with the number of readings of each key."""
-    e = t(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"), F.concat(F.lit("N "), F.col("event_id") % 3 + 100).alias("text"), F.when(F.col("event_id") % 2 == 0, 0.95).otherwise(0.9).alias("confidence"))
-    return deciders.unanimous_number(e, "k", 2, 10).join(e.groupBy("k").agg(F.count("*").alias("readings")), "k").select("k", "value", "review", "readings")
-
-
 @query("""
 WITH s AS (SELECT l_orderkey AS k, (l_linenumber + 100)::VARCHAR AS candidate, sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 4 END * floor(l_quantity))::DOUBLE AS score FROM lineitem GROUP BY ALL),
 r AS (SELECT *, coalesce(score - lead(score) OVER w, 99.0) AS margin FROM s WINDOW w AS (PARTITION BY k ORDER BY score DESC, candidate) QUALIFY row_number() OVER w = 1)
@@ -600,4 +591,4 @@ def tolerant_words(spark, sf):
 
 
 # Further queries register themselves with the same table.
-from folioflow import queries_fields, queries_images, queries_pages  # noqa: E402, F401
+from folioflow import queries_fields, queries_images, queries_pages, queries_written  # noqa: E402, F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,16 @@ def dealt(df: DataFrame) -> DataFrame:
     else the table as it is, without a shuffle. For work that costs far more than moving the rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder in spark.checkpoint.dir, without the plan that led to them."""
+    sc = df.sparkSession.sparkContext
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="folioflow-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return df.checkpoint()

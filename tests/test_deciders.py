@@ -75,9 +75,3 @@ def test_tolerant_words(spark):
 def test_short_year_dates(spark):
     rows = spark.createDataFrame([("05/03/26",), ("03.25.2026",), ("01 02 2026",), ("01022026",), ("05/03/1980",), ("31/02/2026",), (None,)], "t string")
     assert [str(r.d) for r in rows.select(dates.short_year_date(F.col("t")).alias("d")).collect()] == ["2026-03-05", "2026-03-25", "2026-02-01", "2026-02-01", "None", "None", "None"]
-
-
-def test_unanimous_number_of_all_reads_every_event(spark, sf):
-    got = queries.unanimous_number_of_all(spark, sf)
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    assert got.agg(F.sum("readings")).first()[0] == events.count() and got.count() == events.select("user_id").distinct().count()
