@@ -162,3 +162,33 @@ def digit_neighbours(c: Column) -> Column:
 def masked(c: Column) -> Column:
     """An account number with a hyphen before its last two digits."""
     return F.concat(F.substr(c, F.lit(1), F.length(c) - 2), F.lit("-"), F.right(c, F.lit(2)))
+
+
+def line_fold(characters: Column) -> Column:
+    """Groups of a magnetic line out of its characters in order, as (digits, sure): "S", "T" and blanks end a group, and a
+    group with a "?" is not sure. An empty or null line has none."""
+
+    def step(acc, c):
+        ends = c.isin("S", "T", " ")
+        done = F.when(ends & (acc["now"] != ""), F.concat(acc["out"], F.array(F.struct(acc["now"].alias("digits"), acc["sure"].alias("sure"))))).otherwise(acc["out"])
+        return F.struct(done.alias("out"), F.when(ends, "").otherwise(F.concat(acc["now"], c)).alias("now"), (ends | (acc["sure"] & (c != "?"))).alias("sure"))
+
+    zero = F.expr("named_struct('out', cast(array() AS array<struct<digits: string, sure: boolean>>), 'now', '', 'sure', true)")
+    return F.aggregate(F.concat(F.filter(characters, lambda c: c.isNotNull()), F.array(F.lit("S"))), zero, step, lambda a: a["out"])
+
+
+def line_by_template(groups: Column, lengths: tuple[int, ...] = (6, 8, 10)) -> Column:
+    """(number, routing, account, kind) of a line whose first groups have the lengths and, with the next one, are sure; else null."""
+    fits = F.size(groups) > len(lengths)
+    for i, n in enumerate(lengths):
+        fits &= F.length(F.get(groups, F.lit(i))["digits"]) == n
+    fits &= F.forall(F.slice(groups, 1, len(lengths) + 1), lambda g: g["sure"])
+    digits = lambda i: F.get(groups, F.lit(i))["digits"]
+    return F.when(F.coalesce(fits, F.lit(False)), F.struct(digits(0).alias("number"), digits(1).alias("routing"), masked(digits(2)).alias("account"), F.left(digits(3), F.lit(2)).alias("kind")))
+
+
+def tokens_of_length(tokens: Column, n: int) -> Column:
+    """The groups of a length, then those with one digit too many, without their first and without their last: a symbol that was read as a digit stands at one end."""
+    whole = F.filter(tokens, lambda x: F.length(x) == n)
+    longer = F.flatten(F.transform(F.filter(tokens, lambda x: F.length(x) == n + 1), lambda x: F.array(F.substr(x, F.lit(2)), F.left(x, F.lit(n)))))
+    return F.concat(whole, longer)

@@ -138,3 +138,19 @@ PRINT = ["banco", "compania", "anonima", "invadir", "rasgos", "caligraf", "sello
 DATE_FORM = r"[0-9]{1,4}\s*[-/.]\s*[0-9]{1,2}\s*[-/.]\s*[0-9]{1,4}"
 LETTER_THEN_DIGIT = r"(?<=[A-Za-z.])(?=[0-9])"
 NUMBER_SPEECH = [*TOLERANT_WORDS, *TOLERANT_UNITS, *SCALES, "centavos", "centavo", "dolares", "dolar", "cientos"]
+
+# Number words of the bilingual parser (Spanish ones as above, without the misspellings), and the words round them.
+BILINGUAL_UNITS = {k: v for k, v in UNITS.items() if k in TOLERANT_WORDS} | {k: v for k, v in TOLERANT_UNITS.items() if k not in ("veinti", "venti")} | {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13,
+    "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+}
+BILINGUAL_SCALES = {"mil": 1000, "thousand": 1000, "millon": 1_000_000, "millones": 1_000_000, "million": 1_000_000}
+BILINGUAL_CONNECTORS = ["y", "and", "de", "del", "la", "suma", "cantidad", "the", "sum", "of", "only", "solo", "son"]
+BILINGUAL_CURRENCIES = ["dolares", "dolar", "dollars", "dollar", "pesos", "peso", "soles", "euros", "usd", "us", "bolivares", "quetzales", "colones", "lempiras", "cordobas", "guaranies", "reales"]
+BILINGUAL_CENTS = ["centavos", "centavo", "cents", "cent", "ctvs", "ctv", "cvs"]
+BEFORE_CENTS = ["con", "and", "with"]
+CENTS_FRACTION = r"(?<![a-z])([0-9o]{1,2})\s*/\s*[1l][0o]{2}"
+# Lines of a transcript that are printed labels.
+LABEL_LINE = r"(?i)\W*(la\s*)?suma\s*de\W*|\W*uma de\W*|.*fecha de emisi.*|\W*d[oó]lares\W*"
+# Least likeness of a printed character to its template, and least lead over the next class.
+TEMPLATE_LEAST, TEMPLATE_MARGIN = 0.55, 0.06

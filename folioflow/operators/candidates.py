@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioflow.functions import values
+
 
 def digit_product(positions: Column, limit: int = 64) -> Column:
     """Strings that take one alternative from each position, the first ``limit`` in lexicographic order.
@@ -258,3 +260,94 @@ def ctc_best(matrices: Column, steps: Column, forms: Column, alphabet: str, pena
         return pd.Series([one(*x) for x in zip(m, t, f, strict=True)])
 
     return run(matrices, steps, forms)
+
+
+#: Templates that the driver may hold.
+MOST_TEMPLATES = 4096
+
+
+def by_template(df: DataFrame, vector: str, templates: DataFrame, least: float = values.TEMPLATE_LEAST, margin: float = values.TEMPLATE_MARGIN) -> DataFrame:
+    """Adds class, similarity and lead: the class of the likest of the templates (columns class, vector) by normalised
+    correlation, "?" where that is below ``least`` or leads the next class by less than ``margin``.
+
+    A batch is one matrix product with all templates, of which there may be at most MOST_TEMPLATES, of one length. A null
+    vector, one of another length or one with missing components gets nulls; a flat one correlates 0. Of equally like
+    classes the smaller name counts; with one class, or another that is unlike, the next counts 0.
+    """
+    rows = templates.where(F.col("vector").isNotNull()).select(F.col("class").cast("string").alias("class"), "vector").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    names = sorted({r[0] for r in rows})
+    bank = _standard(np.array([list(r[1]) for r in rows], float)) if rows else np.zeros((0, 0))
+    of = np.array([names.index(r[0]) for r in rows], int)
+
+    @F.pandas_udf("struct<class: string, similarity: double, lead: double>")
+    def run(v: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"class": pd.Series([None] * len(v), dtype=object), "similarity": np.nan, "lead": np.nan})
+        fine = [i for i, x in enumerate(v) if x is not None and len(x) == bank.shape[1] and np.isfinite(np.asarray(x, float)).all()]
+        if fine and names:
+            like = _standard(np.stack([np.asarray(v.iloc[i], float) for i in fine])) @ bank.T
+            best = np.full((len(fine), len(names) + 1), -1.0)
+            best[:, -1] = 0.0
+            for k in range(len(names)):
+                best[:, k] = like[:, of == k].max(1)
+            top = best[:, :-1].argmax(1)
+            first = best[np.arange(len(fine)), top]
+            if len(names) > 1:
+                best[:, -1] = -1.0
+            best[np.arange(len(fine)), top] = -np.inf
+            lead = first - np.maximum(best.max(1), -1.0)
+            sure = (first >= least) & (lead >= margin)
+            out.loc[fine, "class"] = np.where(sure, np.array(names, object)[top], "?")
+            out.loc[fine, "similarity"], out.loc[fine, "lead"] = first, lead
+        return out
+
+    return df.withColumn("__t", run(F.col(vector))).select(*df.columns, "__t.class", "__t.similarity", "__t.lead")
+
+
+def _standard(x: np.ndarray) -> np.ndarray:
+    """Rows without their mean and of length 1; flat rows are 0."""
+    x = x - x.mean(1, keepdims=True)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(n > 0, x / np.where(n > 0, n, 1), 0.0)
+
+
+def lines_to_zones(df: DataFrame, zones: Column, lines: Column) -> Column:
+    """The line of a transcript for each zone: array of (zone, line) in the order of the zones, those without a line left out.
+
+    lines: array of (text, dated, words), whether a line holds a date and how many number words. As many lines as zones
+    go in order, but the zone of the date changes with the first that has one if its own has none. Otherwise the zone of
+    the date takes the first dated line and those of the amount the lines with most number words (the first of equals),
+    and the others what is left, in order.
+    """
+    spoken = lambda z: z.startswith("monto_letras")
+
+    def in_order(zs, ls):
+        at = F.array_position(zs, "ciudad_fecha")
+        other = F.array_position(F.transform(ls, lambda x: x["dated"]), True)
+        swaps = (at > 0) & ~F.coalesce(F.get(ls, (at - 1).cast("int"))["dated"], F.lit(True)) & (other > 0)
+        pick = lambda i: F.when(swaps & (i + 1 == at), other - 1).when(swaps & (i + 1 == other), at - 1).otherwise(i).cast("int")
+        return F.transform(zs, lambda z, i: F.struct(z.alias("zone"), F.get(ls, pick(i))["text"].alias("line")))
+
+    def by_content(zs, ls):
+        numbered = F.transform(ls, lambda x, i: F.struct(i.cast("int").alias("i"), x["text"].alias("text"), x["dated"].alias("dated"), x["words"].alias("words")))
+
+        def step(acc, z):
+            free = F.filter(acc["free"], lambda x: F.when(z == "ciudad_fecha", x["dated"]).when(spoken(z), x["words"] > 0).otherwise(False))
+            best = F.array_max(F.transform(free, lambda x: F.struct(F.when(spoken(z), x["words"]).otherwise(0).alias("w"), (-x["i"]).alias("i"), x["text"].alias("text"))))
+            return F.struct(
+                F.filter(acc["free"], lambda x: best.isNull() | (x["i"] != -best["i"])).alias("free"),
+                F.when(best.isNotNull(), F.concat(acc["out"], F.array(F.struct(z.alias("zone"), best["text"].alias("line"))))).otherwise(acc["out"]).alias("out"),
+            )
+
+        zero = F.struct(numbered.alias("free"), F.expr("cast(array() AS array<struct<zone: string, line: string>>)").alias("out"))
+
+        def rest(acc):
+            left = F.filter(zs, lambda z: ~F.exists(acc["out"], lambda o: o["zone"] == z))
+            more = F.filter(F.transform(left, lambda z, i: F.struct(z.alias("zone"), F.get(acc["free"], i)["text"].alias("line"))), lambda o: o["line"].isNotNull())
+            both = F.concat(acc["out"], more)
+            return F.filter(F.transform(zs, lambda z: F.get(F.filter(both, lambda o: o["zone"] == z), F.lit(0))), lambda o: o.isNotNull())
+
+        return F.aggregate(zs, zero, step, rest)
+
+    return F.when(F.size(zones) == F.size(lines), in_order(zones, lines)).otherwise(by_content(zones, lines))

@@ -591,4 +591,4 @@ def tolerant_words(spark, sf):
 
 
 # Further queries register themselves with the same table.
-from folioflow import queries_fields, queries_images, queries_pages, queries_written  # noqa: E402, F401
+from folioflow import queries_fields, queries_images, queries_pages, queries_readings, queries_written  # noqa: E402, F401
