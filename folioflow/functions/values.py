@@ -114,6 +114,7 @@ NUMBER_MARGIN = 4.0
 REQUIRED_FLOOR = 0.6
 AMOUNT_FIT = -0.5
 AMOUNT_MARGIN = 5.0
+DATE_MARGIN = 3.0
 # Signs that scanners read for a letter of a printed label; name particles that stay small.
 SEEN_AS = {"a": "[aáàäâã@]", "e": "[eéèëê]", "i": "[iíìïî1l!|]", "o": "[oóòöô0]", "u": "[uúùüûv]", "n": "[nñ]", "s": "[s5$]"}
 PARTICLES = ["de", "del", "la", "las", "los", "y"]

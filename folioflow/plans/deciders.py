@@ -9,7 +9,7 @@ from folioflow.functions.dates import digits_repaired, earliest_date, plausible,
 from folioflow.functions.names import name_words, once_in_a_row
 from folioflow.functions.text import let, plain, stripped_city, stripped_payee
 from folioflow.functions.words import number_word_count
-from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_scores, digit_product
+from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_best, ctc_scores, digit_product
 
 
 def decision(value: Column, confidence: Column, review: Column | None = None) -> list[Column]:
@@ -302,3 +302,55 @@ def with_reasons(df: DataFrame, review: Column, reasons: dict[str, Column]) -> D
     holds = [F.coalesce(c, F.lit(False)) for c in reasons.values()]
     text = F.concat_ws("; ", *[F.when(c, F.lit(r)) for r, c in zip(reasons, holds, strict=True)])
     return df.withColumns({"reasons": text, "review": F.coalesce(review, F.lit(False)) | F.greatest(*holds, F.lit(False))})
+
+
+def _written_as(c: Column) -> Column:
+    """Whether the year stands first in the date that a text holds; null where its month is a word."""
+    found = earliest_date(c)
+    groups = F.regexp_extract_all(F.substr(plain(c), found["pos"], found["end"] - found["pos"] + 1), F.lit("[0-9]+"), F.lit(0))
+    return F.when(F.size(groups) == 3, F.length(F.get(groups, F.lit(0))) == 4)
+
+
+def date_neighbours(d: Column, year_first: Column) -> Column:
+    """Dates that differ from one in a single digit of its eight, in the order in which it was written."""
+    digits = F.when(year_first, F.date_format(d, "yyyyMMdd")).otherwise(F.date_format(d, "ddMMyyyy"))
+    part = lambda x, at, n: F.substr(x, F.lit(at), F.lit(n)).cast("int")
+    zero = F.lit(0)
+
+    def read(x):
+        return F.when(year_first, F.try_make_timestamp(part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), zero, zero, zero)).otherwise(F.try_make_timestamp(part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), zero, zero, zero)).cast("date")
+
+    return F.filter(F.transform(numbers.digit_neighbours(digits), read), lambda x: x.isNotNull())
+
+
+def date_on_image(readings: DataFrame, zones: DataFrame, key: str, as_of: str, alphabet: str) -> DataFrame:
+    """A date without a deep reader, decided on its zone's images: one row for each key of ``readings`` (key, text), with value,
+    confidence, review, margin, post_dated, days.
+
+    Candidates are the dates that were read and the plausible ones one digit away, in the digits' own order (that of the
+    first reading that shows one); each is scored, padded and not, on the images (zones: key, m, t). A plausible date goes
+    before an implausible one. It is accepted if it is plausible, was read, and either all readings agree or it leads by
+    ``values.DATE_MARGIN``. Without an image, or with the month in words, the readings vote and the result goes to review.
+    Ties go to the earlier date; null texts count as readings that show none.
+    """
+    today = F.lit(as_of).cast("date")
+    ways = slash_readings(_readable(F.coalesce(F.col("text"), F.lit(""))))
+    per = readings.select(key, F.coalesce("text", F.lit("")).alias("text"), _dates_of(F.coalesce("text", F.lit(""))).alias("votes"), F.get(F.filter(F.transform(ways, _written_as), lambda x: x.isNotNull()), F.lit(0)).alias("year_first"))
+    rows = per.groupBy(key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("votes")).alias("votes"), F.min_by("year_first", F.when(F.col("year_first").isNotNull(), F.col("text"))).alias("year_first"))
+    images = zones.where(F.col("m").isNotNull() & (F.col("t") > 0)).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
+    rows = rows.join(images, key, "left").withColumn("read", F.array_sort(F.array_distinct(F.transform("votes", lambda v: v["d"]))))
+    near = F.filter(F.flatten(F.transform("read", lambda d: date_neighbours(d, F.col("year_first")))), lambda d: plausible(d, today))
+    rows = rows.withColumn("seen", F.col("year_first").isNotNull() & F.col("images").isNotNull())
+    rows = rows.withColumn("c", F.when(F.col("seen"), F.array_sort(F.array_union("read", near))).otherwise(F.col("read")))
+    forms = F.transform("c", lambda d: F.array_distinct(F.when(F.col("year_first"), F.array(F.date_format(d, "yyyyMMdd"), F.date_format(d, "yyyyMd"))).otherwise(F.array(F.date_format(d, "ddMMyyyy"), F.date_format(d, "dMyyyy")))))
+    rows = rows.withColumn("s", ctc_best(F.col("images.m"), F.col("images.t"), forms, alphabet, as_blank=" -/.,_"))
+    votes = lambda d: F.aggregate(F.filter("votes", lambda v: v["d"] == d), F.lit(0.0), lambda a, v: a + v["w"])
+    score = lambda x: F.when(F.col("seen"), F.coalesce(x["s"], F.lit(-1e9))).otherwise(votes(x["c"]))
+    ranked = F.array_sort(F.transform(F.arrays_zip("c", "s"), lambda x: F.struct((F.col("seen") & ~plausible(x["c"], today)).alias("odd"), (-score(x)).alias("loss"), x["c"].alias("d"))))
+    rows = rows.withColumn("ranked", ranked).withColumn("d", F.get("ranked", F.lit(0))["d"])
+    margin = F.coalesce(F.get("ranked", F.lit(1))["loss"] - F.get("ranked", F.lit(0))["loss"], F.lit(99.0))
+    rows = rows.withColumns({"margin": margin, "all": votes(F.col("d")) >= F.col("n"), "held": F.array_contains("read", F.col("d"))})
+    ok = F.coalesce(F.col("seen") & plausible(F.col("d"), today) & F.col("held") & (F.col("all") | (F.col("margin") >= values.DATE_MARGIN)), F.lit(False))
+    image = F.greatest(1 - 0.5 * F.exp(-F.col("margin") / 2), F.when(F.col("all"), 0.99).otherwise(0.0))
+    conf = F.when(F.col("d").isNull(), 0.0).when(~F.col("seen"), F.least(votes(F.col("d")) / F.col("n"), F.lit(0.79))).otherwise(F.when(ok, image).otherwise(F.least(image, F.lit(0.79))))
+    return rows.select(key, *decision(F.col("d").cast("string"), conf, ~ok), "margin", (F.col("d") > today).alias("post_dated"), F.date_diff(today, F.col("d")).alias("days"))

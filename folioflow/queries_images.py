@@ -40,3 +40,24 @@ def amounts_on_images(spark, sf):
         part = c.select("k", F.lit(zone).alias("zone"), m.alias("m"), n.alias("t"))
         zones = part if zones is None else zones.unionByName(part)
     return amounts.amount(readings, zones, "k", ALPHABET).select("k", "value", "review", "read")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, o_orderkey % 3 AS q FROM orders)
+SELECT k, d::VARCHAR AS value, q = 1 OR NOT year(d) BETWEEN 1991 AND 2002 AS review, date_diff('day', d, DATE '2001-12-31') AS days FROM o""")
+def dates_on_images(spark, sf):
+    """Every order's date read right twice, read with a wrong year twice, or read right once: the image tells, and what was never
+    read goes to review."""
+    from folioflow.plans import deciders
+
+    o = dealt(t(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), (F.col("o_orderkey") % 3).alias("q"))
+    right = F.when(F.col("k") % 2 == 0, F.date_format("d", "dd/MM/yyyy")).otherwise(F.date_format("d", "yyyy-MM-dd"))
+    # Another year of the decade, or another day of the month: still a date.
+    off = F.add_months("d", F.when(F.year("d") % 10 == 9, -12).otherwise(12))
+    off = F.when(F.month("d") * 100 + F.dayofmonth("d") == 229, F.date_sub("d", 1)).otherwise(off)
+    wrong = F.when(F.col("k") % 2 == 0, F.date_format(off, "dd/MM/yyyy")).otherwise(F.date_format(off, "yyyy-MM-dd"))
+    texts = F.when(F.col("q") == 0, F.array(right, right)).when(F.col("q") == 1, F.array(wrong, wrong)).otherwise(F.array(right))
+    m, n = frames(F.regexp_replace(right, "[^0-9]", ""), "0123456789")
+    readings, zones = o.select("k", F.explode(texts).alias("text")), o.select("k", m.alias("m"), n.alias("t"))
+    out = deciders.date_on_image(readings, zones, "k", "2001-12-31", "0123456789")
+    return out.select("k", "value", "review", F.col("days").cast("long").alias("days"))
