@@ -6,11 +6,12 @@ Spark's JSON functions give no positions, so a decoder runs over each text insid
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 _SPAN = "array<struct<key:string,start:int,end:int>>"
 
 
@@ -45,30 +46,51 @@ def unwrapped(c: Column) -> Column:
     return F.coalesce(F.when(kind(v).startswith("OBJECT"), F.to_json(v)).when(single, F.to_json(only)), F.lit("{}"))
 
 
-def member_spans(c: Column) -> Column:
-    """(key, start, end) of the value of every top-level member of a text's first object, as far as it can be read; of equal
-    keys the last. Quotes around a string belong to no span."""
-    @F.pandas_udf(_SPAN)
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            found: dict[str, tuple[int, int]] = {}
-            at = text.find("{") + 1 if isinstance(text, str) else 0
-            while at and (m := re.compile(r"[\s,]*(?=\")").match(text, at)):
-                try:
-                    key, at = _decode(text, m.end())
-                    if not (m := re.compile(r"\s*:\s*").match(text, at)):
-                        break
-                    start = m.end()
-                    value, at = _decode(text, start)
-                except ValueError:
-                    break
-                quoted = isinstance(value, str)
-                found[key] = (start + quoted, at - quoted)
-            return [{"key": k, "start": a, "end": b} for k, (a, b) in found.items()]
+#: A JSON text in pieces that leave nothing out: strings, other quotes, blanks, signs of structure, all else.
+_PIECES = r'"(?:[^"\\]|\\(?s:.))*"|"|\s+|[{}\[\]:,]|[^\s{}\[\]:,"]+'
+_SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)"
 
-        return texts.map(one)
 
-    return run(c)
+def member_spans(c: Column) -> Column:
+    """(key, start, end) of the value of every top-level member of a text's first object, as far as it can be read; of equal
+    keys the last. Quotes around a string belong to no span.
+
+    One pass over the text's pieces with a counter of depth: members are looked for at depth 0 only, and a list or an
+    object ends where the counter comes back to it.
+    """
+    span = lambda key, start, end: F.struct(key.alias("key"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def step(acc, piece):
+        at, size, depth, due = acc["at"], F.length(piece), acc["depth"], acc["due"]
+        text = F.length(piece) >= 2
+        string = piece.startswith('"') & piece.endswith('"') & text
+        opens, closes, blank = piece.isin("{", "["), piece.isin("}", "]"), F.regexp_like(piece, F.lit(r"^\s"))
+        inner = F.regexp_replace(F.substr(acc["text"], acc["start"] + 1, at + 1 - acc["start"]), r"[\x00-\x1f]", " ")
+        whole = (depth == 1) & closes & F.try_parse_json(F.when((depth == 1) & closes, inner)).isNotNull()
+        scalar = F.regexp_extract(piece, _SCALAR, 0)
+        name = F.substr(piece, F.lit(2), size - 2)
+        name = F.when(F.contains(name, F.lit("\\")), F.get_json_object(F.concat(F.lit('{"k":'), piece, F.lit("}")), "$.k")).otherwise(name)
+        top, value = depth == 0, (depth == 0) & (due == "value")
+        found = F.when(value & string, span(acc["key"], at + 1, at + size - 1)).when(value & (scalar != ""), span(acc["key"], at, at + F.length(scalar))).when(whole, span(acc["key"], acc["start"], at + 1))
+        after = (
+            F.when(due.isin("end") | blank, due).when(~top, F.when(whole, "key").when((depth == 1) & closes, "end").otherwise("value"))
+            .when(due == "key", F.when(string, "colon").when(piece == ",", "key").otherwise("end")).when(due == "colon", F.when(piece == ":", "value").otherwise("end"))
+            .when(string | (scalar == piece), "key").when(opens, "value").otherwise("end")
+        )
+        takes = (due != "end") & found.isNotNull()
+        return F.struct(
+            acc["text"].alias("text"), (at + size).alias("at"),
+            F.when(due == "end", depth).when(opens & (~top | value), depth + 1).when(closes & ~top, depth - 1).otherwise(depth).alias("depth"),
+            F.when(top & (due == "key") & string, name).otherwise(acc["key"]).alias("key"), F.when(value & opens, at).otherwise(acc["start"]).alias("start"), after.alias("due"),
+            F.when(takes, F.concat(F.filter(acc["out"], lambda o: o["key"] != acc["key"]), F.array(found))).otherwise(acc["out"]).alias("out"),
+        )
+
+    def read(text):
+        first = F.instr(text, "{")
+        zero = F.struct(text.alias("text"), first.alias("at"), F.lit(0).alias("depth"), F.lit("").alias("key"), F.lit(0).alias("start"), F.when(first > 0, "key").otherwise("end").alias("due"), F.expr(f"cast(array() AS {_SPAN})").alias("out"))
+        return F.aggregate(F.regexp_extract_all(F.substr(text, first + 1), F.lit(_PIECES), F.lit(0)), zero, step, lambda a: a["out"])
+
+    return let(F.coalesce(c, F.lit("")), read)
 
 
 def token_texts(tokens: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -84,17 +83,24 @@ def confidence_band(c: Column, high: float, mid: float) -> Column:
 
 
 def anchor_pattern(anchor: str) -> str:
-    """Regular expression for a printed label as scanners read it: accents and look-alike signs, lost blanks and full stops;
-    labels of up to five letters only as whole words. Fillers after the label belong to it."""
-    body = "".join(r"\s*" if ch == " " else r"\.?" if ch == "." else values.SEEN_AS.get(ch, re.escape(ch)) for ch in anchor.lower())
-    edge = "a-záéíóúñ"
-    return r"(?iu)" + (f"(?<![{edge}]){body}(?![{edge}])" if len(anchor) <= 5 else body) + r"[\s:.\-_=*]*"
+    """Regular expression for a printed label in a folded text: signs that scanners read for a letter stand for it, blanks and
+    full stops may be lost; labels of up to five letters only as whole words. Fillers after the label belong to it."""
+    body = anchor.lower().translate(str.maketrans(values.SEEN_AS))
+    return (rf"(?<![a-z]){body}(?![a-z])" if len(anchor) <= 5 else body) + values.AFTER_LABEL
 
 
 def after_anchor(c: Column, anchors: list[str]) -> Column:
-    """What follows the first anchor in the list that the text holds; null without one."""
-    pieces = [F.when(F.regexp_like(c, F.lit(p)), F.regexp_extract(c, f"{p}(?s:(.*))", 1)) for p in map(anchor_pattern, anchors)]
-    return F.coalesce(*pieces)
+    """What follows the first anchor in the list that the text holds; null without one. Folding keeps every character's place,
+    so the label is looked for in the folded text and what follows is cut from the text itself."""
+
+    def rest(folded):
+        def behind(pattern):
+            at = F.regexp_instr(folded, F.lit(pattern))
+            return F.when(at > 0, F.substr(c, at + F.length(F.regexp_extract(folded, pattern, 0))))
+
+        return F.coalesce(*[behind(anchor_pattern(a)) for a in anchors])
+
+    return let(fold(c), rest)
 
 
 def stripped_payee(c: Column) -> Column:

@@ -115,8 +115,9 @@ REQUIRED_FLOOR = 0.6
 AMOUNT_FIT = -0.5
 AMOUNT_MARGIN = 5.0
 DATE_MARGIN = 3.0
-# Signs that scanners read for a letter of a printed label; name particles that stay small.
-SEEN_AS = {"a": "[aáàäâã@]", "e": "[eéèëê]", "i": "[iíìïî1l!|]", "o": "[oóòöô0]", "u": "[uúùüûv]", "n": "[nñ]", "s": "[s5$]"}
+# What stands for a letter of a printed label, once accents and case are gone; fillers behind a label; name particles that stay small.
+SEEN_AS = {"a": "[a@]", "e": "e", "i": "[i1l!|]", "o": "[o0]", "u": "[uv]", "n": "n", "s": "[s5$]", " ": r"\s*", ".": r"\.?"}
+AFTER_LABEL = r"[\s:.\-_=*]*"
 PARTICLES = ["de", "del", "la", "las", "los", "y"]
 
 # Runs of signs that fill a line, and signs that hang at a value's ends.
