@@ -156,3 +156,15 @@ CENTS_FRACTION = r"(?<![a-z])([0-9o]{1,2})\s*/\s*[1l][0o]{2}"
 LABEL_LINE = r"(?i)\W*(la\s*)?suma\s*de\W*|\W*uma de\W*|.*fecha de emisi.*|\W*d[oó]lares\W*"
 # Least likeness of a printed character to its template, and least lead over the next class.
 TEMPLATE_LEAST, TEMPLATE_MARGIN = 0.55, 0.06
+
+# Printed labels of fields, by field, most particular first; the band of a page above its magnetic line; tokens that are a currency sign.
+PAYEE_LABELS = ["paguese a la orden de", "pagase a la orden de", "paguese a la orden", "paguese por este cheque a", "pay to the order of", "a la orden de", "paguese a", "pay to the", "pay to", "orden de", "paguese", "beneficiario"]
+WORDS_LABELS = ["la cantidad de", "la suma de", "the sum of", "cantidad de", "suma de", "son:"]
+ACCOUNT_LABELS = ["cuenta corriente no", "cuenta corriente", "cta. cte. no", "cta. cte.", "cta cte", "cuenta no", "cuenta", "cta.", "account no", "account", "acct"]
+CONCEPT_LABELS = ["por concepto de", "concepto", "memo", "referencia", "detalle"]
+DATE_LABELS = ["lugar y fecha", "fecha", "date"]
+FIELD_LABELS = [*PAYEE_LABELS, *WORDS_LABELS, *CONCEPT_LABELS, "firma", "autorizada"]
+BAND_TOP = 0.78
+CURRENCY_TOKEN = r"(?i)^\s*(us\s*\$|usd|\$|s/\.?|€|mx\$|col\$)\s*$"
+ACCOUNT_FORM = r"[0-9][0-9\- ]{4,20}[0-9]"
+AMOUNT_AFTER_NAME = r"(?i)\s*(us\s*\$|usd|\$)\s*[0-9.,*\s]*$"

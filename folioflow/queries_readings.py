@@ -66,3 +66,24 @@ def transcripts_to_zones(spark, sf):
     rows = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     zones = F.array(*map(F.lit, ["ciudad_fecha", "beneficiario", "monto_letras", "monto_letras_2"]))
     return rows.withColumn("z", zones).select("conv_id", F.explode(ca.lines_to_zones(rows, F.col("z"), F.col("lines"))).alias("o")).select("conv_id", "o.zone", "o.line")
+
+
+@query(f"""WITH {_O}, n AS (SELECT *, 'Ana ' || upper(left(translate(cust::VARCHAR, '0123456789', 'abcdefghij'), 1)) || substr(translate(cust::VARCHAR, '0123456789', 'abcdefghij'), 2) || 'ez' AS name FROM o)
+SELECT k AS page, 'beneficiario' AS field, name AS value, 'label' AS source, 0 AS at_ FROM n UNION ALL SELECT k, 'monto_letras', v::VARCHAR, 'label', 4 FROM n UNION ALL SELECT k, 'monto', v::VARCHAR, 'token', 3 FROM n
+UNION ALL SELECT k, 'fecha', d::VARCHAR, 'row', 6 FROM n UNION ALL SELECT k, 'cuenta', lpad(cust::VARCHAR, 10, '0'), 'label', 7 FROM n UNION ALL SELECT k, 'concepto', 'renta de ' || CASE k % 2 WHEN 0 THEN 'casa' ELSE 'local' END, 'label', 9 FROM n
+UNION ALL SELECT k, 'moneda', CASE k % 2 WHEN 0 THEN 'USD' ELSE 'PESOS' END, 'words', 4 FROM n""")
+def page_fields(spark, sf):
+    """Forms rendered from orders, eleven tokens each: seven fields with the token that each came from."""
+    from folioflow.plans import page_fields as pf
+
+    o = _orders(spark, sf)
+    even = F.col("k") % 2 == 0
+    month = F.get(F.array(*[F.lit(m) for m in ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")]), F.month("d") - 1)
+    name = _join("Ana ", F.initcap(F.translate(F.col("cust").cast("string"), "0123456789", "abcdefghij")), "ez")
+    said = _join(words.number_words(F.floor("v")), " con ", F.col("c"), F.when(even, "/100 dolares").otherwise("/100 pesos"))
+    token = lambda i, text, x, y: F.struct(F.lit(i).cast("long").alias("idx"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 0.12).alias("x1"), F.lit(y + 0.04).alias("y1"))
+    made = [token(0, "PÁGUESE A LA 0RDEN DE:", 0.05, 0.30), token(1, name, 0.20, 0.30), token(2, "US$", 0.50, 0.30), token(3, F.format_number("v", 2), 0.65, 0.30), token(4, "La suma de", 0.05, 0.40), token(5, said, 0.20, 0.40),
+            token(6, _join("Quito, ", F.dayofmonth("d").cast("string"), " de ", month, " de ", F.date_format("d", "yyyy")), 0.05, 0.55), token(7, "Cta. Cte. No", 0.05, 0.65), token(8, F.lpad(F.col("cust").cast("string"), 10, "0"), 0.20, 0.65),
+            token(9, "Concepto", 0.05, 0.74), token(10, F.when(even, "renta de casa").otherwise("renta de local"), 0.20, 0.74)]
+    tokens = o.select(F.col("k").alias("page"), F.inline(F.array(*made)))
+    return pf.page_fields(tokens).withColumnRenamed("at", "at_")
