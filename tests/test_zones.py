@@ -164,3 +164,17 @@ def test_templates(spark):
     rows = [(0, [2.0, 0.0, 0.1, 2.0]), (1, [1.0, 1.0, 1.0, 1.0]), (2, None), (3, [1.0]), (4, [0.0, 5.0, 5.0, 0.1]), (5, [float("nan"), 1.0, 1.0, 1.0])]
     got = {r.i: r["class"] for r in ca.by_template(spark.createDataFrame(rows, "i long, v array<double>"), "v", t).collect()}
     assert got == {0: "a", 1: "?", 2: None, 3: None, 4: "b", 5: None}
+
+
+def test_page_fields_of_one_form(spark):
+    """A value below its label, a date that is no amount, the figures that agree with the words, and nothing for what is missing."""
+    from folioflow.plans.page_fields import page_fields
+
+    rows = [
+        (0, "Páguese a la orden de", 0.05, 0.30), (1, "Juan Pérez", 0.06, 0.35), (2, "7.000,00", 0.70, 0.10), (3, "US$", 0.60, 0.45), (4, "1.500,50", 0.73, 0.45), (5, "La suma de: mil quinientos con 50/100 dolares", 0.05, 0.55),
+        (6, "Quito, 05/10/1997", 0.05, 0.65), (7, None, 0.5, 0.7), (8, "05/10/97 900,00", 0.05, 0.95),
+    ]
+    t = spark.createDataFrame([(1, i, x, a, b, a + 0.12, b + 0.04) for i, x, a, b in rows], "page long, idx long, text string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.field: (r.value, r.source, r["at"]) for r in page_fields(t).collect()}
+    assert got == {"beneficiario": ("Juan Pérez", "label", 0), "monto_letras": ("1500.50", "label", 5), "monto": ("1500.50", "token", 4), "fecha": ("1997-10-05", "row", 6), "moneda": ("USD", "words", 5)}
+    assert page_fields(t.limit(0)).count() == 0
