@@ -2,9 +2,12 @@
 
 Every 50-byte window owns one suffix: the one that starts at its smallest 24-gram (by hash), a choice that
 depends on the window's bytes alone, so equal windows of any two documents own equal suffixes.  Only those
-suffixes, about one in fourteen, are sorted.  Sampled splitters range-partition them by their leading 24 bytes;
-a bucket, whose number grows with the data, sorts its suffixes by multikey quicksort (those bytes, eight at a
-time, then the run of windows that own the suffix) and compares neighbours.  Where a run of windows is equal to
+suffixes, about one in fourteen, are sorted.  Splitters from a sample of fixed size range-partition them by their
+leading 24 bytes; where the data ask for more buckets than there may be splitters, a range is divided further by a
+hash of those bytes, which keeps equal suffixes together.  A bucket sorts its suffixes by multikey quicksort (those
+bytes, eight at a time, then the run of windows that own the suffix) and compares neighbours.  The number of buckets
+grows with the data; tasks, splitters and the driver's sample do not grow beyond their bounds, since a task takes its
+buckets one after the other.  Where a run of windows is equal to
 one in a document with a smaller doc_id, its bytes go.  Where suffixes agree but the runs around them do not,
 or where a splitter cuts a group of equal suffixes in two, the windows themselves are compared in a second
 round, keyed by window.  Spans then meet by document.
@@ -32,8 +35,10 @@ GRAM = 24
 HELD = 400_000
 #: Bytes of text whose suffixes make one bucket.
 BUCKET_BYTES = 16 << 20
-#: Documents, at least, whose suffixes choose the splitters, and suffixes taken from each.
+#: Documents whose suffixes choose the splitters, and suffixes taken from each (10 MB of keys in the driver at any size).
 SAMPLE_DOCS, SAMPLE_EACH = 20_000, 16
+#: Ranges at most (512 KB of splitters), and reduce tasks at most.
+MOST_RANGES, MOST_TASKS = 16_384, 16_384
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -182,7 +187,7 @@ KEY_NAMES = ["a", "b", "c", "run"]
 
 
 def splitters(docs: DataFrame, n: int, total: int, width: int) -> list[np.ndarray]:
-    """n - 1 cuts of the suffixes' order, from a sample of about SAMPLE_EACH suffixes of SAMPLE_DOCS documents, or n / 2 if that is more."""
+    """n - 1 cuts of the suffixes' order, from a sample of about SAMPLE_EACH suffixes of SAMPLE_DOCS documents."""
 
     def some(batch, buf, offs):
         doc, pos, first, last = window_runs(buf, offs, width)
@@ -193,8 +198,7 @@ def splitters(docs: DataFrame, n: int, total: int, width: int) -> list[np.ndarra
             keys = suffix_keys(buf, pos[pick], first[pick], last[pick], width)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in keys], names=KEY_NAMES)
 
-    wanted = max(SAMPLE_DOCS, n // 2)
-    rows = docs if total <= wanted else docs.sample(False, wanted / total, 7)
+    rows = docs if total <= SAMPLE_DOCS else docs.sample(False, SAMPLE_DOCS / total, 7)
     got = map_text(rows.select("text"), ", ".join(f"{k} long" for k in KEY_NAMES), some).toArrow()
     cols = [got.column(i).to_numpy().view(U64) for i in range(4)]
     order = np.lexsort(cols[::-1])
@@ -213,6 +217,22 @@ def bucket_of(cuts: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(np.bincount(lo, minlength=len(keys[0]) + 1)[: len(keys[0])]).astype(np.int32)
 
 
+def plan(size: int, bucket_bytes: int) -> tuple[int, int, int, int]:
+    """Buckets, ranges, parts of each range and reduce tasks for so many bytes of text."""
+    wanted = max(8, -(-size // bucket_bytes))
+    ranges = min(wanted, MOST_RANGES)
+    parts = -(-wanted // ranges)
+    return ranges * parts, ranges, parts, min(ranges * parts, MOST_TASKS)
+
+
+def part_of(keys: list[np.ndarray], parts: int) -> np.ndarray:
+    """Part of its range in which a suffix is, by its 24 leading bytes."""
+    if parts == 1:
+        return np.zeros(len(keys[0]), np.int32)
+    x = tk.mix(tk.mix(tk.mix(keys[0]) ^ keys[1]) ^ keys[2])
+    return (x % U64(parts)).astype(np.int32)
+
+
 def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id and the packed maximal runs of bytes to remove (int64 starts and ends), for the documents that lose any."""
     spark = docs.sparkSession
@@ -223,8 +243,8 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
     further = np.uint8 if width - GRAM < 256 else np.uint32
     docs = doc_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n = max(8, -(-size // bucket_bytes))
-    cuts = spark.sparkContext.broadcast(splitters(docs, n, total, width))
+    n, ranges, parts, tasks = plan(size, bucket_bytes)
+    cuts = spark.sparkContext.broadcast(splitters(docs, ranges, total, width))
     kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, further)
 
     def deal(batches):
@@ -241,7 +261,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
                 yield 1, span_batch(n, doc[gone], first[gone], first[gone] + more[gone] + width)
             k = ~gone
             keys = [x[k] for x in (a, b, c, run)]
-            yield 0, send(bucket_of(cuts.value, keys), doc[k], *keys, first[k].astype(np.uint32), more[k].astype(further))
+            yield 0, send(bucket_of(cuts.value, keys) * parts + part_of(keys, parts), doc[k], *keys, first[k].astype(np.uint32), more[k].astype(further))
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -275,7 +295,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
             at, g = np.flatnonzero(group), np.cumsum(group) - 1
             runs = np.add.reduceat(same.astype(np.int64), at)
             ask = (runs > 1) & (np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at))
-            for cut in (bucket - 1, bucket):
+            for cut in (bucket // parts - 1, bucket // parts):
                 if 0 <= cut < len(marks[0]):
                     ask |= (a[at] == marks[0][cut]) & (b[at] == marks[1][cut]) & (c[at] == marks[2][cut])
             k = ask[g] & ~gone
@@ -285,19 +305,27 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
     # Spans that a task found by itself pass through the same shuffle, on to their document's bucket.
     def passing(fn):
         def run(batches):
-            mine = []
-            for batch in batches:
-                kinds = batch.column(0).to_numpy()
-                rows = batch.select(SENT_NAMES)
-                mine.append(rows.filter(pa.array(kinds != 1)))
-                spans = batch.filter(pa.array(kinds == 1))
-                if spans.num_rows:
-                    yield spans
-            yield from tagged(fn(mine))
+            spans = []
+
+            def others():
+                for batch in batches:
+                    kinds = batch.column(0).to_numpy()
+                    spans.append(batch.filter(pa.array(kinds == 1)))
+                    yield batch.select(SENT_NAMES).filter(pa.array(kinds != 1))
+
+            for found in tagged(fn(others())):
+                yield from spans
+                spans.clear()
+                yield found
+            yield from spans
 
         return run
 
-    rounds = materialize(dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(passing(compare), "kind int, " + SENT))
+    def gathered(rows: DataFrame) -> DataFrame:
+        """A task gets whole buckets, one after the other."""
+        return rows.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+
+    rounds = materialize(gathered(dealt).mapInArrow(passing(compare), "kind int, " + SENT))
     spans, asked = rounds.where("kind = 1").drop("kind"), rounds.where("kind = 2").drop("kind")
 
     def merge(batches):
@@ -315,7 +343,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "runs"])
 
     def by_bucket(rows: DataFrame, fn, schema: str) -> DataFrame:
-        return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(fn, schema)
+        return gathered(rows).mapInArrow(fn, schema)
 
     def listed(batches):
         """Windows to compare, by document: starts, then how many more."""
@@ -383,7 +411,7 @@ def removed_spans(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_
     return materialize(by_bucket(spans.unionByName(more.drop("kind")), merge, "doc_id long, runs binary"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000_000, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, kept: the remaining bytes) of every row.
 
     A byte goes if a string of ``width`` bytes (24 at least) over it also starts in a document with a smaller doc_id.  A null
@@ -392,7 +420,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, broadcast_rows: int = 1_000
     table gives no rows; other columns are ignored.
     """
     docs = doc_columns(docs, "doc_id", "text")
-    spans = removed_spans(docs, width, broadcast_rows)
+    spans = removed_spans(docs, width, broadcast_rows, bucket_bytes)
 
     def cut(batch, buf, offs):
         removed, count, kept, sha = [], [], [], []

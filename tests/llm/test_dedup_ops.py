@@ -175,6 +175,26 @@ def test_repeats_equal_brute_force(spark, few, monkeypatch):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_repeats_with_thousands_of_buckets_in_few_ranges_and_tasks(spark, few, monkeypatch):
+    """Tasks and splitters stay at their bounds while buckets grow; a task takes many buckets, a range many parts."""
+    rows = repeat_rows()
+    monkeypatch.setattr(suffix_dedup, "MOST_RANGES", 7)
+    monkeypatch.setattr(suffix_dedup, "MOST_TASKS", 5)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    n, ranges, parts, tasks = suffix_dedup.plan(size, 1)
+    assert n >= size > 10_000 and ranges == 7 and parts == n // 7 and tasks == 5
+    got = suffix_dedup.remove_repeats(docs(spark, rows, extra=False), broadcast_rows=few, bucket_bytes=1).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows)
+
+
+def test_plan_of_a_hundred_terabytes_is_bounded():
+    n, ranges, parts, tasks = suffix_dedup.plan(100 << 40, suffix_dedup.BUCKET_BYTES)
+    assert n >= (100 << 40) // suffix_dedup.BUCKET_BYTES and n < 2**31
+    assert ranges <= suffix_dedup.MOST_RANGES and tasks <= suffix_dedup.MOST_TASKS and ranges * parts == n
+    assert suffix_dedup.plan(0, suffix_dedup.BUCKET_BYTES) == (8, 8, 1, 8)
+
+
 def test_repeats_odd_rows(spark):
     t = "".join(random.Random(1).choice("abcdefgh") for _ in range(80))
     got = sorted(((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs(spark, [(1, t), (1, t), (2, t), (None, t), (None, t), (3, None)])).collect()), key=str)
