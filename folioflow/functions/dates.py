@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
@@ -31,10 +32,13 @@ def pattern(spec: str) -> tuple[str, str]:
 
 def month_number(c: Column) -> Column:
     """1 to 12 from digits, a name, an abbreviation or a roman numeral; else null."""
-    c = F.btrim(c, F.lit(". "))
-    named = F.coalesce(*[F.try_element_at(_map(m), c) for m in (values.MONTHS, values.MONTHS_SHORT, values.MONTHS_ROMAN)])
-    n = c.try_cast("int")
-    return F.when(n.isNotNull(), F.when(n.between(1, 12), n)).otherwise(named)
+    n = F.btrim(c, F.lit(". ")).try_cast("int")
+    return F.when(n.isNotNull(), F.when(n.between(1, 12), n)).otherwise(named_month(c))
+
+
+def named_month(c: Column) -> Column:
+    """1 to 12 from a name, an abbreviation or a roman numeral; else null."""
+    return F.try_element_at(_map(values.MONTHS | values.MONTHS_SHORT | values.MONTHS_ROMAN), F.btrim(c, F.lit(". ")))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -45,11 +49,12 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 def first_date(p: Column, name: str) -> Column:
     """First valid date of one format in a plain text."""
     body, order = pattern(values.DATE_FORMATS[name])
+    figures = "N" in values.DATE_FORMATS[name]
     found = F.regexp_extract_all(p, F.lit(rf"(?<![0-9]){body}(?![0-9])"), F.lit(0))
 
     def read(m):
         g = {k: F.regexp_extract(m, body, i + 1) for i, k in enumerate(order)}
-        return _date(g["Y"], month_number(g["M"]), g["D"])
+        return _date(g["Y"], g["M"].try_cast("int") if figures else named_month(g["M"]), g["D"])
 
     return F.get(F.filter(F.transform(found, read), lambda d: d.isNotNull()), F.lit(0))
 
@@ -60,7 +65,14 @@ def parse_date(c: Column, formats: list[str] | None = None) -> Column:
 
 
 def parse_plain_date(p: Column, formats: list[str] | None = None) -> Column:
-    return F.coalesce(*[first_date(p, f) for f in formats or values.DATE_FORMATS])
+    """Formats in figures ask for a sign between digits, those with month words for a letter, all for four digits in a row:
+    what a text lacks is tested once for all formats that stand together."""
+    def worded(name):
+        return bool(set(values.DATE_FORMATS[name]) & set("WLAPR"))
+
+    needs = {True: "[a-z]", False: r"[0-9]\s*[/,\-]\s*[0-9]"}
+    some = [F.when(F.regexp_like(p, F.lit(needs[w])), F.coalesce(*[first_date(p, f) for f in same])) for w, same in groupby(formats or values.DATE_FORMATS, worded)]
+    return F.when(F.regexp_like(p, F.lit("[0-9]{4}")), F.coalesce(*some))
 
 
 def months_elapsed(start: Column, end: Column) -> Column:

@@ -38,6 +38,11 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def listed(texts: list[str]) -> Column:
+    """A literal array of texts, in one expression, since a call for each entry is what building a plan costs."""
+    return F.expr("array(" + ", ".join("'" + x.replace("'", r"\'") + "'" for x in texts) + ")")
+
+
 def replace_each(c: Column, pattern: str, f) -> Column:
     """The text with every match of the pattern replaced by ``f`` of it. ``f`` also sees every single character that
     belongs to no match, so it must leave such a character as it is."""
@@ -60,6 +65,17 @@ def tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(ends, r"\s{2,}", " "))
 
 
+def unfilled(c: Column) -> Column:
+    """Without filler signs anywhere, blanks single, punctuation at the ends gone."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"[*_=#~|]+", " "), r"\s+", " "), F.lit(" .,:;-"))
+
+
+def digit_ratio(c: Column) -> Column:
+    """Share of digits among all characters but blanks; 0 of an empty text."""
+    tight = F.replace(c, F.lit(" "), F.lit(""))
+    return F.length(F.regexp_replace(tight, r"\P{Nd}", "")) / F.greatest(F.length(tight), F.lit(1))
+
+
 def digits(c: Column, confusions: dict[str, str] | None = None) -> Column:
     """Only digits, after letters that scanners mistake for digits are read as such."""
     if confusions:

@@ -152,6 +152,13 @@ BILINGUAL_CURRENCIES = ["dolares", "dolar", "dollars", "dollar", "pesos", "peso"
 BILINGUAL_CENTS = ["centavos", "centavo", "cents", "cent", "ctvs", "ctv", "cvs"]
 BEFORE_CENTS = ["con", "and", "with"]
 CENTS_FRACTION = r"(?<![a-z])([0-9o]{1,2})\s*/\s*[1l][0o]{2}"
+# Spellings with accents, of folded words; cents of the repair dialect, and the letters read for their digits.
+CANONICAL = {"dieciseis": "dieciséis", "veintidos": "veintidós", "veintitres": "veintitrés", "veintiseis": "veintiséis", "millon": "millón", "dolares": "dólares", "dolar": "dólar"}
+CENTS_REPAIR = r"([0-9odilszbgq]{1,2})\s*/\s*[1il][0o]{2}"
+CENTS_LOOKALIKES = {"o": "0", "d": "0", "i": "1", "l": "1", "s": "5", "z": "2", "b": "6", "g": "9", "q": "9"}
+# Whole lines of print, compact, and how alike to one a text must be that is print as well.
+LEGENDS = ["companiaanonima", "bancoestudiantilvenus", "noinvadirestazonaconrasgoscaligraficosnisellos", "lugaryfechadeemision", "paguesealaordende", "usdolares"]
+LEGEND_LEAST = 0.7
 # Lines of a transcript that are printed labels.
 LABEL_LINE = r"(?i)\W*(la\s*)?suma\s*de\W*|\W*uma de\W*|.*fecha de emisi.*|\W*d[oó]lares\W*"
 # Least likeness of a printed character to its template, and least lead over the next class.

@@ -90,6 +90,20 @@ def reading_utility(score: Column, number_words: Column, amount_in_words: Column
     return score + 12 * number_words + F.when(amount_in_words.isNotNull(), 40).otherwise(0) + F.when(has_fraction, 8).otherwise(0)
 
 
+def useful_readings(df: DataFrame, keys: list[str], reading: str, order: str, confidence: str, text: str) -> DataFrame:
+    """keys, reading, utility, best: each reading's utility (boxes in their order make its text), and whether it is the best
+    of its page; of equal ones that of the least name is. Null texts and confidences add nothing."""
+    from folioflow.functions import words
+
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda b: b[text]), " ")
+    cents = F.coalesce(F.bool_or(F.regexp_like(text, F.lit("/")) & F.regexp_like(text, F.lit("[0-9]"))), F.lit(False))
+    rows = df.groupBy(*keys, reading).agg(reading_score(F.col(confidence), F.col(text)).alias("score"), said.alias("said"), cents.alias("cents"))
+    amount = words.amount_words_tolerant(words.repaired_words(F.col("said")))
+    rows = rows.withColumns({"n": words.number_word_count(words.split_glued(F.col("said"))), "amount": amount})
+    rows = rows.select(*keys, reading, reading_utility(F.col("score"), F.col("n"), F.col("amount"), F.col("cents")).alias("utility"))
+    return rows.withColumn("best", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("utility"), reading)) == 1)
+
+
 def poor_reading(df: DataFrame, keys: list[str], confidence: Column, text: Column, least: int = 6, low: float = 18.0) -> DataFrame:
     """Readings with few boxes, a low score, or many boxes of one or two letters (handwriting cut letter by letter)."""
     out = df.groupBy(*keys).agg(F.count("*").alias("boxes"), reading_score(confidence, text).alias("score"), F.count_if(F.length(text) <= 2).alias("short"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from folioflow.functions import values
 from folioflow.functions.dates import months_elapsed, parse_plain_date
 from folioflow.functions.numbers import amount_rules
-from folioflow.functions.text import is_flag, is_negative, plain
+from folioflow.functions.text import is_flag, is_negative, listed, plain
 from folioflow.functions.words import amount_words
 
 
@@ -102,8 +102,9 @@ def member(m: Column, key) -> Column:
 
 
 def _first(m: Column, keys: list[str], read) -> Column:
-    """First non-null answer over keys in order."""
-    return F.get(F.filter(F.transform(F.array(*map(F.lit, keys)), lambda k: read(member(m, k))), lambda x: x.isNotNull()), F.lit(0))
+    """First non-null answer over keys in order; each key is looked up once."""
+    there = F.filter(F.transform(listed(keys), lambda k: member(m, k)), lambda v: v.isNotNull())
+    return F.get(F.filter(F.transform(there, read), lambda x: x.isNotNull()), F.lit(0))
 
 
 def first_value(m: Column, group: str) -> Column:
@@ -118,7 +119,7 @@ def first_text(m: Column, group: str) -> Column:
 
 
 def any_present(m: Column, keys: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, keys)), lambda k: F.coalesce(member(m, k)["present"], F.lit(False)))
+    return F.exists(listed(keys), lambda k: F.coalesce(member(m, k)["present"], F.lit(False)))
 
 
 def visible(v: Column) -> Column:

@@ -9,7 +9,10 @@ Nulls: a box without a coordinate belongs to no zone; a null text says nothing;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folioflow.functions import values
 from folioflow.functions.dates import digits_repaired, earliest_date, slash_readings
@@ -74,13 +77,23 @@ def said(boxes: DataFrame, names: list[str]) -> DataFrame:
     capitals = F.size(F.filter(spelled, lambda x: F.regexp_like(x, F.lit("^[A-ZÁÉÍÓÚÑÜ]"))))
     digit = F.regexp_like(c, F.lit("[0-9]"))
     is_name = (count > 0) & ~digit & (numbers < F.greatest(F.lit(1), F.floor(count / 2)))
-    printed = F.exists(F.array(*map(F.lit, values.PRINT)), lambda p: F.contains(compact(c), p))
+    printed = F.exists(F.array(*map(F.lit, values.PRINT)), lambda p: F.contains(compact(c), p)) | misread_legend(compact(c))
     return boxes.withColumns({
         "dated": F.when(date, 2.0).when(F.regexp_like(c, F.lit(values.DATE_FORM)), 1.5).otherwise(0.0), "words": numbers, "figures": figures,
         "name": F.when(is_name, 1.0 + 1.5 * known + 0.3 * capitals + 0.3 * F.least(count, F.lit(4))).otherwise(0.0), "digit": digit, "printed": printed, "letters": F.length(compact(c)),
     })
 
 
+@F.pandas_udf(T.BooleanType())
+def misread_legend(tight: pd.Series) -> pd.Series:
+    """Whether a compact text of eight characters or more is like a whole line of print; asked once for each distinct text of a batch."""
+    def like(t):
+        return any(difflib.SequenceMatcher(None, t, legend).ratio() >= values.LEGEND_LEAST for legend in values.LEGENDS)
+
+    asked = {t: like(t) for t in tight.dropna().unique() if len(t) >= 8}
+    return tight.map(lambda t: asked.get(t, False))
+
+
 def written_parts(boxes: DataFrame, least: float = 12) -> DataFrame:
     """Boxes (text, label, label_end) and, for each whose label goes over into writing, one more with what is written."""
     at = F.bround((F.col("label_end") - F.col("x0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)) * F.length("text")).cast("int")

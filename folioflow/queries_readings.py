@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.functions import bilingual, numbers, values, words
-from folioflow.operators import candidates as ca
+from folioflow.functions import bilingual, numbers, text, values, words
+from folioflow.operators import aggregates, candidates as ca
+from folioflow.plans import deciders, zones
 from folioflow.queries import query, t
 from folioflow.queries_written import _O, _join, _orders
 
@@ -87,3 +88,62 @@ def page_fields(spark, sf):
             token(9, "Concepto", 0.05, 0.74), token(10, F.when(even, "renta de casa").otherwise("renta de local"), 0.20, 0.74)]
     tokens = o.select(F.col("k").alias("page"), F.inline(F.array(*made)))
     return pf.page_fields(tokens).withColumnRenamed("at", "at_")
+
+
+_SPELT = {"Míl": "Mil", "MÍL": "MIL", "míl": "mil", "Millon": "Millón", "DIECISEIS": "DIECISÉIS", "veintidos": "veintidós", "Dólares": "Dólares", "Casa": "Casa", "thóusand": "thousand", "Próxima": "Próxima"}
+
+
+@query(f"""WITH {_O} SELECT k, 'Són ' || [{", ".join(f"'{w}'" for w in _SPELT.values())}][k % 10 + 1] || ' y ' || [{", ".join(f"'{w}'" for w in _SPELT.values())}][cust % 10 + 1] || ', ' || c || '/100.' AS said FROM o""")
+def canonical_amounts(spark, sf):
+    """Number words with accents that readers lost or added, in three cases, beside words that are none; noughts as letters."""
+    pick = lambda by: F.get(F.array(*map(F.lit, _SPELT)), (F.col(by) % 10).cast("int"))
+    text = _join("Són ", pick("k"), " y ", pick("cust"), ", ", F.translate("c", "0", "O"), " / 1oO.")
+    return _orders(spark, sf).select("k", words.canonical_words(text).alias("said"))
+
+
+_HUNDREDS, _TENS = ["doscientos", "trescientos", "quinientos", "novecientos"], ["veinte", "treinta", "cuarenta", "setenta"]
+
+
+@query(f"""WITH {_O} SELECT k, upper('mil ' || {_HUNDREDS!r}[k % 4 + 1] || ' ' || {_TENS!r}[cust % 4 + 1] || ' dolares con ') || c || '/100' AS said FROM o""")
+def rewritten_amounts(spark, sf):
+    """Two number words glued, cents with letters for digits."""
+    pick = lambda words_, by: F.get(F.array(*map(F.lit, words_)), (F.col(by) % 4).cast("int"))
+    text = _join("Míl ", pick(_HUNDREDS, "k"), pick(_TENS, "cust"), " dólares con ", F.translate("c", "0125", "oiZs"), "/1oo xx")
+    return _orders(spark, sf).select("k", words.rewritten_amount(text).alias("said"))
+
+
+@query(f"""WITH {_O} SELECT k, CASE k % 3 WHEN 2 THEN 'cliente ' || cust ELSE cust || ' - ' || n END AS said, (CASE k % 3 WHEN 0 THEN 1.0 * (length(cust::VARCHAR) + length(n::VARCHAR)) / (length(cust::VARCHAR) + length(n::VARCHAR) + 7) WHEN 1 THEN 1.0 * (length(cust::VARCHAR) + length(n::VARCHAR)) / (length(cust::VARCHAR) + length(n::VARCHAR) + 4) ELSE length(cust::VARCHAR) / (length(cust::VARCHAR) + 10.0) END)::DOUBLE AS digits FROM o""")
+def unfilled_values(spark, sf):
+    """Filler signs gone, and the share of digits in what was written."""
+    number, name = F.col("n").cast("string"), F.col("cust").cast("string")
+    forms = F.array(_join("** ", name, " _-#~ ", number, " ."), _join(name, " =-|| ", number), _join(": cliente ", name, "=;"))
+    said = F.get(forms, (F.col("k") % 3).cast("int"))
+    return _orders(spark, sf).select("k", text.unfilled(said).alias("said"), text.digit_ratio(said).alias("digits"))
+
+
+@query(f"""WITH {_O} SELECT k, k % 3 < 2 AS printed FROM o""")
+def misread_legends(spark, sf):
+    """Whole lines of print with a letter lost or wrong, against names and numbers."""
+    legend = F.get(F.array(*map(F.lit, values.LEGENDS)), (F.col("cust") % len(values.LEGENDS)).cast("int"))
+    at = (F.col("k") % 9 + 1).cast("int")
+    lost, wrong = F.concat(F.left(legend, at - 1), F.substr(legend, at + 1)), F.concat(F.left(legend, at - 1), F.lit("x"), F.substr(legend, at + 1))
+    said = F.when(F.col("k") % 3 == 0, lost).when(F.col("k") % 3 == 1, wrong).otherwise(_join("cliente", F.col("cust").cast("string"), F.col("n").cast("string")))
+    return _orders(spark, sf).select("k", zones.misread_legend(F.regexp_replace(said, "^$", "usdolares")).alias("printed"))
+
+
+@query(f"""WITH {_O} SELECT k, 'a' AS reading, 90.5::DOUBLE AS utility, true AS best FROM o UNION ALL SELECT k, 'b', (6 + length(cust::VARCHAR) + 0.9 * length(n::VARCHAR))::DOUBLE, false FROM o""")
+def useful_readings(spark, sf):
+    """Two readings of each page: one keeps the written amount, the other reads more surely but without it."""
+    box = lambda r, i, said, sure: F.struct(F.lit(r).alias("reading"), F.lit(i).alias("i"), F.lit(sure).alias("sure"), said.alias("said"))
+    made = [box("a", 0, F.lit("son mil"), 0.9), box("a", 1, F.lit("doscientos"), 0.8), box("a", 2, _join(F.col("c"), "/100"), 0.7), box("b", 0, _join("Banco ", F.col("cust").cast("string")), 1.0), box("b", 1, F.col("n").cast("string"), 0.9)]
+    boxes = _orders(spark, sf).select("k", F.inline(F.array(*made)))
+    return aggregates.useful_readings(boxes, ["k"], "reading", "i", "sure", "said").withColumn("utility", F.round("utility", 6))
+
+
+@query(f"""WITH {_O} SELECT k, field FROM (SELECT k, 'monto' AS field, k % 2 = 0 AS hand, (k % 100) / 100.0 AS conf FROM o UNION ALL SELECT k, 'fecha', k % 3 = 0, (cust % 100) / 100.0 FROM o) WHERE hand AND conf < 0.8""")
+def handwritten_fields(spark, sf):
+    """Fields that go to a reader of handwriting."""
+    hand = lambda n: F.when(F.col("k") % n == 0, "manuscrito").otherwise("impreso")
+    field = lambda name, n, by: F.struct(F.lit(name).alias("field"), hand(n).alias("writing"), (F.col(by) % 100 / 100).alias("confidence"))
+    fields = _orders(spark, sf).select("k", F.inline(F.array(field("monto", 2, "k"), field("fecha", 3, "cust"))))
+    return deciders.handwritten_doubt(fields).select("k", "field")
