@@ -18,19 +18,29 @@ def decision(value: Column, confidence: Column, review: Column | None = None) ->
     return [value.alias("value"), F.round(confidence, 3).alias("confidence"), (doubtful if review is None else review).alias("review")]
 
 
-def line_groups(groups: Column) -> Column:
+def line_groups(groups: Column, leading: int | None = None) -> Column:
     """Roles of the digit groups of a magnetic line: the first with a valid checksum is the routing number, the longest
-    of the rest the account if it has six digits or more, and rests of 3 to 10 digits may be the serial number."""
-    at = F.array_position(F.transform(groups, lambda g: F.coalesce(numbers.routing_ok(g), F.lit(False))), True)
-    rest = F.when(at > 0, F.filter(groups, lambda g, i: i != at - 1)).otherwise(groups)
-    longest = F.array_max(F.transform(rest, lambda g: F.length(g)))
-    pos = F.array_position(F.transform(rest, lambda g: F.length(g)), longest)
-    left = F.when(longest >= 6, F.filter(rest, lambda g, i: i != pos - 1)).otherwise(rest)
-    return F.struct(
+    of the rest the account if it has six digits or more, and rests of 3 to 10 digits may be the serial number.
+
+    ``leading``: only so many groups from the left may be the routing number, where the layout of the line says where it
+    stands; an account of nine digits has a valid checksum by chance once in ten.
+    """
+    may = groups if leading is None else F.slice(groups, 1, leading)
+    # Each step is computed once; written out, the checksums would be repeated for every use of what follows from them.
+    routed = let(F.array_position(F.transform(may, lambda g: F.coalesce(numbers.routing_ok(g), F.lit(False))), True), lambda at: F.struct(
         F.when(at > 0, F.get(groups, (at - 1).cast("int"))).alias("routing"),
-        F.when(longest >= 6, F.get(rest, (pos - 1).cast("int"))).alias("account"),
-        F.filter(left, lambda g: F.length(g).between(3, 10)).alias("serials"),
-    )
+        F.when(at > 0, F.filter(groups, lambda g, i: i != at - 1)).otherwise(groups).alias("rest"),
+    ))
+
+    def longest(r):
+        sizes = F.transform(r["rest"], lambda g: F.length(g))
+        return F.struct(r["routing"].alias("routing"), r["rest"].alias("rest"), (F.array_position(sizes, F.array_max(sizes)) - 1).cast("int").alias("pos"), (F.array_max(sizes) >= 6).alias("long"))
+
+    def roles(r):
+        left = F.when(r["long"], F.filter(r["rest"], lambda g, i: i != r["pos"])).otherwise(r["rest"])
+        return F.struct(r["routing"].alias("routing"), F.when(r["long"], F.get(r["rest"], r["pos"])).alias("account"), F.filter(left, lambda g: F.length(g).between(3, 10)).alias("serials"))
+
+    return let(let(routed, longest), roles)
 
 
 def _bare(c: Column) -> Column:
