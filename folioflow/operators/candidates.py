@@ -209,57 +209,85 @@ def best_agreement(value: Column, others: Column) -> Column:
     return run(value, others)
 
 
-def ctc_best(matrices: Column, steps: Column, forms: Column, alphabet: str, penalty: float = 2.5, as_blank: str = " ") -> Column:
+#: States that one step of an alignment of many candidates updates together: what fits a core's cache.
+MOST_STATES = 1 << 16
+
+
+def _aligned(images: list[np.ndarray], of: np.ndarray, texts: list[str], alphabet: str, blanks: list[int], penalty: float) -> np.ndarray:
+    """Scores of texts, each on the image that ``of`` (ascending) names; the images have one shape (steps, classes)."""
+    p = np.stack(images)
+    best = np.log(p.max(2) + 1e-12)
+    outside = np.where(np.isin(p.argmax(2), blanks), 0.0, -penalty) + best
+    before = np.concatenate((np.zeros((len(p), 1)), np.cumsum(outside, 1)), 1)
+    n = np.array([len(x) for x in texts])
+    codes = np.array(texts).view(np.uint32).reshape(len(texts), -1)
+    letters = np.unique(codes[codes > 0])
+    classes = np.array([[float(_same_letter(chr(c), a)) for a in alphabet[: p.shape[2] - 1]] for c in letters]).reshape(len(letters), -1)
+    # One column for each letter, and one for the room behind a shorter text, which nothing reaches.
+    seen = np.concatenate((np.log(p[:, :, 1:] @ classes.T + 1e-12), np.full((*p.shape[:2], 1), -np.inf)), 2)
+    at = np.where(codes > 0, np.searchsorted(letters, codes), len(letters))
+    jump = np.zeros((len(texts), 2 * at.shape[1] + 1))
+    jump[:, 3::2] = np.where(at[:, 1:] != at[:, :-1], 0.0, -np.inf)
+    jump[:, 2::2] = -np.inf
+    blank = np.log(p[:, :, blanks].sum(2) + 1e-12)
+    state, top, rows = np.full(jump.shape, -np.inf), np.full(len(texts), -np.inf), np.arange(len(texts))
+    for k in range(p.shape[1]):
+        into = state.copy()
+        np.maximum(into[:, 1:], state[:, :-1], out=into[:, 1:])
+        np.maximum(into[:, 2:], state[:, :-2] + jump[:, 2:], out=into[:, 2:])
+        np.maximum(into[:, :2], before[of, k, None], out=into[:, :2])
+        into[:, ::2] += blank[of, k, None]
+        into[:, 1::2] += seen[of[:, None], k, at]
+        state = into
+        top = np.maximum(top, np.maximum(state[rows, 2 * n], state[rows, 2 * n - 1]) + before[of, -1] - before[of, k + 1])
+    spelt = np.append(classes.any(1), True)[at].all(1)
+    return np.where(spelt, top - best.sum(1)[of], np.nan)
+
+
+def ctc_best(matrices: Column, steps: Column, forms: Column, alphabet: str, penalty: float = 2.5, as_blank: str = " ", weights: Column | None = None) -> Column:
     """For each candidate, an array of the ways it may be written, the best score that one of them has against a matrix,
-    added up over the row's matrices (an array of flat ones, and of their steps): an array of scores as ``ctc_scores`` gives
-    them, null for a candidate that no class spells; 0 without a matrix. All candidates of a row, with forms of any length,
-    are aligned together."""
+    added up over the row's matrices (an array of flat ones, of their steps and, if given, of their weights): an array of
+    scores as ``ctc_scores`` gives them, null for a candidate that no class spells; 0 without a matrix. Candidates of many
+    rows, with forms of any length, are aligned together, so a row costs no loop of its own over the steps."""
     blanks = [0] + sorted({alphabet.index(ch) + 1 for ch in as_blank if ch in alphabet})
 
-    def aligned_scores(p: np.ndarray, texts: list[str]) -> np.ndarray:
-        best = np.log(p.max(1) + 1e-12)
-        outside = np.where(np.isin(p.argmax(1), blanks), 0.0, -penalty) + best
-        before = np.concatenate(([0.0], np.cumsum(outside)))
-        letters = sorted({ch for x in texts for ch in x})
-        classes = np.array([[float(_same_letter(ch, a)) for a in alphabet[: p.shape[1] - 1]] for ch in letters]).reshape(len(letters), -1)
-        # One column for each letter, and one for the room behind a shorter form, which nothing reaches.
-        seen = np.concatenate((np.log(p[:, 1:] @ classes.T + 1e-12), np.full((len(p), 1), -np.inf)), 1)
-        n = np.array([len(x) for x in texts])
-        at = np.full((len(texts), n.max()), len(letters))
-        for row, x in zip(at, texts, strict=True):
-            row[: len(x)] = np.searchsorted(letters, list(x))
-        jump = np.zeros((len(texts), 2 * n.max() + 1), bool)
-        jump[:, 3::2] = at[:, 1:] != at[:, :-1]
-        blank = np.log(p[:, blanks].sum(1) + 1e-12)
-        state, top, rows = np.full(jump.shape, -np.inf), np.full(len(texts), -np.inf), np.arange(len(texts))
-        for k in range(len(p)):
-            into = state.copy()
-            into[:, 1:] = np.maximum(into[:, 1:], state[:, :-1])
-            into[:, 2:] = np.where(jump[:, 2:], np.maximum(into[:, 2:], state[:, :-2]), into[:, 2:])
-            into[:, :2] = np.maximum(into[:, :2], before[k])
-            into[:, ::2] += blank[k]
-            into[:, 1::2] += seen[k, at]
-            state = into
-            top = np.maximum(top, np.maximum(state[rows, 2 * n], state[rows, 2 * n - 1]) + before[-1] - before[k + 1])
-        spelt = np.append(classes.any(1), True)[at].all(1)
-        return np.where(spelt, top - best.sum(), np.nan)
-
     @F.pandas_udf("array<double>")
-    def run(m: pd.Series, t: pd.Series, f: pd.Series) -> pd.Series:
-        def one(flats, ns, candidates):
+    def run(m: pd.Series, t: pd.Series, w: pd.Series, f: pd.Series) -> pd.Series:
+        out: list = []
+        shapes: dict = {}
+        for i, (flats, ns, ws, candidates) in enumerate(zip(m, t, w, f, strict=True)):
             if candidates is None:
-                return None
+                out.append(None)
+                continue
             texts = [[x.replace(" ", "") for x in c if x and x.strip()] for c in candidates]
             every = sorted({x for c in texts for x in c})
-            total = np.zeros(len(texts))
-            for flat, n in zip(flats if flats is not None and every else [], ns if ns is not None else [], strict=False):
-                score = dict(zip(every, aligned_scores(np.asarray(flat, float).reshape(int(n), -1), every).tolist(), strict=True))
-                total += [max((score[x] for x in c if score[x] == score[x]), default=np.nan) for c in texts]
-            return [None if x != x else x for x in total.tolist()]
-
-        return pd.Series([one(*x) for x in zip(m, t, f, strict=True)])
-
-    return run(matrices, steps, forms)
+            out.append(np.zeros(len(texts)))
+            for k, (flat, n) in enumerate(zip(flats if flats is not None and every else [], ns if ns is not None else [], strict=False)):
+                image = np.asarray(flat, float).reshape(int(n), -1)
+                shapes.setdefault(image.shape, []).append((i, image, every, texts, 1.0 if ws is None else float(ws[k])))
+        for same in shapes.values():
+            # Texts of like lengths together, as room behind shorter ones is work for nothing.
+            same.sort(key=lambda s: max(map(len, s[2])))
+            at = 0
+            while at < len(same):
+                end, states, longest = at, 0, 0
+                while end < len(same):
+                    longest = max(longest, max(map(len, same[end][2])))
+                    states += len(same[end][2])
+                    if end > at and states * (2 * longest + 1) > MOST_STATES:
+                        break
+                    end += 1
+                some = same[at:end]
+                score = _aligned([s[1] for s in some], np.repeat(np.arange(len(some)), [len(s[2]) for s in some]), [x for s in some for x in s[2]], alphabet, blanks, penalty).tolist()
+                first = 0
+                for i, _, every, texts, weight in some:
+                    known = dict(zip(every, score[first : first + len(every)], strict=True))
+                    out[i] += [weight * max((known[x] for x in c if known[x] == known[x]), default=np.nan) for c in texts]
+                    first += len(every)
+                at = end
+        return pd.Series([None if x is None else [None if y != y else y for y in x.tolist()] for x in out], dtype=object)
+
+    return run(matrices, steps, F.lit(None).cast("array<double>") if weights is None else weights, forms)
 
 
 #: Templates that the driver may hold.

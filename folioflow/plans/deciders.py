@@ -9,7 +9,8 @@ from folioflow.functions.dates import digits_repaired, earliest_date, plausible,
 from folioflow.functions.names import name_words, once_in_a_row
 from folioflow.functions.text import let, plain, stripped_city, stripped_payee
 from folioflow.functions.words import number_word_count
-from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_best, ctc_scores, digit_product
+from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_best, digit_product
+from folioflow.session import spread
 
 
 def decision(value: Column, confidence: Column, review: Column | None = None) -> list[Column]:
@@ -141,8 +142,8 @@ def unanimous_number(readings: DataFrame, key: str, least: int, most: int) -> Da
     return out.select(key, *decision(F.col("b.d"), F.when(ok, conf).otherwise(F.least(conf, F.lit(0.79))), ~ok))
 
 
-def number_candidates(df: DataFrame, key: str, reads: str, length: int, limit: int = 64) -> DataFrame:
-    """Candidates of a printed number (key, array of readings): combinations of the digits seen at each position, capped
+def number_lists(df: DataFrame, key: str, reads: str, length: int, limit: int = 64) -> DataFrame:
+    """Candidates of a printed number (key, array of readings) as an array c: combinations of the digits seen at each position, capped
     in order, with the readings themselves; a single candidate is joined by its one-digit neighbours."""
     base = F.array_distinct(F.filter(reads, lambda d: F.length(d) == length))
     digit = lambda i: lambda d: F.substring(d, i + 1, 1)
@@ -150,7 +151,12 @@ def number_candidates(df: DataFrame, key: str, reads: str, length: int, limit: i
     rows = df.select(key, base.alias("base")).where(F.size("base") > 0)
     all_ = F.array_union(digit_product(seen, limit), F.col("base"))
     rows = rows.withColumn("c", all_).withColumn("c", F.when(F.size("c") == 1, F.array_union("c", numbers.digit_neighbours(F.get("c", F.lit(0))))).otherwise(F.col("c")))
-    return rows.select(key, F.explode("c").alias("candidate"))
+    return rows.select(key, "c")
+
+
+def number_candidates(df: DataFrame, key: str, reads: str, length: int, limit: int = 64) -> DataFrame:
+    """The same, a row each."""
+    return number_lists(df, key, reads, length, limit).select(key, F.explode("c").alias("candidate"))
 
 
 def verified_number(scores: DataFrame, key: str, both: DataFrame) -> DataFrame:
@@ -175,9 +181,15 @@ def pivot_fields(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
 def printed_number(readings: DataFrame, zones: DataFrame, key: str, length: int, alphabet: str) -> DataFrame:
     """A printed number end to end: readings (key, source "printed" or "line", text) give candidates, the zones' matrices
     (key, m, t, weight) score them, and ``verified_number`` decides."""
-    digits = readings.select(key, "source", F.regexp_replace("text", "[^0-9]", "").alias("d"))
-    candidates = number_candidates(digits.groupBy(key).agg(F.collect_list("d").alias("reads")), key, "reads", length)
-    scored = ctc_scores(candidates.join(zones, key), "m", "t", "candidate", alphabet, as_blank=" -")
+    digits = spread(readings.select(key, "source", F.regexp_replace("text", "[^0-9]", "").alias("d")), key)
+    # A number and its images are one row; its candidates, dozens where all read the same, never carry the matrices along.
+    lists = number_lists(digits.groupBy(key).agg(F.collect_list("d").alias("reads")), key, "reads", length)
+    images = spread(zones.where(F.col("m").isNotNull() & (F.col("t") > 0)), key).groupBy(key).agg(F.collect_list(F.struct("m", "t", F.col("weight").cast("double").alias("weight"))).alias("images"))
+    rows = lists.join(images, key)
+    rows = rows.withColumn("s", ctc_best(F.col("images.m"), F.col("images.t"), F.transform("c", lambda x: F.array(x)), alphabet, as_blank=" -", weights=F.col("images.weight")))
+    # The winner and its margin need the best two alone.
+    ranked = F.array_sort(F.transform(F.arrays_zip("c", "s"), lambda x: F.struct((-F.coalesce(x["s"], F.lit(float("-inf")))).alias("loss"), x["c"].alias("candidate"), x["s"].alias("score"))))
+    scored = rows.select(key, F.inline(F.slice(ranked, 1, 2))).select(key, "candidate", F.lit(1.0).alias("weight"), "score")
     both = digits.where(F.length("d") == length).groupBy(key, F.col("d").alias("candidate")).agg(F.countDistinct("source").alias("n")).where("n > 1")
     return verified_number(scored, key, both)
 
@@ -346,8 +358,8 @@ def date_on_image(readings: DataFrame, zones: DataFrame, key: str, as_of: str, a
     today = F.lit(as_of).cast("date")
     ways = slash_readings(_readable(F.coalesce(F.col("text"), F.lit(""))))
     per = readings.select(key, F.coalesce("text", F.lit("")).alias("text"), _dates_of(F.coalesce("text", F.lit(""))).alias("votes"), F.get(F.filter(F.transform(ways, _written_as), lambda x: x.isNotNull()), F.lit(0)).alias("year_first"))
-    rows = per.groupBy(key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("votes")).alias("votes"), F.min_by("year_first", F.when(F.col("year_first").isNotNull(), F.col("text"))).alias("year_first"))
-    images = zones.where(F.col("m").isNotNull() & (F.col("t") > 0)).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
+    rows = spread(per, key).groupBy(key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("votes")).alias("votes"), F.min_by("year_first", F.when(F.col("year_first").isNotNull(), F.col("text"))).alias("year_first"))
+    images = spread(zones.where(F.col("m").isNotNull() & (F.col("t") > 0)), key).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
     rows = rows.join(images, key, "left").withColumn("read", F.array_sort(F.array_distinct(F.transform("votes", lambda v: v["d"]))))
     near = F.filter(F.flatten(F.transform("read", lambda d: date_neighbours(d, F.col("year_first")))), lambda d: plausible(d, today))
     rows = rows.withColumn("seen", F.col("year_first").isNotNull() & F.col("images").isNotNull())

@@ -192,7 +192,7 @@ def _frames(digits, n):
 @query("SELECT p_partkey AS k, lpad(p_partkey::VARCHAR, 6, '0') AS value, false AS review FROM part")
 def printed_numbers(spark, sf):
     """Numbers printed twice: one reading has a wrong digit, and both zones of the image decide."""
-    p = t(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("d"))
+    p = dealt(t(spark, sf, "part")).select(F.col("p_partkey").cast("long").alias("k"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("d"))
     wrong = F.overlay("d", F.translate(F.substring("d", 3, 1), "0123456789", "1234567890"), F.lit(3), F.lit(1))
     readings = p.select("k", F.lit("printed").alias("source"), F.when(F.col("k") % 2 == 0, wrong).otherwise(F.col("d")).alias("text")).unionByName(p.select("k", F.lit("line").alias("source"), F.col("d").alias("text")))
     zones = p.select("k", _frames(F.col("d"), 6).alias("m"), F.lit(13).alias("t"), F.explode(F.array(F.lit(1.0), F.lit(0.4))).alias("weight"))

@@ -25,6 +25,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key over all shuffle partitions, as many as the session has: where scoring them takes far longer than their
+    bytes suggest, adaptive execution must not gather them into few tasks. Grouping and joins by these keys move nothing again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written once to the folder in spark.checkpoint.dir, without the plan that led to them."""
     sc = df.sparkSession.sparkContext
