@@ -286,8 +286,12 @@ def _readable(c: Column) -> Column:
 
 def _dates_of(c: Column) -> Column:
     """(date, weight) of the ways to read a written date: 1 as it stands, a half with a 1 taken as a slash; each date once."""
-    ways = F.transform(slash_readings(_readable(c)), lambda w, i: F.struct(earliest_date(w)["date"].alias("d"), F.when(i == 0, 1.0).otherwise(0.5).alias("w")))
-    return let(F.filter(ways, lambda x: x["d"].isNotNull()), lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["d"] == x["d"])))
+    return _votes(F.transform(slash_readings(_readable(c)), lambda w: F.struct(earliest_date(w)["date"].alias("d"))))
+
+
+def _votes(ways: Column) -> Column:
+    found = F.filter(F.transform(ways, lambda w, i: F.struct(w["d"].alias("d"), F.when(i == 0, 1.0).otherwise(0.5).alias("w"))), lambda x: x["d"].isNotNull())
+    return let(found, lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["d"] == x["d"])))
 
 
 def date(df: DataFrame, key: str, as_of: str) -> DataFrame:
@@ -326,11 +330,13 @@ def with_reasons(df: DataFrame, review: Column, reasons: dict[str, Column]) -> D
     return df.withColumns({"reasons": text, "review": F.coalesce(review, F.lit(False)) | F.greatest(*holds, F.lit(False))})
 
 
-def _written_as(c: Column) -> Column:
-    """Whether the year stands first in the date that a text holds; null where its month is a word."""
-    found = earliest_date(c)
-    groups = F.regexp_extract_all(F.substr(plain(c), found["pos"], found["end"] - found["pos"] + 1), F.lit("[0-9]+"), F.lit(0))
-    return F.when(F.size(groups) == 3, F.length(F.get(groups, F.lit(0))) == 4)
+def _read_as(c: Column) -> Column:
+    """The date that a text holds, and whether its year stands first; that is null where the month is a word."""
+    def order(found):
+        groups = F.regexp_extract_all(F.substr(plain(c), found["pos"], found["end"] - found["pos"] + 1), F.lit("[0-9]+"), F.lit(0))
+        return F.struct(found["date"].alias("d"), let(groups, lambda g: F.when(F.size(g) == 3, F.length(F.get(g, F.lit(0))) == 4)).alias("year_first"))
+
+    return let(earliest_date(c), order)
 
 
 def date_neighbours(d: Column, year_first: Column) -> Column:
@@ -342,7 +348,7 @@ def date_neighbours(d: Column, year_first: Column) -> Column:
     def read(x):
         return F.when(year_first, F.try_make_timestamp(part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), zero, zero, zero)).otherwise(F.try_make_timestamp(part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), zero, zero, zero)).cast("date")
 
-    return F.filter(F.transform(numbers.digit_neighbours(digits), read), lambda x: x.isNotNull())
+    return F.filter(F.transform(let(digits, numbers.digit_neighbours), read), lambda x: x.isNotNull())
 
 
 def date_on_image(readings: DataFrame, zones: DataFrame, key: str, as_of: str, alphabet: str) -> DataFrame:
@@ -356,8 +362,10 @@ def date_on_image(readings: DataFrame, zones: DataFrame, key: str, as_of: str, a
     Ties go to the earlier date; null texts count as readings that show none.
     """
     today = F.lit(as_of).cast("date")
-    ways = slash_readings(_readable(F.coalesce(F.col("text"), F.lit(""))))
-    per = readings.select(key, F.coalesce("text", F.lit("")).alias("text"), _dates_of(F.coalesce("text", F.lit(""))).alias("votes"), F.get(F.filter(F.transform(ways, _written_as), lambda x: x.isNotNull()), F.lit(0)).alias("year_first"))
+    # Every way to read a text is searched for a date once, for the votes and for the order of the digits alike.
+    per = readings.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    per = per.withColumn("ways", F.transform(slash_readings(_readable(F.col("text"))), _read_as))
+    per = per.select(key, "text", _votes(F.col("ways")).alias("votes"), F.get(F.filter(F.transform("ways", lambda w: w["year_first"]), lambda x: x.isNotNull()), F.lit(0)).alias("year_first"))
     rows = spread(per, key).groupBy(key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("votes")).alias("votes"), F.min_by("year_first", F.when(F.col("year_first").isNotNull(), F.col("text"))).alias("year_first"))
     images = spread(zones.where(F.col("m").isNotNull() & (F.col("t") > 0)), key).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
     rows = rows.join(images, key, "left").withColumn("read", F.array_sort(F.array_distinct(F.transform("votes", lambda v: v["d"]))))

@@ -36,3 +36,11 @@ def test_numbers_carry_no_matrix_for_each_candidate(spark, sf):
     # One row a number goes to Python: candidates are listed after their scores are known.
     below = plan[plan.index("ArrowEvalPython"):]
     assert "Generate explode(c" not in below and "REPARTITION_BY_NUM" in plan
+
+
+def test_a_text_is_searched_for_dates_once(spark, sf):
+    with redirect_stdout(io.StringIO()) as said:
+        q.QUERIES["dates_on_images"](spark, sf).explain()
+    plan = said.getvalue()
+    # The rows that are scored stay spread, whatever their bytes.
+    assert plan.count("REPARTITION_BY_NUM") >= 2
