@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioflow.session import spread
+
 
 def drop_repeats(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before it in the group."""
@@ -150,31 +153,64 @@ def merged_boxes(boxes: DataFrame, key: str, share: float = 0.5, width: float =
     missing coordinate are left out.
     """
 
-    def meet(b, o):
-        w, h = np.minimum(b[2], o[:, 2]) - np.maximum(b[0], o[:, 0]), np.minimum(b[3], o[:, 3]) - np.maximum(b[1], o[:, 1])
-        area = np.minimum((b[2] - b[0]) * (b[3] - b[1]), (o[:, 2] - o[:, 0]) * (o[:, 3] - o[:, 1]))
-        narrow = np.minimum(b[2] - b[0], o[:, 2] - o[:, 0])
-        inside = (w > 0) & (h > 0) & (w * h >= share * np.where(area == 0, 1, area))
-        return inside | ((w >= width * np.where(narrow == 0, 1, narrow)) & (h > -slack))
-
-    def unite(page: pd.DataFrame) -> pd.DataFrame:
-        rows, i = page[["x0", "y0", "x1", "y1", "confidence"]].sort_values(["x0", "y0", "x1", "y1", "confidence"]).to_numpy(float), 0
-        while i < len(rows):
-            found = np.flatnonzero(meet(rows[i], rows[i + 1 :]))
-            if len(found):
-                j = i + 1 + found[0]
-                both = rows[[i, j]]
-                rows[i] = [*both[:, :2].min(0), *both[:, 2:4].max(0), np.nanmax(both[:, 4]) if not np.isnan(both[:, 4]).all() else np.nan]
-                rows, i = np.delete(rows, j, 0), 0
-            else:
-                i += 1
-        out = pd.DataFrame(rows, columns=["x0", "y0", "x1", "y1", "confidence"])
-        out.insert(0, key, page[key].iloc[0])
-        return out
+    def united(pages: np.ndarray) -> np.ndarray:
+        """Pages of equally many boxes (page, box, 5), sorted, all at once; boxes that went into another are NaN throughout."""
+        pages, n = pages.copy(), pages.shape[1]
+        # One coordinate tells what is left; a box has no missing one.
+        later, active = np.triu(np.ones((n, n), bool), 1), np.arange(len(pages))
+        while len(active):
+            x0, y0, x1, y1 = (pages[active, :, i] for i in range(4))
+            w = np.minimum(x1[:, :, None], x1[:, None]) - np.maximum(x0[:, :, None], x0[:, None])
+            h = np.minimum(y1[:, :, None], y1[:, None]) - np.maximum(y0[:, :, None], y0[:, None])
+            own = (x1 - x0) * (y1 - y0)
+            area, narrow = np.minimum(own[:, :, None], own[:, None]), np.minimum((x1 - x0)[:, :, None], (x1 - x0)[:, None])
+            inside = (w > 0) & (h > 0) & (w * h >= share * np.where(area == 0, 1, area))
+            first = ((inside | ((w >= width * np.where(narrow == 0, 1, narrow)) & (h > -slack))) & later).reshape(len(active), -1)
+            found = first.any(1)
+            active, first = active[found], first[found].argmax(1)
+            i, j = first // n, first % n
+            a, b = pages[active, i], pages[active, j]
+            pages[active, i] = np.concatenate((np.minimum(a[:, :2], b[:, :2]), np.maximum(a[:, 2:4], b[:, 2:4]), np.fmax(a[:, 4:], b[:, 4:])), 1)
+            pages[active, j] = np.nan
+        return pages
+
+    columns = ["x0", "y0", "x1", "y1", "confidence"]
+
+    def unite(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            if held.num_rows == 0:
+                continue
+            keys = pc.dictionary_encode(held.column(0), null_encoding="encode").indices.to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if cut:
+                yield from pages_of(held.slice(0, cut), keys[:cut])
+            held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from pages_of(held, pc.dictionary_encode(held.column(0), null_encoding="encode").indices.to_numpy())
+
+    def pages_of(batch, keys):
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, 6)], 1)
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.append(start, len(keys)))
+        for n in np.unique(size).tolist():
+            of = start[size == n]
+            # So many pages at once that their pairs of boxes fit the memory of a task.
+            step = max(1, (1 << 20) // (n * n))
+            for at in range(0, len(of), step):
+                some = of[at : at + step]
+                out = united(rows[some[:, None] + np.arange(n)]).reshape(-1, 5)
+                left = ~np.isnan(out[:, 0])
+                key_rows = batch.column(0).take(pa.array(np.repeat(some, n)[left]))
+                score = pa.array(out[left, 4], mask=np.isnan(out[left, 4]))
+                yield pa.RecordBatch.from_arrays([key_rows, *(pa.array(out[left, i]) for i in range(4)), score], names=[key, *columns])
 
     kind = boxes.schema[key].dataType.simpleString()
-    whole = boxes.dropna(subset=["x0", "y0", "x1", "y1"]).select(key, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "confidence")])
-    return whole.groupBy(key).applyInPandas(unite, f"{key} {kind}, x0 double, y0 double, x1 double, y1 double, confidence double")
+    whole = boxes.dropna(subset=["x0", "y0", "x1", "y1"]).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    # A null confidence is sorted last, as is a missing one; pages are told apart by neighbouring rows, so a page stays in one task.
+    order = [F.col(key), *[F.col(c) for c in columns[:4]], F.col("confidence").asc_nulls_last()]
+    return spread(whole, key).sortWithinPartitions(*order).mapInArrow(unite, f"{key} {kind}, x0 double, y0 double, x1 double, y1 double, confidence double")
 
 
 def reach_right(df: DataFrame, keys: list[str], x0: str, x1: str, gap: float) -> DataFrame:

@@ -44,3 +44,35 @@ def test_a_text_is_searched_for_dates_once(spark, sf):
     plan = said.getvalue()
     # The rows that are scored stay spread, whatever their bytes.
     assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_pages_are_united_many_at_once(spark):
+    from folioflow.operators import windows as wi
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for page in range(300):
+        for _ in range(int(rng.integers(1, 9))):
+            x, y = rng.integers(0, 60, 2)
+            rows.append((None if page == 7 else page, float(x), float(y), float(x + rng.integers(0, 30)), float(y + rng.integers(0, 9)), None if rng.random() < 0.2 else float(rng.integers(0, 9))))
+
+    def meets(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        area, narrow = min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)), min(x[2] - x[0] for x in (a, b))
+        return (w > 0 and h > 0 and w * h >= 0.5 * (area or 1)) or (w >= 0.6 * (narrow or 1) and h > -12)
+
+    def one(boxes):
+        while pair := next(((i, j) for i in range(len(boxes)) for j in range(i + 1, len(boxes)) if meets(boxes[i], boxes[j])), None):
+            a, b = boxes[pair[0]], boxes.pop(pair[1])
+            boxes[pair[0]] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), max((x for x in (a[4], b[4]) if x is not None), default=None)]
+        return boxes
+
+    pages: dict = {}
+    for p, *box in rows:
+        pages.setdefault(p, []).append(box)
+    want = [(p, *b) for p, boxes in pages.items() for b in one(sorted(boxes, key=lambda b: (*b[:4], b[4] is None, b[4] or 0)))]
+    df = wi.merged_boxes(spark.createDataFrame(rows, "page int, x0 double, y0 double, x1 double, y1 double, confidence double"), "page")
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
+    with redirect_stdout(io.StringIO()) as said:
+        df.explain()
+    assert "FlatMapGroupsInPandas" not in said.getvalue() and "REPARTITION_BY_NUM" in said.getvalue()
