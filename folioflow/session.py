@@ -18,11 +18,17 @@ def workers_see_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+#: Rows of a task whose work per row is heavy: at about a millisecond each, some tens of seconds.
+DEALT_ROWS = 20_000
+
+
 def dealt(df: DataFrame) -> DataFrame:
-    """The rows dealt over all cores where the scan has fewer splits than there are cores (one large row group gives one);
-    else the table as it is, without a shuffle. For work that costs far more than moving the rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The rows dealt over all cores, and over tasks of ``DEALT_ROWS`` rows where there are more, if the scan has fewer splits
+    than that (a split without the start of a row group holds no rows, and large ones hold millions); else the table as it
+    is, without a shuffle. For work that costs far more than moving the rows, so that tasks become more with the input, not longer."""
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-df.count() // DEALT_ROWS))
+    return df.repartition(tasks) if splits < tasks else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -76,3 +76,14 @@ def test_pages_are_united_many_at_once(spark):
     with redirect_stdout(io.StringIO()) as said:
         df.explain()
     assert "FlatMapGroupsInPandas" not in said.getvalue() and "REPARTITION_BY_NUM" in said.getvalue()
+
+
+def test_heavy_rows_are_dealt_over_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    from folioflow import session
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 100, raising=False)
+    spark.range(0, 2000, 1, 1).write.parquet(f"{tmp_path}/t")
+    df = session.dealt(spark.read.parquet(f"{tmp_path}/t"))
+    assert df.rdd.getNumPartitions() == 20 and df.count() == 2000
+    few = session.dealt(spark.read.parquet(f"{tmp_path}/t").limit(50))
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
