@@ -10,13 +10,14 @@ Nulls: a box without a coordinate belongs to no zone; a null text says nothing;
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from folioflow.functions import values
 from folioflow.functions.dates import digits_repaired, earliest_date, slash_readings
-from folioflow.functions.text import compact, plain
+from folioflow.functions.text import compact, let, plain
 
 ZONES = ["ciudad_fecha", "monto_letras", "monto_letras_2", "monto_numeros", "beneficiario"]
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -65,7 +66,9 @@ def said(boxes: DataFrame, names: list[str]) -> DataFrame:
     and ``name`` (scores), ``digit`` (has one), ``printed`` (known print). ``names``: known given names and surnames."""
     c = F.coalesce("text", F.lit(""))
     spaced = digits_repaired(F.regexp_replace(c, values.LETTER_THEN_DIGIT, " "))
-    date = F.exists(slash_readings(spaced), lambda t: earliest_date(t).isNotNull())
+    # Every kind of date has a year in four digits, and only groups with a digit are repaired, so most texts are not searched.
+    dates = lambda x: F.regexp_like(x, F.lit("(?:[0-9][^0-9]*){4}")) & F.exists(slash_readings(x), lambda t: earliest_date(t).isNotNull())
+    date = F.when(F.regexp_like(c, F.lit("[0-9]")), let(spaced, dates))
     tokens = F.filter(F.split(plain(c), "[^a-zñ]+"), lambda x: x != "")
     numbers = F.size(F.filter(tokens, lambda x: x.isin([w for w in values.NUMBER_SPEECH if len(w) >= 3])))
     alnum = F.regexp_replace(c, "[^0-9a-zA-Z]", "")
@@ -77,7 +80,7 @@ def said(boxes: DataFrame, names: list[str]) -> DataFrame:
     capitals = F.size(F.filter(spelled, lambda x: F.regexp_like(x, F.lit("^[A-ZÁÉÍÓÚÑÜ]"))))
     digit = F.regexp_like(c, F.lit("[0-9]"))
     is_name = (count > 0) & ~digit & (numbers < F.greatest(F.lit(1), F.floor(count / 2)))
-    printed = F.exists(F.array(*map(F.lit, values.PRINT)), lambda p: F.contains(compact(c), p)) | misread_legend(compact(c))
+    printed = F.regexp_like(compact(c), F.lit("|".join(map(re.escape, values.PRINT)))) | misread_legend(compact(c))
     return boxes.withColumns({
         "dated": F.when(date, 2.0).when(F.regexp_like(c, F.lit(values.DATE_FORM)), 1.5).otherwise(0.0), "words": numbers, "figures": figures,
         "name": F.when(is_name, 1.0 + 1.5 * known + 0.3 * capitals + 0.3 * F.least(count, F.lit(4))).otherwise(0.0), "digit": digit, "printed": printed, "letters": F.length(compact(c)),
@@ -95,19 +98,28 @@ def misread_legend(tight: pd.Series) -> pd.Series:
 
 
 def written_parts(boxes: DataFrame, least: float = 12) -> DataFrame:
-    """Boxes (text, label, label_end) and, for each whose label goes over into writing, one more with what is written."""
+    """Boxes (text, label, label_end) and, for each whose label goes over into writing, one more with what is written; ``part``
+    tells these apart."""
     at = F.bround((F.col("label_end") - F.col("x0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)) * F.length("text")).cast("int")
     rest = F.trim(F.substr("text", at + 1))
-    glued = boxes.where(F.col("label").isNotNull() & (F.col("label_end") < F.col("x1") - least)).withColumns({"text": rest, "x0": F.col("label_end"), "label": F.lit(None).cast("string"), "idx": F.col("idx") + F.lit(1 << 20)})
-    return boxes.unionByName(glued.where(F.length(compact(F.col("text"))) > 0))
+    glued = F.col("label").isNotNull() & (F.col("label_end") < F.col("x1") - least) & (F.length(compact(rest)) > 0)
+    changed = {"text": rest, "x0": F.col("label_end"), "label": F.lit(None).cast("string"), "idx": F.col("idx") + F.lit(1 << 20)}
+    own = F.struct(*[F.col(c).alias(c) for c in changed], F.lit(False).alias("part"))
+    both = F.array(own, F.struct(*[v.alias(c) for c, v in changed.items()], F.lit(True).alias("part")))
+    rows = boxes.withColumn("__box", F.explode(F.when(glued, both).otherwise(F.array(own))))
+    return rows.select(*[F.col(f"__box.{c}" if c in changed else c) for c in boxes.columns], "__box.part")
 
 
-def gathered(boxes: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+def gathered(boxes: DataFrame, pages: DataFrame | None, *columns: str) -> DataFrame:
     """One row for each page: its columns (page, w, h), ``boxes`` in the order of idx, ``labels``, the first box of each
-    label from the top, and ``unit``, the median height of labels, or a twentieth of the page without any."""
+    label from the top, and ``unit``, the median height of labels, or a twentieth of the page without any. Without ``pages``
+    the boxes have w and h of their page themselves."""
     whole = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
     box = F.struct(F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "label", F.coalesce(F.col("label_end"), F.col("x1")).cast("double").alias("end"), *columns)
-    rows = boxes.where(whole).groupBy("page").agg(F.array_sort(F.collect_list(box)).alias("boxes")).join(pages.select("page", "w", "h"), "page")
+    size = [F.max(c).alias(c) for c in ("w", "h")] if pages is None else []
+    rows = boxes.where(whole).groupBy("page").agg(F.array_sort(F.collect_list(box)).alias("boxes"), *size)
+    if pages is not None:
+        rows = rows.join(pages.select("page", "w", "h"), "page")
     labelled = F.filter("boxes", lambda b: b["label"].isNotNull())
     rows = rows.withColumn("labelled", labelled)
     heights = F.array_sort(F.transform("labelled", lambda b: b["y1"] - b["y0"]))
@@ -139,6 +151,11 @@ def by_content(pages: DataFrame) -> DataFrame:
     payee, below its label and above the words. Writing is taller than print, and a box near the label of its field gains.
     Rows page, zone, x0, y0, x1, y1.
     """
+    return _listed(*_by_content(pages))
+
+
+def _by_content(pages: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The pages, and each zone as an expression over them."""
     w, h, unit, labels = F.col("w"), F.col("h"), F.col("unit"), F.col("labels")
     tall = lambda b: F.when(b["y1"] - b["y0"] > 1.25 * unit, 1.0).otherwise(0.0)
     small = lambda b, x: F.when(b["y1"] - b["y0"] < 1.15 * unit, x).otherwise(0.0)
@@ -191,8 +208,7 @@ def by_content(pages: DataFrame) -> DataFrame:
     rest = F.filter("free", lambda b: (b["idx"] != m["idx"]) & (F.abs(_cy(b) - _cy(m)) < 0.6 * unit) & (b["name"] > 0) & (F.abs(b["x0"] - m["x1"]) < 0.12 * w))
     p = p.withColumn("payee", F.concat(_only(m), F.coalesce(rest, F.slice("free", 1, 0))))
 
-    found = {"ciudad_fecha": _around(F.col("dates")), "monto_letras": _around(F.col("grown")), "monto_letras_2": _around(F.col("below")), "monto_numeros": _around(F.col("counted"), 0.6), "beneficiario": _around(F.col("payee"))}
-    return _listed(p, found)
+    return p, {"ciudad_fecha": _around(F.col("dates")), "monto_letras": _around(F.col("grown")), "monto_letras_2": _around(F.col("below")), "monto_numeros": _around(F.col("counted"), 0.6), "beneficiario": _around(F.col("payee"))}
 
 
 def _listed(pages: DataFrame, found: dict[str, Column]) -> DataFrame:
@@ -208,6 +224,11 @@ def by_labels(pages: DataFrame) -> DataFrame:
     Glued labels of the left margin end at the margin's usual edge, the median of those that stand alone.
     Rows page, zone, x0, y0, x1, y1; zones of 8 pixels or less across, or 6 or less high, are none.
     """
+    return _listed(*_by_labels(pages))
+
+
+def _by_labels(pages: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The pages, and each zone as an expression over them."""
     w, h, unit = F.col("w"), F.col("h"), F.col("unit")
     margin = ("paguese", "orden", "suma", "ciudad", "fecha")
     alone = F.array_sort(F.transform(F.filter("labelled", lambda b: b["label"].isin(*margin) & (b["x0"] < 0.2 * w) & (b["end"] == b["x1"])), lambda b: b["x1"]))
@@ -264,17 +285,23 @@ def by_labels(pages: DataFrame) -> DataFrame:
     line = F.filter("boxes", lambda b: (_cy(b) > 0.75 * h) & (b["letters"] >= 4) & (F.length(F.regexp_replace(compact(b["text"]), "[^0-9]", "")) >= 0.5 * b["letters"]))
     p = p.withColumn("line", line)
     micr = F.when(F.size("line") > 0, rect(F.lit(0.0), _edge(F.col("line"), "y0") - 0.3 * unit, w, _edge(F.col("line"), "y1") + 0.3 * unit))
-    return _listed(p, {"beneficiario": payee, "monto_numeros": figures, "monto_letras": words, "monto_letras_2": words2, "ciudad_fecha": place, "cheque_impreso": after(F.col("number")), "cuenta_impresa": after(F.col("account")), "micr": micr})
-
-
-def zones(pages: DataFrame, parted: DataFrame | None = None) -> DataFrame:
-    """Zones by content where there are any (on pages with ``written_parts``, if given), else by labels, with ``source``.
-    Where the content has the amount in words in one row, the labels' second row goes."""
-    content = by_content(pages if parted is None else parted).withColumn("source", F.lit("content"))
-    labels = by_labels(pages).withColumn("source", F.lit("label"))
-    both = content.unionByName(labels)
-    merged = both.groupBy("page", "zone").agg(F.min_by(F.struct("x0", "y0", "x1", "y1", "source"), "source").alias("z"))
-    per = merged.groupBy("page").agg(F.collect_list(F.struct("zone", "z")).alias("all"))
-    one_row = F.exists("all", lambda e: (e["zone"] == "monto_letras") & (e["z"]["source"] == "content"))
-    kept = F.filter("all", lambda e: ~(one_row & (e["zone"] == "monto_letras_2") & (e["z"]["source"] == "label")))
-    return per.select("page", F.explode(kept).alias("e")).select("page", "e.zone", "e.z.*")
+    return p, {"beneficiario": payee, "monto_numeros": figures, "monto_letras": words, "monto_letras_2": words2, "ciudad_fecha": place, "cheque_impreso": after(F.col("number")), "cuenta_impresa": after(F.col("account")), "micr": micr}
+
+
+def zones(pages: DataFrame) -> DataFrame:
+    """Zones by content where there are any, else by labels, with ``source``, all of a page in its own row. Boxes with ``part``
+    (``written_parts``) count for the content only. Where the content has the amount in words in one row, the labels' second row goes."""
+    p, content = _by_content(pages)
+    p = p.select(*pages.columns, *[z.cast(_BOX).alias(f"by_content_{k}") for k, z in content.items()])
+    if "part" in pages.schema["boxes"].dataType.elementType.names:
+        p = p.withColumn("boxes", F.filter("boxes", lambda b: ~b["part"]))
+    p, labels = _by_labels(p)
+    found = {}
+    for k in content | labels:
+        said, laid = (F.struct(z.cast(_BOX).alias("z"), F.lit(source).alias("source")) if z is not None else None for z, source in ((F.col(f"by_content_{k}") if k in content else None, "content"), (labels.get(k), "label")))
+        if k == "monto_letras_2":
+            laid = F.when(F.col("by_content_monto_letras").isNull(), laid)
+        found[k] = laid if said is None else said if laid is None else F.when(said["z"].isNotNull(), said).otherwise(laid)
+    entries = F.array(*[F.struct(F.lit(k).alias("zone"), z["z"].alias("z"), z["source"].alias("source")) for k, z in found.items()])
+    rows = p.select("page", F.explode(F.filter(entries, lambda e: e["z"].isNotNull())).alias("e"))
+    return rows.select("page", "e.zone", *[F.col(f"e.z.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")], "e.source")

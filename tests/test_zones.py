@@ -55,6 +55,31 @@ def test_glued_labels_leave_their_writing(spark):
     assert [(r.text, round(r.x0)) for r in part] == [("mil cien", 168)]
 
 
+def test_split_off_writing_counts_for_the_content_only(spark):
+    rows = [*FULL[:5], ("suma", "La suma de mil cien", 10, 160, 310, 185), *FULL[9:]]
+    boxes = spark.createDataFrame([(1, i, label, text, float(a), float(b), float(c), float(d), 168.0 if "mil" in (text or "") else float(c)) for i, (label, text, a, b, c, d) in enumerate(rows)], "page long, idx long, label string, text string, x0 double, y0 double, x1 double, y1 double, label_end double")
+    said = zones.said(zones.written_parts(boxes), ["juan", "perez"]).withColumns({"w": F.lit(1000), "h": F.lit(400)})
+    own = {r.zone: tuple(r)[2:6] for r in zones.by_labels(zones.gathered(said.where("NOT part"), None, *COLUMNS)).collect()}
+    content = {r.zone: tuple(r)[2:6] for r in zones.by_content(zones.gathered(said, None, *COLUMNS)).collect()}
+    got = {r.zone: (tuple(r)[2:6], r.source) for r in zones.zones(zones.gathered(said, None, *COLUMNS, "part")).collect()}
+    assert got["monto_letras"] == (content["monto_letras"], "content") and set(got) == set(own) | set(content)
+    assert all(z == ((content[k], "content") if k in content else (own[k], "label")) for k, z in got.items())
+
+
+def test_pages_are_gathered_once(spark, sf):
+    import io
+    from contextlib import redirect_stdout
+
+    from folioflow import queries as q
+
+    for name in ("page_zones", "zones_by_content", "zones_by_labels"):
+        with redirect_stdout(io.StringIO()) as said:
+            q.QUERIES[name](spark, sf).explain()
+        assert said.getvalue().count("Exchange") <= 2, name
+    # By labels nothing is asked of a text but its letters.
+    assert "misread_legend" not in said.getvalue()
+
+
 def test_names_are_found_as_by_all_pairs(spark):
     r = random.Random(8)
     names = ["".join(r.choice("abc ") for _ in range(r.randint(1, 9))).strip() or "a" for _ in range(40)] + [None, ""]
