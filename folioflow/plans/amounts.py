@@ -16,6 +16,7 @@ from folioflow.functions.text import let, plain
 from folioflow.functions.words import amount_digits, amount_spellings, amount_words_tolerant, cents_repaired, number_words, repaired_words
 from folioflow.operators.candidates import ctc_best
 from folioflow.plans.deciders import amount_decision
+from folioflow.session import cut
 
 MONEY = "decimal(18,2)"
 
@@ -55,6 +56,8 @@ def amount(readings: DataFrame, zones: DataFrame, key: str, alphabet: str, most:
     said = readings.where("zone = 'words' AND text IS NOT NULL").select(key, cents_repaired(F.col("text")).alias("text"), F.coalesce("deep", F.lit(False)).alias("deep"))
     said = said.withColumns({"norm": plain(F.col("text")), "value": amount_words_tolerant(repaired_words(F.col("text")))})
     shown = readings.where("zone = 'figures' AND text IS NOT NULL").select(key, "text", F.explode_outer(numbers.amount_hypotheses(F.col("text"), F.lit(1.0))).alias("h"))
+    # Written before each of the searches, so that no plan holds them all: a filter on a value repeats all that reads it.
+    said, shown = cut(said), cut(shown)
     base = said.select(key, "value", F.lit("w").alias("by")).unionByName(shown.select(key, F.col("h.value").alias("value"), F.lit("f").alias("by")))
     base = base.where((F.col("value") > 0) & (F.col("value") <= most)).groupBy(key, "value").agg((F.count_distinct("by") == 2).alias("same"))
     base = base.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("value", "same"))).alias("base"))
@@ -67,11 +70,13 @@ def amount(readings: DataFrame, zones: DataFrame, key: str, alphabet: str, most:
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("norms", "words", "figures")})
     whole = F.array_join("norms", " ")
     rows = rows.withColumns({"dollars": F.regexp_like(whole, F.lit("d[o0]l")), "con": F.regexp_like(whole, F.lit(r"\bc[o0]n\b")), "read": F.transform("base", lambda b: b["value"])})
+    rows = cut(rows.select(key, "base", "norms", "words", "figures", "deep_text", "dollars", "con", "read"))
     near = F.filter(F.flatten(F.transform("read", neighbours)), lambda v: v <= most)
     rows = rows.withColumn("c", F.array_sort(F.array_distinct(F.concat("read", near)))).withColumn("forms", F.transform("c", amount_digits))
     # Scoring takes far longer than the bytes of a row suggest, so adaptive execution must not gather rows into few tasks.
     rows = rows.repartition(int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     rows = _scored(rows, zones, "figures", key, "forms", "f", alphabet, " .,-=_~'`^").drop("forms", "f_n")
+    rows = cut(rows)
 
     # The best in figures, the likest to the words, and what was read.
     fields = F.transform(F.arrays_zip("c", "f"), lambda x: F.struct((-F.coalesce(x["f"], F.lit(-1e9))).alias("f"), x["c"].alias("value")))

@@ -94,3 +94,10 @@ def test_texts_are_searched_before_pages_are_put_together(spark, sf):
         q.QUERIES["page_fields"](spark, sf).explain()
     # One plan of all fields held each label's patterns for every kind of evidence: 1.4 million characters in the driver.
     assert len(said.getvalue()) < 100_000 and "regexp_instr" not in said.getvalue()
+
+
+def test_amounts_are_searched_in_steps(spark, sf):
+    with redirect_stdout(io.StringIO()) as said:
+        q.QUERIES["amounts_on_images"](spark, sf).explain()
+    # One plan of both searches had 2.2 million characters in the driver.
+    assert len(said.getvalue()) < 200_000
