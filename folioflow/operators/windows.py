@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioflow.session import spread
+from folioflow.session import portioned, spread
 
 
 def drop_repeats(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -98,7 +98,7 @@ def inside(tokens: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
 def near_label(boxes: DataFrame, labels: DataFrame, keys: list[str], dx: float, dy: float) -> DataFrame:
     """Every box (cx, cy) with whether its page has a label (lx, ly, lh) within dx of the page and dy label heights."""
     near = (F.abs(F.col("cx") - F.col("lx")) <= dx) & (F.abs(F.col("cy") - F.col("ly")) <= dy * F.col("lh"))
-    found = boxes.join(labels, keys, "left").groupBy(*boxes.columns).agg(F.coalesce(F.max(near.cast("int")), F.lit(0)).alias("near"))
+    found = portioned(boxes, *keys).join(labels, keys, "left").groupBy(*boxes.columns).agg(F.coalesce(F.max(near.cast("int")), F.lit(0)).alias("near"))
     return found.withColumn("near", F.col("near") == 1)
 
 
@@ -223,7 +223,7 @@ def reach_right(df: DataFrame, keys: list[str], x0: str, x1: str, gap: float) ->
 
 def islands(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Runs of consecutive whole numbers: first, last and how many."""
-    rows = df.select(*keys, index).distinct().withColumn("__k", F.col(index) - F.row_number().over(Window.partitionBy(*keys).orderBy(index)))
+    rows = portioned(df.select(*keys, index), *keys).distinct().withColumn("__k", F.col(index) - F.row_number().over(Window.partitionBy(*keys).orderBy(index)))
     return rows.groupBy(*keys, "__k").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("__k")
 
 

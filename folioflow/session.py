@@ -37,6 +37,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows of a task that sorts and groups narrow rows: some tens of MB.
+PORTION_ROWS = 300_000
+
+
+def portioned(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key over the session's shuffle partitions, or over tasks of ``PORTION_ROWS`` rows where there are more, so that
+    the memory of a task does not grow with the table. Grouping, windows and joins by these keys move nothing again."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // PORTION_ROWS)), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written once to the folder in spark.checkpoint.dir, without the plan that led to them."""
     sc = df.sparkSession.sparkContext

@@ -101,3 +101,12 @@ def test_amounts_are_searched_in_steps(spark, sf):
         q.QUERIES["amounts_on_images"](spark, sf).explain()
     # One plan of both searches had 2.2 million characters in the driver.
     assert len(said.getvalue()) < 200_000
+
+
+def test_portions_become_more_with_the_rows(spark, monkeypatch):
+    from folioflow import session
+
+    monkeypatch.setattr(session, "PORTION_ROWS", 10)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few, many = (session.portioned(spark.range(n), "id").rdd.getNumPartitions() for n in (5, 10 * (least + 7)))
+    assert (few, many) == (least, least + 7)
