@@ -13,7 +13,10 @@ looked up in the long ones by binary search, which leaves exactly the sets with
 Blocks over ``block_shingles`` or ``block_sets`` are cut into chunks, and every pair of chunks is searched by a task
 of its own, so memory stays bounded and no link is lost.  A block of more than ``most_chunks`` chunks (chains merge
 as data grows) is divided by prefix shingle instead: a class goes to the group of each shared shingle of its
-prefix, and two classes are compared where the smallest shingle that both prefixes share has its group.
+prefix, and two classes are compared where the smallest shingle that both prefixes share has its group.  Near copies
+of one text share many such shingles, each of which would send them all again; where it sends less, those that
+shingles of more than one chunk tie together (a ``crowd``) are compared in pairs of the crowd's chunks, once, and
+a shingle's group leaves out pairs of one crowd.  A block whose own pairs of chunks send less than that is not divided.
 
 Shingles are equal if 64-bit hashes of them are, sets if two such hashes of the whole set are.
 
@@ -29,7 +32,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkernel as tk
 from .common import doc_columns, map_text, materialize, slots, small, workers_see_package
@@ -181,16 +184,16 @@ class Index:
         return found[100 * count >= percent * (n + self.size[found] - count)]
 
 
-def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, key: int | None = None, prefixes: list[np.ndarray] | None = None) -> tuple[list, list]:
+def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, key: int | None = None, prefixes: list[np.ndarray] | None = None, homes: np.ndarray | None = None) -> tuple[list, list]:
     """Links of one task as a spanning forest of edges, and for each class the documents in the classes it links to.
 
     side: 0 everywhere for a search of a chunk in itself, else 1 and 2 for the two chunks.  With ``key``, only pairs
-    whose smallest common entry of ``prefixes`` (sorted) is that key.
+    of different ``homes`` whose smallest common entry of ``prefixes`` (sorted) is that key.
     """
     order = np.lexsort((reps, [len(s) for s in sets]))
     reps, weights, side, sets = reps[order], weights[order], side[order], [sets[i] for i in order]
     if key is not None:
-        prefixes = [prefixes[i] for i in order]
+        prefixes, homes = [prefixes[i] for i in order], homes[order]
     parent = np.arange(len(reps))
 
     def root(x):
@@ -208,6 +211,8 @@ def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets:
     for k, q in enumerate(left):
         found = right[index.search(sets[q], percent, k if within else None)]
         found = found[reps[found] != reps[q]]
+        if key is not None:
+            found = found[homes[found] != homes[q]]
         if key is not None and len(found):
             # The key is in both; an earlier one in common means that another group has the pair.
             before = prefixes[q][: np.searchsorted(prefixes[q], key)]
@@ -222,6 +227,26 @@ def search_block(reps: np.ndarray, weights: np.ndarray, side: np.ndarray, sets:
     return edges, [(int(reps[i]), int(links[i])) for i in np.flatnonzero(links)]
 
 
+def chunk_count(shingles: int, sets: int) -> Column:
+    """Chunks of a group of classes, of at most about so many shingles and sets each."""
+    return F.ceil(F.greatest(F.sum("n") / shingles, F.count("*") / sets)).cast("int").alias("chunks")
+
+
+def crowds(keys: DataFrame, chunks: Column, broadcast_rows: int) -> DataFrame:
+    """rep, home, chunks of the classes whose pairs are compared by crowd. ``keys``: rep, n, key, once each.
+
+    A crowd: classes tied together by keys of more than one chunk. It stands where its pairs of chunks send no more
+    shingles than those keys' would; home is its smallest class.
+    """
+    groups = keys.groupBy("key").agg(chunks, F.min("rep").alias("first")).where("chunks > 1")
+    held = materialize(keys.join(small(materialize(groups), broadcast_rows), "key").select("rep", "n", "chunks", "first"))
+    roots = components(held.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    members = held.groupBy("rep").agg(F.max("n").alias("n"), F.sum("chunks").alias("times")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    members = materialize(members.select("rep", "n", "times", F.coalesce("root", "rep").alias("home")))
+    sent = members.groupBy("home").agg(chunks, F.sum("n").alias("all"), F.sum(F.col("n") * F.col("times")).alias("by_key")).where("chunks * all <= by_key")
+    return materialize(members.join(small(materialize(sent.select("home", "chunks")), broadcast_rows), "home").select("rep", "home", "chunks"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 400_000, block_sets: int = 400, most_chunks: int = 16, broadcast_rows: int = 1_000_000, with_hashes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links of every row.
 
@@ -328,43 +353,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
     # 3. Blocks, in chunks where they are large; by prefix shingle where they are too large for that.
     routed = materialize(open_classes.select("rep", "n").join(block, "rep"))
     sets = sets.join(small(routed.select("rep", "block"), broadcast_rows), "rep").dropDuplicates(["s1", "s2"]).select("rep", "w", "block", "members")
-    chunk_count = lambda: F.ceil(F.greatest(F.sum("n") / block_shingles, F.count("*") / block_sets)).cast("int").alias("chunks")
-    whole = F.lit(0).cast("long").alias("key")
-    sizes = routed.groupBy("block").agg(chunk_count())
+    chunks, none = chunk_count(block_shingles, block_sets), F.lit(None)
+    whole = [none.cast("long").alias("key"), none.cast("array<long>").alias("prefix"), none.cast("long").alias("home")]
+    sizes = routed.groupBy("block").agg(chunks)
     cut = materialize(sizes.where("chunks > 1"))
     sets = sets.join(small(cut, broadcast_rows), "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    columns = ["block", "key", "chunks", "rep", "w", "members", "prefix"]
-    tasks = sets.where(F.col("chunks") <= most_chunks).select("block", whole, "chunks", "rep", "w", "members", F.lit(None).cast("array<long>").alias("prefix"))
+    columns = ["block", "key", "chunks", "rep", "w", "members", "prefix", "home"]
+    tasks = sets.where(F.col("chunks") <= most_chunks).select("block", "chunks", "rep", "w", "members", *whole).select(*columns)
     huge = cut.where(F.col("chunks") > most_chunks).select("block")
     if not huge.isEmpty():
-        inside = routed.join(small(huge, broadcast_rows), "block").select("rep", "n", "block")
-        keys_of = materialize(routes.select("rep", "key").join(small(inside, broadcast_rows), "rep").distinct())
-        groups = materialize(keys_of.groupBy("key").agg(chunk_count(), F.count("*").alias("classes")).where("classes > 1").select("key", "chunks"))
+        inside = materialize(routed.join(small(huge, broadcast_rows), "block").groupBy("rep", "block").agg(F.max("n").alias("n")))
+        keys_of = materialize(routes.select("rep", "key").distinct().join(small(inside.drop("block"), broadcast_rows), "rep"))
+        crowded = crowds(keys_of, chunks, broadcast_rows)
+        keys_of = materialize(keys_of.join(small(crowded.select("rep", "home"), broadcast_rows), "rep", "left").withColumn("home", F.coalesce("home", "rep")))
+        groups = materialize(keys_of.groupBy("key").agg(chunks, (F.min("home") < F.max("home")).alias("mixed")).where("mixed").select("key", "chunks"))
         prefix = keys_of.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("prefix"))
-        spread = keys_of.join(small(groups, broadcast_rows), "key").select("rep", "key", F.col("chunks").alias("c"))
-        large = sets.where(F.col("chunks") > most_chunks).drop("chunks").join(prefix, "rep").join(spread, "rep")
-        tasks = tasks.unionByName(large.withColumnRenamed("c", "chunks").select(*columns))
+        spread = keys_of.join(small(groups, broadcast_rows), "key").select("rep", "key", "home", "chunks")
+        sends = spread.select("rep", "chunks").unionByName(crowded.select("rep", "chunks")).groupBy("rep").agg(F.sum("chunks").alias("times"))
+        cost = inside.join(sends, "rep", "left").groupBy("block").agg(chunks, F.sum("n").alias("all"), F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0)).alias("divided"))
+        undivided = materialize(cost.where("chunks * all <= divided").select("block"))
+        large = sets.where(F.col("chunks") > most_chunks)
+        tasks = tasks.unionByName(large.join(small(undivided, broadcast_rows), "block", "left_semi").select("block", "chunks", "rep", "w", "members", *whole).select(*columns))
+        large = large.drop("chunks").join(small(undivided, broadcast_rows), "block", "left_anti")
+        tasks = tasks.unionByName(large.join(prefix, "rep").join(spread, "rep").select(*columns))
+        tasks = tasks.unionByName(large.join(small(crowded, broadcast_rows), "rep").select(F.col("home").alias("block"), "chunks", "rep", "w", "members", *whole).select(*columns))
     mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"), F.when(k == mine, 0).when(mine < k, 1).otherwise(2).alias("side")))
-    tasks = tasks.withColumn("p", F.explode(pairs)).select("block", "key", "p.i", "p.j", "rep", "w", "p.side", "members", "prefix")
+    tasks = tasks.withColumn("p", F.explode(pairs)).select("block", "key", "p.i", "p.j", "rep", "w", "p.side", "members", "prefix", "home")
 
     def search(batches):
         held: list = []
 
         def flush():
             reps, w, side = (np.array([r[k] for r in held]) for k in (1, 2, 3))
-            prefixes = None if held[0][5] is None else [np.array(r[5]) for r in held]
-            edges, links = search_block(reps, w, side, [np.frombuffer(r[4], U64) for r in held], percent, None if prefixes is None else held[0][0][1], prefixes)
+            by_key = [] if held[0][5] is None else [held[0][0][1], [np.array(r[5]) for r in held], np.array([r[6] for r in held])]
+            edges, links = search_block(reps, w, side, [np.frombuffer(r[4], U64) for r in held], percent, *by_key)
             rows = [(a, b, 0) for a, b in edges] + [(a, None, k) for a, k in links]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "b", "links"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
-            for block, key, i, j, rep, w, side, members, prefix in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(10)]
+            for block, key, i, j, rep, w, side, members, prefix, home in zip(*cols, strict=True):
                 if held and held[0][0] != (block, key, i, j):
                     yield flush()
                     held = []
-                held.append(((block, key, i, j), rep, w, side, members, prefix))
+                held.append(((block, key, i, j), rep, w, side, members, prefix, home))
         if held:
             yield flush()
 

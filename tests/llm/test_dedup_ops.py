@@ -65,6 +65,22 @@ def test_near_duplicates_equal_brute_force(spark, shingles, sets, chunks, few):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute_near(rows)
 
 
+def test_near_copies_in_a_huge_block_are_sent_once_a_chunk(spark, monkeypatch):
+    """Forty near copies in twenty chunks, tied to other texts by passages: every link, and no copy for each shingle they share."""
+    r, sent = random.Random(7), []
+    word = lambda: f"w{r.randrange(4000)}"
+    base, passage = [word() for _ in range(100)], [word() for _ in range(60)]
+    rows = near_rows()
+    copies = [base[:k] + [word() for _ in range(r.randint(1, 3))] + base[k + 2 :] for k in r.sample(range(98), 40)]
+    tied = [base[:50] + passage, *[passage + [word() for _ in range(k)] for k in range(1, 9)]]
+    rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate(copies + tied)]
+    plain = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, *a, **b: ("members" in self.columns and sent.append(self.count()), plain(self, *a, **b))[1])
+    got = ngram_join.near_duplicates(docs(spark, rows), block_sets=2, most_chunks=1)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute_near(rows)
+    assert len(sent) == 1 and sent[0] < 40 * 20 * 3
+
+
 def test_near_duplicates_odd_rows(spark):
     got = ngram_join.near_duplicates(docs(spark, [(3, "a b c"), (3, "a b c"), (1, "a b c"), (None, "a b c"), (7, None), (8, "x")])).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(3, 1, 1), (3, 1, 1), (1, 1, 1), (None, 1, None), (7, 0, 7), (8, 1, 8)], key=str)
