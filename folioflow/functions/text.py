@@ -28,6 +28,15 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold(c), r"\p{Mn}", ""), r"(?U)\s+", " "))
 
 
+#: ASCII words without capitals between single blanks: such a text is plain as it stands.
+_PLAIN = r"\A[!-@\[-~]+(?: [!-@\[-~]+)*\z"
+
+
+def quick_plain(c: Column) -> Column:
+    """``plain`` of a column or variable (it is named twice), which passes over texts that are plain already."""
+    return F.when(F.regexp_like(c, F.lit(_PLAIN)), c).otherwise(plain(c))
+
+
 def compact(c: Column) -> Column:
     """Only letters a-z, digits and the dollar sign."""
     return F.regexp_replace(fold(c), r"[^a-z0-9$]", "")
@@ -49,9 +58,14 @@ def replace_each(c: Column, pattern: str, f) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s){pattern}|."), F.lit(0)), f), "")
 
 
+#: An ASCII letter or digit that opens no answer which says "absent"; normalisation leaves it where it stands.
+_NOT_NEGATIVE = "\\A[" + "".join(x + x.upper() * x.isalpha() for x in "0123456789abcdefghijklmnopqrstuvwxyz" if x not in {n[0] for n in values.NEGATIVES}) + "]"
+
+
 def is_negative(c: Column) -> Column:
     """The text says "absent": a listed answer, or one that opens with "no "."""
-    return let(plain(c), lambda p: p.isin(values.NEGATIVES) | p.startswith("no "))
+    said = lambda p: p.isin(values.NEGATIVES) | p.startswith("no ")
+    return let(c, lambda t: F.when(F.regexp_like(t, F.lit(_NOT_NEGATIVE)), False).otherwise(let(quick_plain(t), said)))
 
 
 def is_flag(c: Column) -> Column:

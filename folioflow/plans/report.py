@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from folioflow.functions import values
 from folioflow.functions.dates import months_elapsed, parse_plain_date
 from folioflow.functions.numbers import amount_rules
-from folioflow.functions.text import is_flag, is_negative, listed, plain
+from folioflow.functions.text import is_flag, is_negative, listed, quick_plain
 from folioflow.functions.words import amount_words
 
 
@@ -72,7 +72,7 @@ def entries(payload: Column) -> Column:
     """Top-level members of a JSON object: (key, kind, text), keys without accents and capitals, blanks as underscores.
     Anything but an object gives an empty array."""
     out = F.transform(F.map_entries(F.from_json(payload, "map<string,variant>")), lambda e: F.struct(
-        F.replace(plain(e["key"]), F.lit(" "), F.lit("_")).alias("key"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text")))
+        F.replace(quick_plain(e["key"]), F.lit(" "), F.lit("_")).alias("key"), F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text")))
     return F.coalesce(out, F.array().cast("array<struct<key:string,kind:string,text:string>>"))
 
 
@@ -84,7 +84,9 @@ def with_members(df: DataFrame, payload: Column, name: str) -> DataFrame:
     """A map of the payload's members: key to (kind, text, denied, present). Of keys that agree after normalisation the first
     counts. An empty text counts as present, a denial does not."""
     df = df.withColumn("__e", entries(payload))
-    df = df.withColumn("__n", _nested_present(F.transform("__e", lambda e: F.when(e["kind"].isin("ARRAY", "OBJECT"), e["text"]))))
+    # Rows without lists and objects send nothing to Python.
+    nested = lambda e: e["kind"].isin("ARRAY", "OBJECT")
+    df = df.withColumn("__n", _nested_present(F.when(F.exists("__e", nested), F.transform("__e", lambda e: F.when(nested(e), e["text"])))))
     df = df.withColumn("__k", F.transform("__e", lambda e: e["key"]))
     denied = lambda e: F.when(e["kind"] == "STRING", is_negative(e["text"])).otherwise(False)
     df = df.withColumn("__e", F.transform("__e", lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("kind"), e["text"].alias("text"), denied(e).alias("denied"))))
@@ -140,9 +142,14 @@ def _fence(df: DataFrame, step: str) -> DataFrame:
     return df.observe(f"report_{next(_reports)}_{step}", F.count(F.lit(1)).alias("rows"))
 
 
-def report_rows(df: DataFrame, name: str, payload: str, rules: Rules, as_of: str) -> DataFrame:
-    """One typed row for each record. A payload that is no JSON object gives a row of empty fields and failed rules."""
-    df = _fence(with_members(df.select(F.col(name).alias("nombre_archivo"), F.col(payload).alias("__payload")), F.col("__payload"), "m"), "members")
+def report_rows(df: DataFrame, name: str, payload: str, rules: Rules, as_of: str, settle: bool = False) -> DataFrame:
+    """One typed row for each record. A payload that is no JSON object gives a row of empty fields and failed rules.
+
+    ``settle`` is for callers that ask for ``incluir`` alone: it stays right, but where a rule that needs no parsing has
+    failed, amounts and dates are not parsed, so the other fields may say less.
+    """
+    df = _fence(df.select(F.col(name).alias("nombre_archivo"), F.col(payload).alias("__payload")), "records")
+    df = _fence(with_members(df, F.col("__payload"), "m"), "members")
     m, number, endorsed = F.col("m"), first_value(F.col("m"), "valor_numero"), first_value(F.col("m"), "endoso")
     texts = {g: first_text(m, g) for g in ("cuenta_no", "cheque_no", "a_la_orden_de", "valor_texto", "cliente")}
     df = df.select(
@@ -150,21 +157,25 @@ def report_rows(df: DataFrame, name: str, payload: str, rules: Rules, as_of: str
         F.when(endorsed["kind"] == "STRING", F.btrim(endorsed["text"])).otherwise("").alias("note"),
         date_with_place(visible(first_value(m, "fecha")), visible(first_value(m, "lugar"))).alias("fecha"),
     )
-    df = _fence(df, "texts").withColumn("__plain", plain(F.col("fecha")))
-    amount = F.when(F.col("kind") != "BOOLEAN", amount_rules(F.btrim("raw")))
-    df = _fence(_fence(df, "dates").withColumn("valor_numero", amount).withColumn("__words", amount_words(F.col("valor_texto"))).withColumn("__date", parse_plain_date(F.col("__plain"), rules.formats)), "values")
     own = member(m, "endoso")
     signed_off = F.when((F.col("note") != "") & ~is_negative(F.col("note")), True).when(any_present(m, ["endoso_presente", "tiene_endoso", "endosado"]), True)
     signed_off = signed_off.when(own["kind"] == "STRING", (F.btrim(own["text"]) != "") & ~own["denied"]).otherwise(own["present"])
+    seen = {"firma": any_present(m, values.ALIASES["firma"]), "beneficiario": F.col("a_la_orden_de") != "", "endoso": F.coalesce(signed_off, F.lit(False))}
+    df = _fence(_fence(df, "texts").withColumns({"__plain": quick_plain(F.col("fecha")), **seen}), "dates")
+    failed = reduce(or_, [~F.col(r) for r in seen if settle and rules.active.get(r, True)], F.lit(False))
+    parsed = {
+        "valor_numero": F.when(F.col("kind") != "BOOLEAN", amount_rules(F.btrim("raw"))), "__words": amount_words(F.col("valor_texto")),
+        "__date": parse_plain_date(F.col("__plain"), rules.formats),
+    }
+    df = _fence(df.withColumns({k: F.when(~failed, c) if settle else c for k, c in parsed.items()}), "values")
     rows = df.select(
         "nombre_archivo", "cuenta_no", "cheque_no", "a_la_orden_de", "valor_numero",
         F.when(F.col("valor_numero").isNull() & (F.col("kind") != "BOOLEAN"), F.btrim("raw")).alias("valor_numero_texto"),
         "valor_texto", "cliente", "fecha", F.when(is_flag(F.col("note")), "").otherwise(F.col("note")).alias("endoso_texto"),
-        any_present(m, values.ALIASES["firma"]).alias("firma"),
-        (F.col("a_la_orden_de") != "").alias("beneficiario"),
+        "firma", "beneficiario",
         F.coalesce(F.col("valor_numero") == F.col("__words"), F.lit(False)).alias("coincide_valor"),
         F.coalesce(months_elapsed(F.col("__date"), F.lit(as_of).cast("date")) < rules.max_months, F.lit(False)).alias("fecha_correcta"),
-        F.coalesce(signed_off, F.lit(False)).alias("endoso"),
+        "endoso",
     )
     return _fence(rows, "flags").withColumn("incluir", reduce(or_, [~F.col(r) for r in values.RULES if rules.active.get(r, True)], F.lit(False)))
 

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,14 @@ def test_as_of_is_a_parameter(spark):
     df = spark.createDataFrame([(1, GOOD)], "n int, p string")
     assert not report.report_rows(df, "n", "p", report.Rules(), str(datetime.date(2027, 2, 10))).first().fecha_correcta
     assert report.report_rows(df, "n", "p", report.Rules(), str(datetime.date(2027, 2, 9))).first().fecha_correcta
+
+
+def test_totals_are_settled_without_parsing(spark):
+    said = json.loads(GOOD)
+    rows = [("good", GOOD), ("broken", "x"), ("unsigned", json.dumps({**said, "firma": "No detectada"})), ("nested", json.dumps({**said, "firma": ["no", {"x": "sí"}]})), ("words", json.dumps({**said, "valor_texto": "un mil"})), ("late", json.dumps({**said, "fecha": "2001/01/01"}))]
+    df, rules = spark.createDataFrame(rows, "n string, p string"), report.Rules()
+    whole = {r.nombre_archivo: r for r in report.report_rows(df, "n", "p", rules, "2026-06-01").collect()}
+    settled = {r.nombre_archivo: r for r in report.report_rows(df, "n", "p", rules, "2026-06-01", settle=True).collect()}
+    assert {k: r.incluir for k, r in settled.items()} == {k: r.incluir for k, r in whole.items()}
+    assert whole["unsigned"].valor_numero is not None and settled["unsigned"].valor_numero is None and settled["words"].valor_numero is not None
+    assert not whole["good"].incluir and whole["nested"].firma and not whole["words"].coincide_valor
