@@ -16,7 +16,7 @@ from folioflow.functions.text import let, plain
 from folioflow.functions.words import amount_digits, amount_spellings, amount_words_tolerant, cents_repaired, number_words, repaired_words
 from folioflow.operators.candidates import ctc_best
 from folioflow.plans.deciders import amount_decision
-from folioflow.session import cut
+from folioflow.session import cut, matched, spread
 
 MONEY = "decimal(18,2)"
 
@@ -40,8 +40,8 @@ def _usual(forms: Column, dollars: Column, con: Column) -> Column:
 
 def _scored(df: DataFrame, zones: DataFrame, zone: str, key: str, forms: str, name: str, alphabet: str, as_blank: str) -> DataFrame:
     """Adds the candidates' scores over the images of a zone, and the number of those."""
-    images = zones.where((F.col("zone") == zone) & F.col("m").isNotNull() & (F.col("t") > 0)).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
-    out = df.join(images, key, "left").withColumns({name: ctc_best(F.col("images.m"), F.col("images.t"), F.col(forms), alphabet, as_blank=as_blank), f"{name}_n": F.coalesce(F.size("images"), F.lit(0))})
+    images = spread(zones.where((F.col("zone") == zone) & F.col("m").isNotNull() & (F.col("t") > 0)), key).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
+    out = matched(spread(df, key), images, key, how="left").withColumns({name: ctc_best(F.col("images.m"), F.col("images.t"), F.col(forms), alphabet, as_blank=as_blank), f"{name}_n": F.coalesce(F.size("images"), F.lit(0))})
     return out.drop("images")
 
 
@@ -65,7 +65,7 @@ def amount(readings: DataFrame, zones: DataFrame, key: str, alphabet: str, most:
     figures = shown.groupBy(key).agg(F.collect_set("text").alias("figures"))
     rows = readings.select(key).distinct()
     for part in (base, texts, figures):
-        rows = rows.join(part, key, "left")
+        rows = matched(rows, part, key, how="left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("norms", "words", "figures")})
     whole = F.array_join("norms", " ")
@@ -73,8 +73,6 @@ def amount(readings: DataFrame, zones: DataFrame, key: str, alphabet: str, most:
     rows = cut(rows.select(key, "base", "norms", "words", "figures", "deep_text", "dollars", "con", "read"))
     near = F.filter(F.flatten(F.transform("read", neighbours)), lambda v: v <= most)
     rows = rows.withColumn("c", F.array_sort(F.array_distinct(F.concat("read", near)))).withColumn("forms", F.transform("c", amount_digits))
-    # Scoring takes far longer than the bytes of a row suggest, so adaptive execution must not gather rows into few tasks.
-    rows = rows.repartition(int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     rows = _scored(rows, zones, "figures", key, "forms", "f", alphabet, " .,-=_~'`^").drop("forms", "f_n")
     rows = cut(rows)
 
@@ -83,16 +81,15 @@ def amount(readings: DataFrame, zones: DataFrame, key: str, alphabet: str, most:
     alike = F.transform("c", lambda v: let(let(F.floor(v).cast("int"), number_words), lambda w: F.struct((-F.array_max(F.transform("norms", lambda n: likeness(w, n)))).alias("l"), v.alias("value"))))
     best = F.transform(F.slice(F.array_sort(fields), 1, finalists), lambda x: x["value"])
     likest = F.when(F.size("norms") > 0, F.transform(F.slice(F.array_sort(alike), 1, finalists // 2), lambda x: x["value"])).otherwise(F.slice("c", 1, 0))
-    rows = rows.withColumn("last", F.array_sort(F.array_union(F.array_union(best, likest), "read")))
-    rows = rows.withColumn("all_forms", F.transform("last", lambda v: amount_spellings(v, True, True)))
-    rows = rows.withColumn("forms", F.transform("all_forms", lambda f: _usual(f, F.col("dollars"), F.col("con"))))
-    rows = _scored(rows, zones, "words", key, "forms", "w", alphabet, " /|)(")
+    rows = cut(rows.withColumn("last", F.array_sort(F.array_union(F.array_union(best, likest), "read"))).drop("norms"))
+    rows = rows.withColumn("forms", F.transform("last", lambda v: _usual(amount_spellings(v, True, True), F.col("dollars"), F.col("con"))))
+    # The ways to write all finalists weigh far more than the rest of a row; those of the best are listed again below.
+    rows = cut(_scored(rows, zones, "words", key, "forms", "w", alphabet, " /|)(").drop("forms"))
     by_value = F.map_from_arrays("c", "f")
     total = F.transform(F.arrays_zip("last", "w"), lambda x: F.struct((-(F.coalesce(F.element_at(by_value, x["last"]), F.lit(-1e9)) + F.coalesce(x["w"], F.lit(-1e9)))).alias("loss"), x["last"].alias("value"), x["w"].alias("w")))
     rows = rows.withColumn("ranked", F.array_sort(total)).withColumn("first", F.get("ranked", F.lit(0)))
-    rows = rows.withColumn("value", F.col("first.value"))
-    forms = F.get(F.col("forms"), (F.array_position("last", F.col("value")) - 1).cast("int"))
-    letters = F.array_min(F.transform(forms, lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))))
+    rows = cut(rows.withColumn("value", F.col("first.value")).drop("c", "f", "last", "w")).withColumn("forms", amount_spellings(F.col("value"), True, True))
+    letters = F.array_min(F.transform(_usual(F.col("forms"), F.col("dollars"), F.col("con")), lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))))
     rows = rows.withColumns({
         "margin": F.coalesce(F.get("ranked", F.lit(1))["loss"] - F.col("first.loss"), F.lit(99.0)),
         "fit": F.coalesce(F.col("first.w") / F.greatest("w_n", F.lit(1)) / F.greatest(letters, F.lit(1)), F.lit(-1e9)),
@@ -100,7 +97,7 @@ def amount(readings: DataFrame, zones: DataFrame, key: str, alphabet: str, most:
         "top": F.transform(F.slice("ranked", 1, 3), lambda x: x["value"]),
     })
     # The deep reader confirms a value if its text is like one of the ways to write it.
-    spellings = F.when(F.col("deep_text").isNotNull(), F.get("all_forms", (F.array_position("last", F.col("value")) - 1).cast("int")))
+    spellings = F.when(F.col("deep_text").isNotNull(), F.col("forms"))
     confirmed = F.array_max(F.transform(spellings, lambda x: likeness(x, F.col("deep_text")))) >= agrees
     rows = rows.withColumns({"deep": F.coalesce(confirmed, F.lit(False)), "is_read": F.array_contains("read", F.col("value"))})
     gated = rows.select(key, "value", "margin", "fit", "deep", "figures", "words", "top", F.coalesce("same", F.lit(False)).alias("same"), F.coalesce("is_read", F.lit(False)).alias("read"))

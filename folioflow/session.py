@@ -37,6 +37,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def matched(df: DataFrame, other: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """A join by these keys that shuffles both sides, at any size. What arrays, matrices and computed texts weigh is not known
+    to the planner, which goes by the bytes of the files read and a few for each array: it would send them all to the driver."""
+    return df.join(other.hint("merge"), list(keys), how)
+
+
 #: Rows of a task that sorts and groups narrow rows: some tens of MB.
 PORTION_ROWS = 300_000
 

@@ -103,6 +103,23 @@ def test_amounts_are_searched_in_steps(spark, sf):
     assert len(said.getvalue()) < 200_000
 
 
+def plans_of(monkeypatch, module, run):
+    """The plans of all that a query writes on its way, and of its result."""
+    said, cut = io.StringIO(), module.cut
+    with redirect_stdout(said), monkeypatch.context() as m:
+        m.setattr(module, "cut", lambda df: (df.explain(), cut(df))[1])
+        run().explain()
+    return said.getvalue()
+
+
+def test_images_do_not_pass_through_the_driver(spark, sf, monkeypatch):
+    from folioflow.plans import amounts
+
+    # The planner took matrices for a few bytes a row, so 90,000 of them were broadcast.
+    plans = plans_of(monkeypatch, amounts, lambda: q.QUERIES["amounts_on_images"](spark, sf))
+    assert plans.count("SortMergeJoin") >= 5 and "Broadcast" not in plans
+
+
 def test_portions_become_more_with_the_rows(spark, monkeypatch):
     from folioflow import session
 
