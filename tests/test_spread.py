@@ -120,6 +120,14 @@ def test_images_do_not_pass_through_the_driver(spark, sf, monkeypatch):
     assert plans.count("SortMergeJoin") >= 5 and "Broadcast" not in plans
 
 
+def test_tokens_do_not_pass_through_the_driver(spark, sf, monkeypatch):
+    from folioflow.plans import page_fields
+
+    # Rows of 9,900,000 tokens were taken for a few bytes each, and broadcast.
+    plans = plans_of(monkeypatch, page_fields, lambda: q.QUERIES["page_fields"](spark, sf))
+    assert plans.count("SortMergeJoin") >= 16 and "Broadcast" not in plans
+
+
 def test_portions_become_more_with_the_rows(spark, monkeypatch):
     from folioflow import session
 
