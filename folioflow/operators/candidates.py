@@ -226,20 +226,21 @@ def _aligned(images: list[np.ndarray], of: np.ndarray, texts: list[str], alphabe
     # One column for each letter, and one for the room behind a shorter text, which nothing reaches.
     seen = np.concatenate((np.log(p[:, :, 1:] @ classes.T + 1e-12), np.full((*p.shape[:2], 1), -np.inf)), 2)
     at = np.where(codes > 0, np.searchsorted(letters, codes), len(letters))
-    jump = np.zeros((len(texts), 2 * at.shape[1] + 1))
-    jump[:, 3::2] = np.where(at[:, 1:] != at[:, :-1], 0.0, -np.inf)
-    jump[:, 2::2] = -np.inf
+    jump = np.where(at[:, 1:] != at[:, :-1], 0.0, -np.inf).T
     blank = np.log(p[:, :, blanks].sum(2) + 1e-12)
-    state, top, rows = np.full(jump.shape, -np.inf), np.full(len(texts), -np.inf), np.arange(len(texts))
+    # Blanks and letters apart, a row for each place and a column for each text, so that a step runs over whole rows.
+    cell, last = (of[:, None] * seen.shape[2] + at).T.copy(), n * len(texts) + np.arange(len(texts))
+    gap, letter, top = np.full((at.shape[1] + 1, len(texts)), -np.inf), np.full(at.shape[::-1], -np.inf), np.full(len(texts), -np.inf)
     for k in range(p.shape[1]):
-        into = state.copy()
-        np.maximum(into[:, 1:], state[:, :-1], out=into[:, 1:])
-        np.maximum(into[:, 2:], state[:, :-2] + jump[:, 2:], out=into[:, 2:])
-        np.maximum(into[:, :2], before[of, k, None], out=into[:, :2])
-        into[:, ::2] += blank[of, k, None]
-        into[:, 1::2] += seen[of[:, None], k, at]
-        state = into
-        top = np.maximum(top, np.maximum(state[rows, 2 * n], state[rows, 2 * n - 1]) + before[of, -1] - before[of, k + 1])
+        into = np.maximum(letter, gap[:-1])
+        np.maximum(into[1:], letter[:-1] + jump, out=into[1:])
+        start = before[of, k]
+        np.maximum(into[0], start, out=into[0])
+        np.maximum(gap[1:], letter, out=gap[1:])
+        np.maximum(gap[0], start, out=gap[0])
+        gap += blank[of, k]
+        letter = into + np.ascontiguousarray(seen[:, k]).ravel().take(cell)
+        top = np.maximum(top, np.maximum(gap.ravel().take(last), letter.ravel().take(last - len(texts))) + before[of, -1] - before[of, k + 1])
     spelt = np.append(classes.any(1), True)[at].all(1)
     return np.where(spelt, top - best.sum(1)[of], np.nan)
 
@@ -259,33 +260,36 @@ def ctc_best(matrices: Column, steps: Column, forms: Column, alphabet: str, pena
             if candidates is None:
                 out.append(None)
                 continue
-            texts = [[x.replace(" ", "") for x in c if x and x.strip()] for c in candidates]
-            every = sorted({x for c in texts for x in c})
-            out.append(np.zeros(len(texts)))
+            every, ends = [], [0]
+            for c in candidates:
+                every += [x.replace(" ", "") for x in c if x and x.strip()]
+                ends.append(len(every))
+            out.append(np.zeros(len(candidates)))
+            edge, longest = np.array(ends), max(map(len, every), default=0)
             for k, (flat, n) in enumerate(zip(flats if flats is not None and every else [], ns if ns is not None else [], strict=False)):
                 image = np.asarray(flat, float).reshape(int(n), -1)
-                shapes.setdefault(image.shape, []).append((i, image, every, texts, 1.0 if ws is None else float(ws[k])))
+                shapes.setdefault(image.shape, []).append((longest, i, image, every, edge, 1.0 if ws is None else float(ws[k])))
         for same in shapes.values():
             # Texts of like lengths together, as room behind shorter ones is work for nothing.
-            same.sort(key=lambda s: max(map(len, s[2])))
+            same.sort(key=lambda s: s[0])
             at = 0
             while at < len(same):
-                end, states, longest = at, 0, 0
+                end, states = at, 0
                 while end < len(same):
-                    longest = max(longest, max(map(len, same[end][2])))
-                    states += len(same[end][2])
-                    if end > at and states * (2 * longest + 1) > MOST_STATES:
+                    states += len(same[end][3])
+                    if end > at and states * (2 * same[end][0] + 1) > MOST_STATES:
                         break
                     end += 1
                 some = same[at:end]
-                score = _aligned([s[1] for s in some], np.repeat(np.arange(len(some)), [len(s[2]) for s in some]), [x for s in some for x in s[2]], alphabet, blanks, penalty).tolist()
+                score = _aligned([s[2] for s in some], np.repeat(np.arange(len(some)), [len(s[3]) for s in some]), [x for s in some for x in s[3]], alphabet, blanks, penalty)
                 first = 0
-                for i, _, every, texts, weight in some:
-                    known = dict(zip(every, score[first : first + len(every)], strict=True))
-                    out[i] += [weight * max((known[x] for x in c if known[x] == known[x]), default=np.nan) for c in texts]
+                for _, i, _, every, edge, weight in some:
+                    best, written = np.full(len(edge) - 1, np.nan), edge[1:] > edge[:-1]
+                    best[written] = np.fmax.reduceat(score[first : first + len(every)], edge[:-1][written])
+                    out[i] += weight * best
                     first += len(every)
                 at = end
-        return pd.Series([None if x is None else [None if y != y else y for y in x.tolist()] for x in out], dtype=object)
+        return pd.Series([x if x is None else [None if y != y else y for y in x.tolist()] if np.isnan(x).any() else x.tolist() for x in out], dtype=object)
 
     return run(matrices, steps, F.lit(None).cast("array<double>") if weights is None else weights, forms)
 

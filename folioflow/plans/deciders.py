@@ -10,7 +10,7 @@ from folioflow.functions.names import name_words, once_in_a_row
 from folioflow.functions.text import let, plain, stripped_city, stripped_payee
 from folioflow.functions.words import number_word_count
 from folioflow.operators.candidates import aligned, best_agreement, closest_of, ctc_best, digit_product
-from folioflow.session import spread
+from folioflow.session import matched, spread
 
 
 def decision(value: Column, confidence: Column, review: Column | None = None) -> list[Column]:
@@ -341,14 +341,17 @@ def _read_as(c: Column) -> Column:
 
 def date_neighbours(d: Column, year_first: Column) -> Column:
     """Dates that differ from one in a single digit of its eight, in the order in which it was written."""
-    digits = F.when(year_first, F.date_format(d, "yyyyMMdd")).otherwise(F.date_format(d, "ddMMyyyy"))
-    part = lambda x, at, n: F.substr(x, F.lit(at), F.lit(n)).cast("int")
-    zero = F.lit(0)
+    places = F.when(year_first, F.array(*map(F.lit, (1, 2, 3, 4, 6, 7, 9, 10)))).otherwise(F.array(*map(F.lit, (9, 10, 6, 7, 1, 2, 3, 4))))
+    digits = F.array(*map(F.lit, "0123456789"))
+    found = let(d.cast("string"), lambda iso: F.flatten(F.transform(places, lambda at: F.transform(digits, lambda x: F.overlay(iso, x, at, F.lit(1)).try_cast("date")))))
+    return F.filter(found, lambda x: x.isNotNull() & (x != d))
 
-    def read(x):
-        return F.when(year_first, F.try_make_timestamp(part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), zero, zero, zero)).otherwise(F.try_make_timestamp(part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), zero, zero, zero)).cast("date")
 
-    return F.filter(F.transform(let(digits, numbers.digit_neighbours), read), lambda x: x.isNotNull())
+def _digits_of(d: Column, year_first: Column) -> Column:
+    """A date's digits, padded and not, in the order in which it was written; each form once."""
+    month, day = F.month(d).cast("string"), F.dayofmonth(d).cast("string")
+    year, mm, dd = (F.substr(d.cast("string"), F.lit(at), F.lit(n)) for at, n in ((1, 4), (6, 2), (9, 2)))
+    return F.array_distinct(F.when(year_first, F.array(F.concat(year, mm, dd), F.concat(year, month, day))).otherwise(F.array(F.concat(dd, mm, year), F.concat(day, month, year))))
 
 
 def date_on_image(readings: DataFrame, zones: DataFrame, key: str, as_of: str, alphabet: str) -> DataFrame:
@@ -362,21 +365,23 @@ def date_on_image(readings: DataFrame, zones: DataFrame, key: str, as_of: str, a
     Ties go to the earlier date; null texts count as readings that show none.
     """
     today = F.lit(as_of).cast("date")
-    # Every way to read a text is searched for a date once, for the votes and for the order of the digits alike.
-    per = readings.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    # Every way to read a text is searched for a date once, for the votes and for the order of the digits alike, and equal readings of a key together.
+    per = spread(readings.select(key, F.coalesce("text", F.lit("")).alias("text")), key).groupBy(key, "text").agg(F.count("*").cast("int").alias("times"))
     per = per.withColumn("ways", F.transform(slash_readings(_readable(F.col("text"))), _read_as))
-    per = per.select(key, "text", _votes(F.col("ways")).alias("votes"), F.get(F.filter(F.transform("ways", lambda w: w["year_first"]), lambda x: x.isNotNull()), F.lit(0)).alias("year_first"))
-    rows = spread(per, key).groupBy(key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("votes")).alias("votes"), F.min_by("year_first", F.when(F.col("year_first").isNotNull(), F.col("text"))).alias("year_first"))
-    images = spread(zones.where(F.col("m").isNotNull() & (F.col("t") > 0)), key).groupBy(key).agg(F.collect_list(F.struct("m", "t")).alias("images"))
-    rows = rows.join(images, key, "left").withColumn("read", F.array_sort(F.array_distinct(F.transform("votes", lambda v: v["d"]))))
+    per = per.select(key, "text", "times", _votes(F.col("ways")).alias("votes"), F.get(F.filter(F.transform("ways", lambda w: w["year_first"]), lambda x: x.isNotNull()), F.lit(0)).alias("year_first"))
+    rows = per.groupBy(key).agg(F.sum("times").alias("n"), F.flatten(F.collect_list(F.flatten(F.array_repeat("votes", F.col("times"))))).alias("votes"), F.min_by("year_first", F.when(F.col("year_first").isNotNull(), F.col("text"))).alias("year_first"))
+    # A filter on matrices would render each of them twice, so those that are none are left out where they are gathered.
+    image = F.when(F.col("m").isNotNull() & (F.col("t") > 0), F.struct("m", "t"))
+    images = spread(zones.select(key, image.alias("image")), key).groupBy(key).agg(F.collect_list("image").alias("images"))
+    rows = matched(rows, images.withColumn("images", F.when(F.size("images") > 0, F.col("images"))), key, how="left").withColumn("read", F.sort_array(F.array_distinct(F.transform("votes", lambda v: v["d"]))))
     near = F.filter(F.flatten(F.transform("read", lambda d: date_neighbours(d, F.col("year_first")))), lambda d: plausible(d, today))
     rows = rows.withColumn("seen", F.col("year_first").isNotNull() & F.col("images").isNotNull())
-    rows = rows.withColumn("c", F.when(F.col("seen"), F.array_sort(F.array_union("read", near))).otherwise(F.col("read")))
-    forms = F.transform("c", lambda d: F.array_distinct(F.when(F.col("year_first"), F.array(F.date_format(d, "yyyyMMdd"), F.date_format(d, "yyyyMd"))).otherwise(F.array(F.date_format(d, "ddMMyyyy"), F.date_format(d, "dMyyyy")))))
+    rows = rows.withColumn("c", F.when(F.col("seen"), F.sort_array(F.array_union("read", near))).otherwise(F.col("read")))
+    forms = F.transform("c", lambda d: _digits_of(d, F.col("year_first")))
     rows = rows.withColumn("s", ctc_best(F.col("images.m"), F.col("images.t"), forms, alphabet, as_blank=" -/.,_"))
     votes = lambda d: F.aggregate(F.filter("votes", lambda v: v["d"] == d), F.lit(0.0), lambda a, v: a + v["w"])
     score = lambda x: F.when(F.col("seen"), F.coalesce(x["s"], F.lit(-1e9))).otherwise(votes(x["c"]))
-    ranked = F.array_sort(F.transform(F.arrays_zip("c", "s"), lambda x: F.struct((F.col("seen") & ~plausible(x["c"], today)).alias("odd"), (-score(x)).alias("loss"), x["c"].alias("d"))))
+    ranked = F.sort_array(F.transform(F.arrays_zip("c", "s"), lambda x: F.struct((F.col("seen") & ~plausible(x["c"], today)).alias("odd"), (-score(x)).alias("loss"), x["c"].alias("d"))))
     rows = rows.withColumn("ranked", ranked).withColumn("d", F.get("ranked", F.lit(0))["d"])
     margin = F.coalesce(F.get("ranked", F.lit(1))["loss"] - F.get("ranked", F.lit(0))["loss"], F.lit(99.0))
     rows = rows.withColumns({"margin": margin, "all": votes(F.col("d")) >= F.col("n"), "held": F.array_contains("read", F.col("d"))})

@@ -46,6 +46,15 @@ def test_a_text_is_searched_for_dates_once(spark, sf):
     assert plan.count("REPARTITION_BY_NUM") >= 2
 
 
+def test_matrices_are_rendered_once_and_shuffled(spark, sf):
+    with redirect_stdout(io.StringIO()) as said:
+        q.QUERIES["dates_on_images"](spark, sf).explain()
+    plan = said.getvalue()
+    # A filter on rendered matrices held their expression once more, and the planner broadcast them all.
+    assert "0.9" in plan and "Broadcast" not in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "0.9" in line]
+
+
 def test_pages_are_united_many_at_once(spark):
     from folioflow.operators import windows as wi
 
