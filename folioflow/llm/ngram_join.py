@@ -16,7 +16,7 @@ as data grows) is divided by prefix shingle instead: a class goes to the group o
 prefix, and two classes are compared where the smallest shingle that both prefixes share has its group.  Near copies
 of one text share many such shingles, each of which would send them all again; where it sends less, those that
 shingles of more than one chunk tie together (a ``crowd``) are compared in pairs of the crowd's chunks, once, and
-a shingle's group leaves out pairs of one crowd.  A block whose own pairs of chunks send less than that is not divided.
+a shingle's group leaves out pairs of one crowd.  Of shingles that the same classes share one has a group.  A block whose own pairs of chunks send less than that is not divided.
 
 Shingles are equal if 64-bit hashes of them are, sets if two such hashes of the whole set are.
 
@@ -247,6 +247,17 @@ def crowds(keys: DataFrame, chunks: Column, broadcast_rows: int) -> DataFrame:
     return materialize(members.join(small(materialize(sent.select("home", "chunks")), broadcast_rows), "home").select("rep", "home", "chunks"))
 
 
+def shingle_groups(keys: DataFrame, chunks: Column) -> DataFrame:
+    """key, chunks of the groups in which classes of different homes are compared. ``keys``: rep, n, key, home, once each.
+
+    Of keys that the same classes share, only the smallest has a group: a pair is compared at the smallest key of both, and a
+    smaller one of the same classes would be in both as well. Sets of classes are equal if 128 bits of two sums of hashes are.
+    """
+    total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(20,0)"))
+    groups = keys.groupBy("key").agg(chunks, (F.min("home") < F.max("home")).alias("mixed"), F.count("*").alias("size"), total(1).alias("t1"), total(2).alias("t2")).where("mixed")
+    return groups.groupBy("size", "t1", "t2").agg(F.min("key").alias("key"), F.first("chunks").alias("chunks")).select("key", "chunks")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_shingles: int = 400_000, block_sets: int = 400, most_chunks: int = 16, broadcast_rows: int = 1_000_000, with_hashes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links of every row.
 
@@ -366,7 +377,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block_sh
         keys_of = materialize(routes.select("rep", "key").distinct().join(small(inside.drop("block"), broadcast_rows), "rep"))
         crowded = crowds(keys_of, chunks, broadcast_rows)
         keys_of = materialize(keys_of.join(small(crowded.select("rep", "home"), broadcast_rows), "rep", "left").withColumn("home", F.coalesce("home", "rep")))
-        groups = materialize(keys_of.groupBy("key").agg(chunks, (F.min("home") < F.max("home")).alias("mixed")).where("mixed").select("key", "chunks"))
+        groups = materialize(shingle_groups(keys_of, chunks))
         prefix = keys_of.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("prefix"))
         spread = keys_of.join(small(groups, broadcast_rows), "key").select("rep", "key", "home", "chunks")
         sends = spread.select("rep", "chunks").unionByName(crowded.select("rep", "chunks")).groupBy("rep").agg(F.sum("chunks").alias("times"))

@@ -234,3 +234,11 @@ def test_repeats_of_wide_windows(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, width)
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(docs(spark, rows), width=23)
+
+
+def test_shingles_of_the_same_classes_have_one_group(spark):
+    """Two near copies share dozens of prefix shingles; each of them sent both again."""
+    rows = [(r, 10, k, r) for k in range(20, 30) for r in (1, 2)] + [(r, 10, k, r) for k in (15, 25) for r in (3, 4)] + [(r, 10, 40, 7) for r in (5, 6)]
+    keys = spark.createDataFrame(sorted(set(rows)), "rep long, n long, key long, home long")
+    got = ngram_join.shingle_groups(keys, ngram_join.chunk_count(400_000, 400))
+    assert sorted(r.key for r in got.collect()) == [15, 20, 25]
